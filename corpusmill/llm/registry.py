@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, mixing, sharding, token_files
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
+    "op4_token_files": token_files.op4_token_files,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_sharding": sharding.op10_sharding,
