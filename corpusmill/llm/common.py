@@ -70,3 +70,8 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, partiti
     return numbered.join(offsets, on).select(
         *[numbered[c] for c in df.columns], (F.col("_before") + F.col("_row") - F.col("_first")).alias(rank)
     )
+
+
+def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether any two rows share an id (null counts as one)."""
+    return not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()

@@ -142,7 +142,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     tagged = docs.withColumn("_key", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
     joined = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["_id"]) & (tagged["_key"] == kept["_sha"]), "left_semi")
-    if docs.select("doc_id").distinct().count() != docs.count():
+    if common.ids_repeat(docs):
         joined = joined.dropDuplicates(["doc_id", "_key"])
     return joined.select(*docs.columns)
 

@@ -121,7 +121,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows find their position by id; where rows share an id, each such row takes one of the id's positions.
     """
-    if docs.select("doc_id").distinct().count() == docs.count():
+    if not common.ids_repeat(docs):
         positions = mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("position").alias("_position"))
         placed = docs.join(positions, docs["doc_id"].eqNullSafe(positions["_id"]))
     else:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, sharding, token_files
+from . import bpe, exact_dedup, mixing, sharding, simhash, token_files
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
     "op4_token_files": token_files.op4_token_files,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
