@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, sharding, simhash, token_files
+from . import bpe, exact_dedup, lm_scoring, mixing, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
     "op4_token_files": token_files.op4_token_files,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_sharding": sharding.op10_sharding,
 }
