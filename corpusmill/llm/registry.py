@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_scoring, mixing, sharding, simhash, token_files, toxicity
+from . import bpe, exact_dedup, lm_scoring, mixing, sharding, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_top_k": topk.op9_top_k,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op9_top_k": topk.ORACLE,
 }
