@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_scoring, mixing, sharding, simhash, token_files, topk, toxicity
+from . import bpe, exact_dedup, line_dedup, lm_scoring, mixing, sharding, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_token_files": token_files.op4_token_files,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
