@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import analytics, extraction, graphs, structure, texts
+
+MODULES = (texts, extraction, structure, analytics, graphs)
+QUERIES = {name: run for m in MODULES for name, (run, _) in m.ALL.items()}
+ORACLES = {name: sql for m in MODULES for name, (_, sql) in m.ALL.items() if sql}
