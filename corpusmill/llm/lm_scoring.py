@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from . import common
 from .toxicity import remainder
 
-FOLDS, HELD_OUT, WEIGHTS_PART = 7, 2, 6
-FREQUENT = 1 << 16  # tokens with a code of their own: bounds what is broadcast
+FOLDS, HELD_OUT = 7, 2
+WEIGHT_FOLDS = 29  # one such part of the training documents adapts the weights, on counts that lack it
+FREQUENT = 1 << 15  # tokens with a code of their own: bounds what is broadcast
 TABLE_BITS, CHUNK = 21, 1 << 15
-SEGMENT_TOKENS, BATCH_TOKENS = 128, 200_000  # weights start anew with each segment of a text, so that segments go in step
+SEGMENT_TOKENS, BATCH_TOKENS = 128, 150_000  # weights start anew with each segment of a text, so that segments go in step
 GATES, INPUTS, BUCKETS = 12, 3, 32
 RATE, REFINE_RATE, SALTS = 0.02, 0.02, 32
 END = b"\n"  # no word holds white space
@@ -73,7 +74,7 @@ class Code:
         return cls({w: i for i, (w, _) in enumerate(frequent)}, np.cumsum(length) - length, length, np.array(nodes, np.uint32), np.array(bits, np.uint8))
 
     def events(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-        """Of all bits of the texts: node, bit, slots in the two tables; then the number of bits of each token."""
+        """Of all bits of the texts: node, bit, slots in the two tables; then the number of bits and the symbol of each token."""
         known, escape = self.symbols.get, len(self.symbols)
         symbols = np.array([known(w, escape) for t in texts for w in t], np.int64)
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -90,7 +91,7 @@ class Code:
         for h in (h1, h2):
             mixed = (np.repeat((h >> np.uint64(20)).astype(np.uint32), n) ^ nodes * np.uint32(0x85EBCA6B)) * np.uint32(0x9E3779B1)
             slots.append((mixed >> np.uint32(32 - TABLE_BITS)).astype(np.int64))
-        return nodes, bits, slots[0], slots[1], n
+        return nodes, bits, slots[0], slots[1], n, symbols
 
 
 @dataclass
@@ -105,8 +106,8 @@ class Tables:
         odds = [np.log((c[1] + 0.4) / (c[0] + 0.4)).astype(np.float32) for c in counts]
         return cls(odds, [np.digitize(c.sum(axis=0), (1, 4, 16)).astype(np.uint8) for c in counts])
 
-    def inputs(self, nodes: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([t[i] for t, i in zip(self.odds, (nodes, one, two))], axis=1)
+    def inputs(self, nodes: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        x = [t.take(i) for t, i in zip(self.odds, (nodes, one, two))]
         return x, self.steps[1][one] * np.uint8(3) + np.minimum(self.steps[2][two], 2)
 
 
@@ -121,34 +122,55 @@ def _segments(bits: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndar
     return first, np.diff(np.concatenate((first, ends[-1:])))
 
 
-def mix(x: np.ndarray, gates: np.ndarray, bits: np.ndarray, first: np.ndarray, count: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mix(x: list[np.ndarray], gates: np.ndarray, bits: np.ndarray, first: np.ndarray, count: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The probability of each actual bit; then weights summed over segments and how often each gate was used.
 
     Segments advance together, one bit at a time; each adapts its own copy of the weights.
     """
     order = np.argsort(-count, kind="stable")
     first, count, n = first[order], count[order], len(count)
-    own = np.tile(weights.astype(np.float32), (n, 1, 1)).reshape(n * GATES, INPUTS)
+    active = np.searchsorted(-count, -np.arange(count[0] if n else 0), side="left")  # segments with more than t bits
+    ends = np.cumsum(active)
+    # all bits in the order of steps: every step is then a slice
+    step = np.repeat(np.arange(len(active)), active)
+    lane = np.arange(len(step)) - np.repeat(ends - active, active)
+    at = first[lane] + step
+    inputs, slots, ones = [column.take(at) for column in x], lane * GATES + gates.take(at), bits.take(at).astype(np.float32)
+    own = [np.tile(column.astype(np.float32), n) for column in weights.T]
     centres = (np.arange(BUCKETS + 1) - BUCKETS / 2) / 2
     refine = np.tile((1 / (1 + np.exp(-centres))).astype(np.float32), n)
-    lane_gate, lane_bucket = np.arange(n) * GATES, np.arange(n) * (BUCKETS + 1)
-    out, used = np.empty(len(bits), np.float32), np.zeros(n * GATES, np.int64)
-    active = np.searchsorted(-count, -np.arange(count[0] if n else 0), side="left")  # lanes with more than t bits
-    for t, a in enumerate(active):
-        at = first[:a] + t
-        xs, slot, y = x[at], lane_gate[:a] + gates[at], bits[at].astype(np.float32)
-        w = own[slot]
-        z = np.clip(np.einsum("ij,ij->i", w, xs), -7.9, 7.9)
-        p = 1 / (1 + np.exp(-z))
-        place = lane_bucket[:a] + np.rint(z * 2 + BUCKETS / 2).astype(np.int64)
-        r = refine[place]
-        q = 0.5 * (p + r)
-        out[at] = np.where(y > 0, q, 1 - q)
-        own[slot] = w + (RATE * (y - p))[:, None] * xs
-        refine[place] = r + REFINE_RATE * (y - r)
-        used[slot] += 1
-    used = used.reshape(n, GATES)
-    return np.maximum(out, 1e-6), (own.reshape(n, GATES, INPUTS) * used[:, :, None]).sum(axis=0), used.sum(axis=0)
+    lane_bucket = (np.arange(n) * (BUCKETS + 1)).astype(np.int64)
+    seen = np.empty(len(bits), np.float32)
+    half, rate, refine_rate, one = np.float32(0.5), np.float32(RATE), np.float32(REFINE_RATE), np.float32(1)
+    begin = 0
+    for a, end in zip(active.tolist(), ends.tolist()):
+        slot, y = slots[begin:end], ones[begin:end]
+        xs = [column[begin:end] for column in inputs]
+        ws = [column.take(slot) for column in own]
+        z = ws[0] * xs[0]
+        z += ws[1] * xs[1]
+        z += ws[2] * xs[2]
+        np.clip(z, -7.9, 7.9, out=z)
+        p = one / (one + np.exp(-z))
+        place = lane_bucket[:a] + (z * 2 + (BUCKETS / 2 + 0.5)).astype(np.int64)
+        r = refine.take(place)
+        seen[begin:end] = half * (p + r)
+        step_size = rate * (y - p)
+        for column, w, v in zip(own, ws, xs):
+            w += step_size * v
+            column[slot] = w
+        refine[place] = r + refine_rate * (y - r)
+        begin = end
+    out = np.empty(len(bits), np.float32)
+    out[at] = np.where(ones > 0, seen, one - seen)
+    used = np.bincount(slots, minlength=n * GATES).reshape(n, GATES)
+    return np.maximum(out, np.float32(1e-6)), np.stack([(c.reshape(n, GATES) * used).sum(axis=0) for c in own], axis=1), used.sum(axis=0)
+
+
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sums of consecutive runs of values."""
+    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))[ends]
+    return np.diff(np.concatenate(([0.0], total)))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -202,12 +224,10 @@ def count_bits(texts: DataFrame, code) -> DataFrame:
         for batch, texts in _batches(batches, 0):
             parts = np.array(batch.column(1).to_pylist(), np.int8)
             for part in set(parts.tolist()):
-                nodes, bits, one, two, _ = code.value.events([t for t, p in zip(texts, parts) if p == part])
+                nodes, bits, one, two, _, _ = code.value.events([t for t, p in zip(texts, parts) if p == part])
                 total = sums.setdefault(part, np.zeros(size, np.uint32))
-                b = bits.astype(np.int64)
-                for base, slot, n in ((0, one, 1 << TABLE_BITS), (2 << TABLE_BITS, two, 1 << TABLE_BITS), (nodes_at, nodes.astype(np.int64), FREQUENT + CHUNK)):
-                    found = np.bincount(slot + b * n, minlength=2 * n)
-                    total[base : base + 2 * n] += found.astype(np.uint32)
+                for base, slot, n in ((0, one, 1 << TABLE_BITS), (2 << TABLE_BITS, two, 1 << TABLE_BITS), (nodes_at, nodes, FREQUENT + CHUNK)):
+                    np.add.at(total, slot + (bits * np.int64(n) + base), np.uint32(1))
         for part, total in sums.items():
             yield from _chunks(part, task, total.astype("<u8"))
 
@@ -267,7 +287,7 @@ def fit_weights(texts: DataFrame, code, tables) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, uses, now = np.zeros((GATES, INPUTS)), np.zeros(GATES), start
         for _, held in _batches(batches, 0):
-            nodes, bits, one, two, n = code.value.events(held)
+            nodes, bits, one, two, n, _ = code.value.events(held)
             x, gates = tables.value.inputs(nodes, one, two)
             _, s, u = mix(x, gates, bits, *_segments(n, [len(t) for t in held]), now)
             sums, uses = sums + s, uses + u
@@ -301,35 +321,34 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     log_rare = np.log10(rare_n + rare_v + 1)
     context = spark.sparkContext
     code = context.broadcast(Code.of(frequent, rare_n))
-    logs = context.broadcast({w: float(np.log10(n + 1) - log_base) for w, n in frequent})
-    learned = training.select("text", F.when(F.col("part") == WEIGHTS_PART, 1).otherwise(0).alias("part"))
+    logs = context.broadcast(np.append(np.log10(np.array([n for _, n in frequent]) + 1.0) - log_base, 0.0))  # a rare token's comes later
+    learned = training.select("text", (remainder(F.col("id"), WEIGHT_FOLDS) == 0).cast("int").alias("part"))
     chunks = common.written(count_bits(learned, code), "bit-counts").collect()  # a fixed number of chunks, two parts
     first = context.broadcast(_tables([r for r in chunks if r["part"] == 0]))
-    weights = fit_weights(training.filter(F.col("part") == WEIGHTS_PART).select("text"), code, first)
+    weights = fit_weights(learned.filter("part = 1").select("text"), code, first)
     tables = context.broadcast(_tables(chunks))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = logs.value.get
+        escape = len(logs.value) - 1
         for batch, held in _batches(batches, 2):
-            nodes, bits, one, two, n = code.value.events(held)
+            nodes, bits, one, two, n, symbols = code.value.events(held)
             x, gates = tables.value.inputs(nodes, one, two)
             lengths = np.array([len(t) for t in held], np.int64)
             p, _, _ = mix(x, gates, bits, *_segments(n, lengths.tolist()), weights)
-            sums = np.concatenate(([0.0], np.cumsum(np.log10(p), dtype=np.float64)))
-            token_ends = np.cumsum(n)[np.cumsum(lengths) - 1]
-            model = np.diff(np.concatenate(([0.0], sums[token_ends])))
-            base, seen, rare = [], [], []
-            for t in held:
-                found = list(map(known, t))
-                rare.append(list(Counter(w for w, f in zip(t, found) if f is None).items()) if None in found else [])
-                found = [f for f in found if f is not None]
-                base.append(sum(found))
-                seen.append(len(found))
+            ends = np.cumsum(lengths)
+            model = _sums(np.log10(p), np.cumsum(n)[ends - 1])
+            base, seen = _sums(logs.value[symbols], ends), _sums(symbols != escape, ends)
+            rare: list[Counter] = [Counter() for _ in held]
+            text, ends_list = 0, ends.tolist()
+            for at in np.nonzero(symbols == escape)[0].tolist():
+                while at >= ends_list[text]:
+                    text += 1
+                rare[text][held[text][at - ends_list[text]]] += 1  # counted from the end
             size = [len((t.as_py() or "").encode()) + 1 for t in batch.column(2)]
             kind = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))
-            rare_rows = pa.array([[{"word": w, "m": m} for w, m in r] for r in rare], kind)
+            rare_rows = pa.array([[{"word": w, "m": m} for w, m in r.items()] for r in rare], kind)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(lengths), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(model), pa.array(size, pa.int64()), rare_rows],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(lengths), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(model), pa.array(size, pa.int64()), rare_rows],
                 ["row", "id", "part", "n_tokens", "seen", "base", "model", "size", "rare"],
             )
 
