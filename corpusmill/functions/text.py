@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that are no keywords.
 STOP_WORDS = (
@@ -34,7 +35,7 @@ NORMAL = r"[\x{20}-\x{7F}\x{A0}-\x{017F}\x{AC00}-\x{D7AF}\x{4E00}-\x{9FFF}\x{300
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no function for it."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -65,8 +65,8 @@ over("g29_metadata_sections", lambda o, d: o.join(F.broadcast(o.sparkSession.cre
 over("a14_keyword_csv_export", lambda o, d: a.with_files(o, d).select(F.concat_ws(",", F.concat(F.lit('"'), F.replace("keyword", F.lit('"'), F.lit('""')), F.lit('"')), F.concat(F.lit('"'), "extractor", F.lit('"')), F.concat(F.format_number(F.floor(F.col("score") * 1000 + 0.5) / 10, 1), F.lit("%")), F.concat(F.lit('"'), "project", F.lit('"'))).alias("line")), """SELECT concat_ws(',', concat('"', replace(keyword, '"', '""'), '"'), concat('"', extractor, '"'), printf('%.1f', floor(score * 1000 + 0.5) / 10) || '%', concat('"', project, '"')) AS line FROM of""")
 over("e07_analysis_summary", lambda o, d: d.select("doc_id", F.length("text").alias("length")).join(o.groupBy("doc_id").agg(a.joined(F.concat("extractor", F.lit(":"), "keyword")).alias("keywords")), "doc_id", "left"), "SELECT d.doc_id, CAST(length(text) AS INT) AS length, k AS keywords FROM documents d LEFT JOIN (SELECT doc_id, string_agg(DISTINCT extractor || ':' || keyword, ',' ORDER BY extractor || ':' || keyword) AS k FROM occ GROUP BY 1) USING (doc_id)")
 # run metrics
-_W = t.words(F.col("text"))
-add("h01_text_stats", lambda s, d: docs(s, d).select("doc_id", F.length("text").alias("length"), F.size(_W).alias("words"), F.size(F.array_distinct(_W)).alias("different"), F.round(F.size(F.array_distinct(_W)) / F.greatest(F.size(_W), F.lit(1)), 6).alias("diversity")), f"SELECT doc_id, CAST(length(text) AS INT) AS length, CAST(len({d_words('text')}) AS INT) AS words, CAST(len(list_distinct({d_words('text')})) AS INT) AS different, round(len(list_distinct({d_words('text')})) / greatest(len({d_words('text')}), 1), 6) AS diversity FROM documents")
+_W = lambda: t.words(F.col("text"))
+add("h01_text_stats", lambda s, d: docs(s, d).select("doc_id", F.length("text").alias("length"), F.size(_W()).alias("words"), F.size(F.array_distinct(_W())).alias("different"), F.round(F.size(F.array_distinct(_W())) / F.greatest(F.size(_W()), F.lit(1)), 6).alias("diversity")), f"SELECT doc_id, CAST(length(text) AS INT) AS length, CAST(len({d_words('text')}) AS INT) AS words, CAST(len(list_distinct({d_words('text')})) AS INT) AS different, round(len(list_distinct({d_words('text')})) / greatest(len({d_words('text')}), 1), 6) AS diversity FROM documents")
 add("h02_candidate_stats", lambda s, d: k.counted_words(docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidates"), F.round(F.avg(F.length("keyword")), 6).alias("mean_length")), f"WITH {D_COUNTED} SELECT doc_id, count(*) AS candidates, round(avg(length(keyword)), 6) AS mean_length FROM counted GROUP BY doc_id")
 over("h03_similarity_stats", lambda o, d: o.groupBy("extractor").agg(F.count(F.lit(1)).alias("n"), a.mean(F.avg("score")).alias("mean"), F.round(F.stddev_pop("score"), 4).alias("std"), F.min("score").alias("low"), F.max("score").alias("top"), F.round(F.expr("percentile(score, 0.5)"), 6).alias("median")), "SELECT extractor, count(*) AS n, floor(avg(score) * 1000 + 1e-6) / 1000 AS mean, round(stddev_pop(score), 4) AS std, min(score) AS low, max(score) AS top, round(quantile_cont(score, 0.5), 6) AS median FROM occ GROUP BY extractor")
 add("h04_selection_stats", lambda s, d: k.counted_words(docs(s, d)).join(k.simple_keywords(docs(s, d)).select("doc_id", "keyword", F.lit(1).alias("chosen")), ["doc_id", "keyword"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("input"), F.count("chosen").alias("output")), f"WITH {D_OCC} SELECT doc_id, count(*) AS input, least(count(*), 10) AS output FROM counted GROUP BY doc_id")

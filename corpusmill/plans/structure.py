@@ -55,8 +55,8 @@ _S = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x))
 add("f08_chunk_summary", lambda s, d: st.chunk_summary(docs(s, d)), f"WITH l AS (SELECT doc_id, CAST(length(text) AS INT) AS length, {_S} AS l FROM documents) SELECT doc_id, length, CASE WHEN length(l[1]) > 100 THEN substr(l[1], 1, 100) || '...' ELSE l[1] END AS intro, CASE WHEN length(l[-1]) > 100 THEN substr(l[-1], 1, 100) || '...' ELSE l[-1] END AS conclusion, CAST(len(l) AS INT) AS lines FROM l")
 add("f09_chunk_structure", lambda s, d: st.chunk_structure(headed(s, d)), f"WITH {D_HEADED} SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#|^제?\\d+[장절]|^\\d+\\.'))) AS INT) AS headers, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*[-*•]\\s|^\\s*\\d+\\.\\s'))) AS INT) AS lists, len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 50)) > 0 AS has_paragraph FROM hd")
 _turn_words = lambda s, d: k.counted_words(s.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 10000 + F.col("turn")).alias("doc_id"), "text"))
-_rank = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-_top5 = lambda s, d: _turn_words(s, d).withColumn("rank", F.row_number().over(_rank)).filter("rank <= 5")
+_rank = lambda: Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
+_top5 = lambda s, d: _turn_words(s, d).withColumn("rank", F.row_number().over(_rank())).filter("rank <= 5")
 D_TURNS = D_COUNTED.replace("FROM documents", "FROM (SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations)") + ", t5 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM counted QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) <= 5)"
 add(
     "f10_integrate_keywords", lambda s, d: _top5(s, d).groupBy(F.lower("keyword").alias("keyword")).agg(F.count(F.lit(1)).alias("frequency"), F.max(0.9 - F.col("rank") * 0.1).alias("m"), F.min("doc_id").alias("first_chunk")).select("keyword", "frequency", F.round("m", 6).alias("score"), "first_chunk").orderBy(F.desc(F.col("score") * F.col("frequency")), "keyword").limit(50),

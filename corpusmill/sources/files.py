@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusmill.functions import text as t
 
@@ -38,7 +39,7 @@ def allowed_files(files: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataF
     return files.filter(F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)).isin(*allowed))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
@@ -75,7 +76,7 @@ def md_to_text(text: Column) -> Column:
         (r"!\[([^\]]*)\]\([^)]*\)", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"(?m)^>\s*", ""), (r"(?m)^[-*_]{3,}$", ""), (r"\n{3,}", "\n\n"),
     ):
         text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def text_to_markdown(text: Column) -> Column:
