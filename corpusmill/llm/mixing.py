@@ -122,14 +122,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows find their position by id; where rows share an id, each such row takes one of the id's positions.
     """
     if not common.ids_repeat(docs):
-        positions = mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("position").alias("_position"))
+        positions = common.written(mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("position").alias("_position")), "positions")
         placed = docs.join(positions, docs["doc_id"].eqNullSafe(positions["_id"]))
     else:
         numbered = docs.withColumn("_row", F.monotonically_increasing_id())
         numbered = common.written(numbered, "mix-rows")
         positions = mix_sources(numbered, id_col="_row").select(F.col("_row").alias("_id"), F.col("position").alias("_position"))
         placed = numbered.join(positions, numbered["_row"] == positions["_id"])
-    placed = common.written(placed.select(*docs.columns, "_position"), "mixed")
     return placed.repartitionByRange(common.parallelism(spark), "_position").sortWithinPartitions("_position").select(*docs.columns)
 
 
