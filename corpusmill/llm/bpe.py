@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import TextEncoder, Vocabulary, tokenizer_path
+from .pieces import TEXTS, TextEncoder, Vocabulary, tokenizer_path
 
 PAIRS = 1_000_000  # remembered pair tests of a worker
 
@@ -129,6 +129,11 @@ class Codec:
         values = self.pieces(text)
         return [i for v in values for i in v[0]], ",".join([v[1] for v in values])
 
+    def many(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
+        for at in range(0, len(texts), TEXTS):
+            for values in self.pieces.many([t or "" for t in texts[at : at + TEXTS]]):
+                yield [i for v in values for i in v[0]], ",".join([v[1] for v in values])
+
     def decode(self, ids: list[int]) -> str:
         """Bytes that form no character become U+FFFD."""
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -178,8 +183,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both, counts, encoded, decoded = codec(path), [], [], []
-            for text in batch.column(1):
-                ids, spelled = both.encode_with_text(text.as_py() or "")
+            for ids, spelled in both.many(batch.column(1).to_pylist()):
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(spelled.encode()).hexdigest())
                 decoded.append(hashlib.sha256(both.decode(ids).encode()).hexdigest())

@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Iterable
 
 GENERATION = 300_000  # entries of one generation of a worker's cache
+TEXTS = 128  # encoded together
 LONGEST = 64  # longer chunks are encoded but not remembered
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
@@ -94,19 +95,21 @@ class TextEncoder:
         return [values[p] for p in pieces]
 
     def _fill(self, keys: set[str]) -> dict:
-        """Values of chunks that the young generation lacks; a key is a chunk without its leading space."""
+        """Values of chunks that the young generation lacks. A key is a chunk without its leading space, or after a NUL one without any."""
         out, cut, single = {}, {}, []
         for k in keys:
             v = self.old.get(k)
             if v is not None:
                 out[k] = self.young[k] = v
-            elif k.isalpha():
-                single.append(k)  # letters alone are one piece
+                continue
+            text = k[1:] if k.startswith("\0") else " " + k
+            if text.isalpha() or k.isalpha():
+                single.append((k, text))  # letters alone are one piece
             else:
-                cut[k] = self.find(" " + k)
-        values = self._values({p for pieces in cut.values() for p in pieces} | {" " + k for k in single})
-        for k in single:
-            out[k] = values[" " + k]
+                cut[k] = self.find(text)
+        values = self._values({p for pieces in cut.values() for p in pieces} | {text for _, text in single})
+        for k, text in single:
+            out[k] = values[text]
         for k, pieces in cut.items():
             out[k] = v = self.join([values[p] for p in pieces])
             if len(k) <= LONGEST:
@@ -115,8 +118,8 @@ class TextEncoder:
             self.old, self.young = self.young, {}
         return out
 
-    def __call__(self, text: str) -> list:
-        """The values whose join is the value of the text."""
+    def _unusual(self, text: str) -> list | None:
+        """The values of an empty text or of one whose chunks cannot be told by spaces alone; None for any other."""
         if not text:
             return []
         if self.special is not None and any(a in text for a in self.added):
@@ -125,11 +128,23 @@ class TextEncoder:
                 out += [*self(text[at : m.start()]), self.added[m.group()]]
                 at = m.end()
             return out + self(text[at:])
-        if _WIDE.search(text):
-            return self._plain(text)
-        head, *rest = text.split(" ")
-        values = list(map(self.young.get, rest))
-        if None in values:
-            more = self._fill({k for k, v in zip(rest, values) if v is None})
-            values = [more[k] if v is None else v for k, v in zip(rest, values)]
-        return [*self._plain(head), *values]
+        return self._plain(text) if "\0" in text or _WIDE.search(text) else None
+
+    def many(self, texts: list[str]) -> list[list]:
+        """For each text the values whose join is the value of the text; new pieces of all are encoded together."""
+        out, missing = [], set()
+        for text in texts:
+            values = self._unusual(text)
+            keys = None
+            if values is None:
+                keys = text.split(" ")
+                keys[0:1] = ["\0" + keys[0]] if keys[0] else []
+                values = list(map(self.young.get, keys))
+                if None in values:
+                    missing.update([k for k, v in zip(keys, values) if v is None])
+            out.append((keys, values))
+        more = self._fill(missing)
+        return [[more[k] if v is None else v for k, v in zip(keys, values)] if keys and None in values else values for keys, values in out]
+
+    def __call__(self, text: str) -> list:
+        return self.many([text])[0]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import TextEncoder, Vocabulary, tokenizer_path
+from .pieces import TEXTS, TextEncoder, Vocabulary, tokenizer_path
 
 END_ID = 0
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 8192, 65536, 3
@@ -45,8 +45,14 @@ class IdEncoder:
         for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
             yield self._pack(e.ids)
 
+    def many(self, texts: list[str | None]) -> Iterator[bytes]:
+        end = self._pack([END_ID])
+        for at in range(0, len(texts), TEXTS):
+            for values in self.pieces.many([t or "" for t in texts[at : at + TEXTS]]):
+                yield b"".join(values) + end
+
     def __call__(self, text: str) -> bytes:
-        return b"".join(self.pieces(text)) + self._pack([END_ID])
+        return next(self.many([text]))
 
 
 _encoders: dict[str, IdEncoder] = {}  # of this Python worker
@@ -104,8 +110,7 @@ def write_ids(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
         encode_text, compress = encoder(path), _compressor(dictionary, level).compress
         for batch in batches:
             counts, frames = [], []
-            for text in batch.column(1):
-                ids = encode_text(text.as_py() or "")
+            for ids in encode_text.many(batch.column(1).to_pylist()):
                 counts.append(len(ids) // encode_text.width)
                 frames.append(compress(ids))
             ids = batch.column(0)
