@@ -156,7 +156,7 @@ def test_mixing(make_docs):
     assert len(given) == 3000 and {r.period_slots for r in given} == {5}
     assert mixing.mix_sources(make_docs(EMPTY)).count() == 0
     repeated = make_docs([(1, "a"), (1, "a"), (2, "b")])
-    assert mixing.stage(None or repeated.sparkSession, repeated, "").count() == 3
+    assert mixing.stage(repeated.sparkSession, repeated, "").count() == 3
 
 
 def test_sharding(make_docs):
