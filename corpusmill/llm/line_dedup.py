@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD = (4, 5)  # similarity of 0.8 or more, as a fraction
-RARITY_SLOTS = 1 << 16  # token counts are kept by hash slot: any order is right, a rare-first order is fast
+RARITY_SLOTS = 1 << 20  # token counts are kept by hash slot: any order is right, a rare-first order is fast
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, line_no (from 0) and the line's different tokens; lines without a token have none."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "line"))
-    words = F.array_distinct(F.filter(F.split("line", SPACES), lambda w: w != ""))
-    return lines.select("doc", "line_no", words.alias("words"))
+def line_words(line: Column) -> Column:
+    """The line's different tokens."""
+    return F.array_distinct(F.filter(F.split(line, SPACES), lambda w: w != ""))
 
 
 def _at_least(n: Column, num: int, den: int) -> Column:
@@ -27,16 +25,19 @@ def _at_least(n: Column, num: int, den: int) -> Column:
     return ((n * num + (den - 1)) / den).cast("int")
 
 
-def similar_lines(lines: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Rows of `lines` (doc, line_no, words) that have an earlier line of the same tokens or of a Jaccard similarity at the threshold.
+def similar_lines(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The lines (doc, line_no from 0) of `texts` (doc, text) that have an earlier line of the same tokens or of a Jaccard similarity at the threshold.
 
     Earlier means a smaller (doc, line_no). Lines of equal token sets are one set, placed where the first of them is. Of each
-    set the rarest tokens, as many as a similar set must share one of, are its prefix; sets that share a prefix token
-    are compared if their sizes and the token's places leave enough room, and verified on the tokens themselves.
+    set the rarest tokens, as many as a similar set must share one of, are its prefix; fewer are enough on the side of the smaller
+    set. Sets meet at a shared prefix token if their sizes and the token's places leave enough room. The longer the prefixes
+    are against the tokens that may differ, the more of them must be shared; pairs with fewer are dropped, the others are
+    verified on the tokens themselves.
     """
     num, den = threshold
     slot = lambda w: F.pmod(F.xxhash64(w), F.lit(RARITY_SLOTS)).cast("int")
-    whole = lines.filter(F.size("words") > 0)
+    lines = texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    whole = lines.select("doc", "line_no", line_words(F.col("line")).alias("words")).filter(F.size("words") > 0)
     counts = whole.select(F.explode(F.transform("words", slot)).alias("s")).groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("n"))
     counts = common.written(counts, "token-slots")
     by_slot = [0] * RARITY_SLOTS
@@ -62,26 +63,34 @@ def similar_lines(lines: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> D
     copies = keyed.join(sets, ["k1", "k2"]).filter(here > F.col("first")).select("doc", "line_no")
     # sets of fewer than four tokens have no other set within 0.8: of sizes a <= b, a / b must reach it
     joinable = keyed.filter(F.col("size") >= int(num / (den - num))).join(sets.select(F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")), ["doc", "line_no"], "left_semi")
-    postings = joinable.select("doc", "line_no", F.col("size").cast("short").alias("size"), F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place").cast("short"))
-    a, b = postings.alias("a"), postings.alias("b")
+    size_of = F.col("size")
+    probe = size_of - _at_least(size_of, num, den) + 1
+    index = size_of - _at_least(size_of * 2, num, num + den) + 1
+    postings = joinable.select("doc", "line_no", size_of.cast("short").alias("size"), F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place").cast("short"))
+    a, b = postings.filter(F.col("place") < index.cast("int")).alias("a"), postings.alias("b")
     sa, sb = F.col("a.size").cast("int"), F.col("b.size").cast("int")
-    need = _at_least(sa + sb, num, num + den)
-    pairs = a.join(
+    first = F.struct("a.doc", "a.line_no") < F.struct("b.doc", "b.line_no")
+    met = a.join(
         b,
-        (F.col("a.token") == F.col("b.token"))
-        & (F.struct("a.doc", "a.line_no") < F.struct("b.doc", "b.line_no"))
-        & (sa * den >= sb * num) & (sb * den >= sa * num)
-        & (F.least(sa - F.col("a.place"), sb - F.col("b.place")) >= need),
-    ).select(F.col("a.doc").alias("doc_a"), F.col("a.line_no").alias("line_a"), F.col("b.doc").alias("doc_b"), F.col("b.line_no").alias("line_b"))
-    pairs = common.written(pairs.distinct(), "line-pairs")
-    # the tokens of lines that are in a pair
+        (F.col("a.token") == F.col("b.token")) & ((sa < sb) | ((sa == sb) & first)) & (sa * den >= sb * num),
+    ).select(F.col("a.doc").alias("doc_a"), F.col("a.line_no").alias("line_a"), sa.alias("sa"), F.col("b.doc").alias("doc_b"), F.col("b.line_no").alias("line_b"), sb.alias("sb"), (sa - F.col("a.place")).alias("left_a"), (sb - F.col("b.place")).alias("left_b"))
+    shared = met.groupBy("doc_a", "line_a", "sa", "doc_b", "line_b", "sb").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("left_a"), F.min("left_b")).alias("left"))
+    short, long = F.col("sa"), F.col("sb")
+    need = _at_least(short + long, num, num + den)
+    spare_a = short - _at_least(short * 2, num, num + den) + 1 - (short - need)
+    spare_b = long - _at_least(long, num, den) + 1 - (long - need)
+    pairs = common.written(shared.filter((F.col("n") >= F.least(spare_a, spare_b)) & (F.col("n") - 1 + F.col("left") >= need)).drop("n", "left", "sa", "sb"), "line-pairs")
+    # the tokens of lines that are in a pair, cut out of their documents
     needed = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b")).distinct()
-    found = common.written(whole.join(needed, ["doc", "line_no"], "left_semi"), "pair-lines")
+    wanted = needed.groupBy("doc").agg(F.collect_set("line_no").alias("wanted"))
+    cut = texts.join(wanted, "doc").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"), "wanted").filter(F.array_contains("wanted", F.col("line_no")))
+    found = common.written(cut.select("doc", "line_no", line_words(F.col("line")).alias("words")), "pair-lines")
     left, right = (found.select(F.col("doc").alias(f"doc_{x}"), F.col("line_no").alias(f"line_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     both = pairs.join(left, ["doc_a", "line_a"]).join(right, ["doc_b", "line_b"])
     shared = F.size(F.array_intersect("words_a", "words_b"))
     alike = both.filter(shared * den >= (F.size("words_a") + F.size("words_b") - shared) * num)
-    later = alike.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no")).distinct()
+    forward = F.struct("doc_a", "line_a") < F.struct("doc_b", "line_b")
+    later = alike.select(F.when(forward, F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc"), F.when(forward, F.col("line_b")).otherwise(F.col("line_a")).alias("line_no")).distinct()
     # every copy of a removed set goes too; copies are already there
     return copies.union(later).distinct()
 
@@ -99,7 +108,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = common.ranked(rows.withColumn("_sha", F.sha2(F.coalesce("_text", F.lit("")), 256)), [], ["_id", "_sha"], "_row").drop("_sha")
     else:
         rows = rows.withColumn("_row", F.coalesce(F.col("_id"), F.lit(-(2**63))))
-    removed = similar_lines(token_sets(rows, "_row", "_text"), threshold)
+    removed = similar_lines(rows.select(F.col("_row").alias("doc"), F.coalesce("_text", F.lit("")).alias("text")), threshold)
     by_doc = removed.groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
     sized = rows.select("_row", F.col("_id").alias(id_col), F.size(F.split(F.coalesce("_text", F.lit("")), "\n", -1)).alias("n_lines"))
     return sized.join(by_doc, sized["_row"] == by_doc["doc"], "left").select(
