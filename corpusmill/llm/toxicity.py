@@ -111,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Models, np.ndarray] | flo
 
     The models count the character sequences of words in as many ordinary as toxic documents. The calibration, on labelled rows that the models have not seen,
     turns the mean ratio and the mean excess of clearly toxic words, plain and times the square root of the length, into a
-    probability.
+    probability. Where SAMPLE cuts one class more than the other, the intercept gets the log ratio of the two sampling rates back, so
+    that probabilities are those of all labelled rows at any size.
     """
     spark = docs.sparkSession
     rows = common.written(_labelled(docs, labels), "labelled")
@@ -158,12 +159,16 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Models, np.ndarray] | flo
         return out
 
     models = Models(table("gram", F.sum("n")), table("context", F.sum("n")), table("context", F.count(F.lit(1))))
+    whole = {r["toxic"]: r["n"] for r in check.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     check = common.written(_sample(check, 1, SAMPLE).union(_sample(check, 0, SAMPLE)), "calibration-sample")
     seen = ratios(_texts(docs, check).select("doc_id", "text"), models).join(F.broadcast(check.select(F.col("doc_id").alias("id"), "toxic")), "id").toArrow()
     truth = seen["toxic"].to_numpy()
     if truth.size == 0 or truth.min() == truth.max():
         return models, np.array([0.0, 0.0, 1.0, 0.0, 0.0])
-    return models, logistic_fit(_features(*(seen[c].to_numpy() for c in ("ratio", "excess", "words"))), truth)
+    weights = logistic_fit(_features(*(seen[c].to_numpy() for c in ("ratio", "excess", "words"))), truth)
+    rate = {c: min(SAMPLE, whole[c]) / whole[c] for c in (0, 1)}
+    weights[0] += np.log(rate[0] / rate[1])
+    return models, weights
 
 
 def _features(ratio: np.ndarray, excess: np.ndarray, words: np.ndarray) -> np.ndarray:

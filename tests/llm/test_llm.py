@@ -198,6 +198,16 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_keeps_the_true_share(make_docs, spark, monkeypatch):
+    """Texts that tell nothing score the share of toxic labels, also where the sample holds as many of each class."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    labels = [(i, int(i % 10 == 0)) for i in range(1000)]
+    rows = toxicity.score_toxicity(make_docs([(i, "the same words") for i, _ in labels]), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    part = [toxic for i, toxic in labels if zlib.crc32(str(i).encode()) % toxicity.FOLDS == toxicity.CALIBRATION]
+    assert sum(part) > 10
+    assert len(rows) == 1000 and all(r.score == pytest.approx(sum(part) / len(part), rel=0.02) and r.predicted == 0 for r in rows)
+
+
 def test_lm_scoring(make_docs):
     docs = TEXTS + [(200 + i, "the cat sat on the mat " * 5 + f"w{i}") for i in range(80)]
     rows = lm_scoring.score_texts(make_docs(docs)).collect()
