@@ -66,9 +66,9 @@ def similar_lines(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> D
     size_of = F.col("size")
     probe = size_of - _at_least(size_of, num, den) + 1
     index = size_of - _at_least(size_of * 2, num, num + den) + 1
-    postings = joinable.select("doc", "line_no", size_of.cast("short").alias("size"), F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place").cast("short"))
-    a, b = postings.filter(F.col("place") < index.cast("int")).alias("a"), postings.alias("b")
-    sa, sb = F.col("a.size").cast("int"), F.col("b.size").cast("int")
+    postings = joinable.select("doc", "line_no", size_of.alias("size"), F.posexplode("prefix").alias("place", "token"))
+    a, b = postings.filter(F.col("place") < index).alias("a"), postings.alias("b")
+    sa, sb = F.col("a.size"), F.col("b.size")
     first = F.struct("a.doc", "a.line_no") < F.struct("b.doc", "b.line_no")
     met = a.join(
         b,

@@ -147,6 +147,13 @@ def test_line_dedup(make_docs):
     assert line_dedup.dedup_lines(make_docs(EMPTY)).count() == 0
 
 
+def test_line_dedup_of_a_very_long_line(make_docs):
+    """More different tokens on a line than a short counts."""
+    words = [f"w{i}" for i in range(40_000)]
+    found = line_dedup.dedup_lines(make_docs([(1, " ".join(words)), (2, "few words\n" + " ".join([*words[100:], "other"])), (3, " ".join(words[:20_000]))]))
+    assert {r.doc_id: r.removed for r in found.collect()} == {1: [], 2: [1], 3: []}
+
+
 def test_mixing(make_docs):
     docs = make_docs([(i, "t") for i in range(3000)], source=lambda i: None if i % 50 == 0 else "big" if i % 3 else "small")
     rows = sorted(mixing.mix_sources(docs).collect(), key=lambda r: r.position)
