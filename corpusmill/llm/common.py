@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_ROW_BITS = 33  # monotonically_increasing_id() keeps the row of a partition in its low 33 bits
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a new one of our own where it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+from corpusmill.sources.tables import new_path, shared_dir, written  # noqa: F401
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Cut the lineage: write `df` as a table in the shared folder and read it back.
-
-    A lost executor then costs a reread of those files, not the work behind them.
-    """
-    path = new_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_ROW_BITS = 33  # monotonically_increasing_id() keeps the row of a partition in its low 33 bits
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources import tables
+
 #: Words and patterns by which a text shows its domain, in the order in which domains win ties.
 DOMAINS = {
     "technical": ("API function class method algorithm database server framework library code programming software system architecture implementation", [r"\b(def|function|class|import|return)\b", r"\b(HTTP|REST|JSON|XML|SQL)\b", r"\b(server|client|database|API)\b"]),
@@ -123,12 +125,25 @@ def graphml_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.concat(F.lit('<node id="'), "id", F.lit('"><data key="type">'), "type", F.lit('</data><data key="name">'), name, F.lit("</data></node>")).alias("line"))
 
 
+def walk_down(parents: DataFrame, start: Column, step: Column) -> DataFrame:
+    """(doc_id, line_no, value) of each section that a root leads to: `start` at a root, below it `step` of the parent's `value`.
+
+    One join per level, each level a written table, until a level has no rows; no number of rows or levels ends it early.
+    """
+    spark, paths = parents.sparkSession, []
+    level = parents.filter("parent_line IS NULL").select("doc_id", "line_no", start.alias("value"))
+    schema = level.schema
+    while True:
+        paths.append(tables.new_path(spark, "walk"))
+        level.write.parquet(paths[-1])
+        level = spark.read.schema(schema).parquet(paths[-1])
+        if level.isEmpty():
+            return spark.read.schema(schema).parquet(*paths)
+        above = level.select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"), "value")
+        level = parents.join(above, (F.col("doc_id") == F.col("_doc")) & (F.col("parent_line") == F.col("_line"))).select("doc_id", "line_no", step.alias("value"))
+
+
 def depths(parents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, depth): the distance of each section to its root, by walking up the parents."""
-    parents.createOrReplaceTempView("section_parents")
-    return parents.sparkSession.sql(
-        """WITH RECURSIVE walk(doc_id, line_no, depth) AS (
-             SELECT doc_id, line_no, 0 FROM section_parents WHERE parent_line IS NULL
-             UNION ALL SELECT p.doc_id, p.line_no, w.depth + 1 FROM section_parents p JOIN walk w ON p.doc_id = w.doc_id AND p.parent_line = w.line_no)
-           SELECT * FROM walk"""
-    )
+    """(doc_id, line_no, depth): the distance of each section to its root, by walking down from the roots."""
+    parents = tables.written(parents, "section-parents")
+    return walk_down(parents, F.lit(0), F.col("value") + 1).withColumnRenamed("value", "depth")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources import tables
+
+from .graph import walk_down
+
 #: Words that show a tone; the first of equals counts.
 TONES = {"학술적": "연구 분석 research study", "기술적": "시스템 구현 system code", "일상적": "the and of"}
 DEFAULT_TONE = "일반적"
@@ -86,10 +90,7 @@ def near_pairs(pairs: DataFrame, places: DataFrame, docs: DataFrame, within: int
 
 def leaf_paths(parents: DataFrame) -> DataFrame:
     """The path of line numbers from the root to each section that has none below."""
-    parents.createOrReplaceTempView("section_parents")
-    return parents.sparkSession.sql(
-        """WITH RECURSIVE walk(doc_id, line_no, path) AS (
-             SELECT doc_id, line_no, CAST(line_no AS STRING) FROM section_parents WHERE parent_line IS NULL
-             UNION ALL SELECT p.doc_id, p.line_no, concat(w.path, '>', p.line_no) FROM section_parents p JOIN walk w ON p.doc_id = w.doc_id AND p.parent_line = w.line_no)
-           SELECT w.* FROM walk w LEFT ANTI JOIN section_parents p ON w.doc_id = p.doc_id AND w.line_no = p.parent_line"""
-    )
+    parents = tables.written(parents, "section-parents")
+    paths = walk_down(parents, F.col("line_no").cast("string"), F.concat("value", F.lit(">"), "line_no")).withColumnRenamed("value", "path")
+    inner = parents.select("doc_id", F.col("parent_line").alias("line_no"))
+    return paths.join(inner, ["doc_id", "line_no"], "left_anti")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
-from corpusmill.operators import analytics, graph, keywords, positions, structure
+from corpusmill.operators import analytics, graph, keywords, positions, records, structure
 from corpusmill.plans import registry
 from corpusmill.sources import files
 
@@ -93,6 +93,19 @@ def test_domain_golden(spark, make_docs):
     assert scores["technical"] == pytest.approx(2 / 15 * 0.6 + 0.4, abs=1e-6)
 
 
+def test_walks_have_no_row_limit(spark):
+    """More sections than a recursive query may return, in chains of four with a second leaf at the root."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        parents = spark.createDataFrame([(d, n, up) for d in range(60) for n, up in ((1, None), (3, 1), (4, 3), (7, 4), (9, 1))], "doc_id bigint, line_no int, parent_line int")
+        found = {(r.doc_id, r.line_no): r.depth for r in graph.depths(parents).collect()}
+        assert found == {(d, n): k for d in range(60) for n, k in ((1, 0), (3, 1), (4, 2), (7, 3), (9, 1))}
+        assert sorted(r.path for r in records.leaf_paths(parents).collect()) == ["1>3>4>7"] * 60 + ["1>9"] * 60
+        assert graph.depths(parents.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", "x", 0.5, None), (1, "b", "y", 0.5, None)], "doc_id bigint, keyword string, extractor string, score double, category string")
     new = spark.createDataFrame([(1, "c", "x", 0.9, None)], old.schema)
