@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_ROWS, PERIOD, EXPONENT, MAX_SOURCES = 16, 1000, 0.5, 1024
+BLOCK_ROWS, PERIOD, EXPONENT = 16, 1000, 0.5
 
 #: Block k (from 0) of a source with w blocks in a period of p slots may run in slots [release, deadline).
 RELEASE, DEADLINE = "CAST(({k}) * p DIV ({w}) AS BIGINT)", "CAST((({k} + 1) * p + ({w}) - 1) DIV ({w}) AS BIGINT)"
@@ -30,23 +30,21 @@ aggregate(
 """
 
 
-def target_weights(docs: DataFrame, weights: dict[str, int] | None, source_col: str, period: int, exponent: float, max_sources: int) -> DataFrame:
-    """One row per source, at most max_sources + 1: source, w (blocks a period), rows, i (its number).
+def target_weights(docs: DataFrame, weights: dict[str, int] | None, source_col: str, period: int, exponent: float) -> DataFrame:
+    """One row per source: source, rows, w (blocks a period), pooled.
 
-    Without given weights a source's share goes with its row count to the power `exponent`. Sources beyond the
-    max_sources largest, and with given weights all unnamed ones, queue up together as one pooled source of the total
-    weight 1 (null name, pooled true); none of their rows is lost.
+    Without given weights each source, however many there are, has a weight of its own: its share of the period goes with its row count
+    to the power `exponent`, and it gets one block at least. With given weights all unnamed ones queue up together as one
+    pooled source of the total weight 1 (null name, pooled true); none of their rows is lost.
     """
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
     if weights is None:
-        # the largest max_sources by a bounded top-k, the rest pooled
-        top = counts.orderBy(F.desc("rows"), F.col("source")).limit(max_sources).withColumn("share", F.pow("rows", F.lit(exponent)))
-        whole = top.agg(F.sum("share").alias("whole"))
-        named = top.join(F.broadcast(whole), F.lit(True)).withColumn("w", F.greatest(F.lit(1), F.floor(F.col("share") / F.col("whole") * period)).cast("bigint"))
-        named = named.select("source", "rows", "w", F.lit(False).alias("pooled"))
-    else:
-        table = docs.sparkSession.createDataFrame([(s, int(w)) for s, w in weights.items()], "source string, w bigint")
-        named = counts.join(F.broadcast(table), "source").select("source", "rows", "w", F.lit(False).alias("pooled"))
+        shares = counts.withColumn("share", F.pow("rows", F.lit(exponent)))
+        whole = shares.agg(F.sum("share").alias("whole"))
+        named = shares.join(F.broadcast(whole), F.lit(True)).withColumn("w", F.greatest(F.lit(1), F.floor(F.col("share") / F.col("whole") * period)).cast("bigint"))
+        return named.select("source", "rows", "w", F.lit(False).alias("pooled"))
+    table = docs.sparkSession.createDataFrame([(s, int(w)) for s, w in weights.items()], "source string, w bigint")
+    named = counts.join(F.broadcast(table), "source").select("source", "rows", "w", F.lit(False).alias("pooled"))
     rest = counts.join(F.broadcast(named.select(F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s")), "left_anti")
     pooled = rest.agg(F.sum("rows").alias("rows")).filter("rows > 0").select(F.lit(None).cast("string").alias("source"), "rows", F.lit(1).cast("bigint").alias("w"), F.lit(True).alias("pooled"))
     return named.unionByName(pooled)
@@ -60,7 +58,6 @@ def mix_sources(
     block_rows: int = BLOCK_ROWS,
     period: int = PERIOD,
     exponent: float = EXPONENT,
-    max_sources: int = MAX_SOURCES,
 ) -> DataFrame:
     """One row per input row: id, source, weight, period_slots, block, release, deadline, slot, position.
 
@@ -72,8 +69,8 @@ def mix_sources(
     dropped or repeated. A null source is a source of its own. Rows that tie on id are ordered arbitrarily. An empty
     table gives an empty result.
     """
-    chosen = target_weights(docs, weights, source_col, period, exponent, max_sources)
-    targets = common.written(chosen.coalesce(1), "targets")  # max_sources + 1 rows at most
+    chosen = target_weights(docs, weights, source_col, period, exponent)
+    targets = common.written(chosen.coalesce(1), "targets")  # a row for each source
     ordered = F.sort_array(F.collect_list(F.struct("pooled", "source", "w", "rows"))).alias("all")
     plan = targets.agg(ordered).select(
         "all", F.expr("transform(all, x -> x.w)").alias("ws"), F.expr("aggregate(all, 0L, (a, x) -> a + x.w)").alias("p")

@@ -166,6 +166,13 @@ def test_mixing(make_docs):
     assert mixing.stage(repeated.sparkSession, repeated, "").count() == 3
 
 
+def test_mixing_pools_no_source(make_docs):
+    """Each of many equal sources has a slot of its own in the period, and its rows lie where its share says."""
+    rows = mixing.mix_sources(make_docs([(i, "t") for i in range(3300)], source=lambda i: f"s{i % 1100:04}"), block_rows=1).collect()
+    assert {(r.weight, r.period_slots) for r in rows} == {(1, 1100)}
+    assert all(r.position == r.slot == r.doc_id and r.block == r.doc_id // 1100 for r in rows)
+
+
 def test_sharding(make_docs):
     docs = [(i, "x" * (i % 97)) for i in range(4000)] + [(5000 + i, "copy " * 20) for i in range(2000)] + [(9999, None), (9999, None)]
     rows = sharding.assign_shards(make_docs(docs)).collect()
