@@ -1,6 +1,8 @@
 """Each operator against a brute-force version on small hand-made tables, with the cases its docstring defines."""
 
+import bisect
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -186,6 +188,39 @@ def test_sharding(make_docs):
     assert sharding.assign_shards(make_docs(EMPTY)).count() == 0
 
 
+def test_splitters_against_sorted_keys(spark):
+    """Each boundary leaves the target's bytes below it but for the tolerance or one row; a hot text and equal rows are split."""
+    rng = random.Random(7)
+    rows = [(rng.getrandbits(63), rng.getrandbits(63), rng.getrandbits(63), rng.randint(8, 900)) for _ in range(3000)]
+    rows += [(5 << 50, rng.getrandbits(63), rng.getrandbits(63), 50) for _ in range(3000)]
+    rows += [(5 << 50, 77, rng.getrandbits(63), 40) for _ in range(3000)] + [(9, 9, 9, 30_000)]
+    keys = spark.createDataFrame(rows, "_k0 bigint, _k1 bigint, _k2 bigint, size bigint")
+    rows.sort()
+    ends = list(itertools.accumulate(r[3] for r in rows))
+    for shards in (1, 2, 24):
+        edges = sharding.splitters(keys, shards)
+        assert edges == sorted(edges) and len(edges) == shards - 1
+        for i, edge in enumerate(edges):
+            at = bisect.bisect_left(rows, edge)  # rows below the edge
+            below, target = ends[at - 1] if at else 0, ends[-1] * (i + 1) / shards
+            apart = abs(below - target) - sharding.TOLERANCE * ends[-1] / shards
+            assert apart <= 0 or abs(below - target) <= max(rows[at - 1][3] if at else 0, rows[at][3])
+
+
+def test_sharding_of_equal_rows(make_docs, spark):
+    docs = make_docs([(1, "same text")] * 3000 + [(2, "x" * 2000)])
+    sizes: Counter = Counter()
+    for r in sharding.assign_shards(docs).collect():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 2008
+    out = common.new_path(spark, "shards")
+    sharding.write_shards(docs.withColumnRenamed("lang", "_row"), out, shards=4)
+    back = spark.read.parquet(out)
+    assert back.count() == 3001 and sorted(r.shard for r in back.select("shard").distinct().collect()) == [0, 1, 2, 3]
+    with pytest.raises(ValueError):
+        sharding.write_shards(back, out)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(800)] + [(800, None), (801, [1.0, None]), (802, [float("nan")] * 8), (803, [1e4] * 3), (900, [0.5] * 8), (901, [0.5] * 8)]
