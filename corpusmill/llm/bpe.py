@@ -3,6 +3,9 @@
 For every prefix of a pre-token exactly one token can end its encoding. An automaton over the vocabulary lists the tokens that are
 suffixes of each prefix, longest first; a token is the prefix's last one if it may stand right after the last token of the
 prefix that remains. Back-pointers then give the ids. The work is linear in the text, also for one endless word.
+
+Many pre-tokens take each step together, as columns of arrays: prefixes of one length, their automaton states, the candidates for their
+last tokens. Very long pre-tokens are walked one by one, by the same rule.
 """
 
 from __future__ import annotations
@@ -10,129 +13,243 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import common
-from .pieces import TEXTS, TextEncoder, Vocabulary, tokenizer_path
-
-PAIRS = 1_000_000  # remembered pair tests of a worker
+from .pieces import LONGEST, PATTERN, Generations, TextEncoder, Vocabulary, tokenizer_path
+
+PAIR_BITS = 20  # slots of the remembered pair tests of a worker
+PIECES = 16_384  # pre-tokens that step together
+NEVER = 1 << 40  # later than every merge
+
+
+class SuffixAutomaton:
+    """By state: the longest token that is a suffix of what was read; by token: the next shorter suffix that is one."""
+
+    def __init__(self, tokens: dict[bytes, int], size: int) -> None:
+        children: list[dict[int, int]] = [{}]
+        depth, parent, letter, token = [0], [0], [0], [-1]
+        for word, i in tokens.items():
+            node = 0
+            for byte in word:
+                child = children[node].get(byte)
+                if child is None:
+                    child = children[node][byte] = len(children)
+                    children.append({})
+                    depth.append(depth[node] + 1)
+                    parent.append(node)
+                    letter.append(byte)
+                    token.append(-1)
+                node = child
+            token[node] = i
+        depth, parent, letter, token = (np.array(x, np.int32) for x in (depth, parent, letter, token))
+        self.goto, fail = np.zeros((len(depth), 256), np.int32), np.zeros(len(depth), np.int32)
+        self.longest, self.shorter = token.copy(), np.full(size, -1, np.int32)
+        for level in range(1, int(depth.max()) + 1):
+            nodes = np.nonzero(depth == level)[0]
+            if level > 1:
+                fail[nodes] = self.goto[fail[parent[nodes]], letter[nodes]]
+            own, other = token[nodes], self.longest[fail[nodes]]
+            self.longest[nodes] = np.where(own >= 0, own, other)
+            self.shorter[own[own >= 0]] = other[own >= 0]
+            if level == 1:
+                self.goto[0, letter[nodes]] = nodes
+            # a state goes where its suffix would go, except along its own edges
+            self.goto[nodes] = self.goto[fail[nodes]]
+            below = np.nonzero(depth == level + 1)[0]
+            self.goto[parent[below], letter[below]] = below
 
 
 class PrefixBpe:
     def __init__(self, vocabulary: Vocabulary) -> None:
-        import ahocorasick
-
-        self.vocabulary = vocabulary
-        self.pair_rank = {pair: rank for rank, pair in reversed(list(enumerate(vocabulary.merges)))}
-        self.rank: dict[int, int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
+        n = len(vocabulary.lengths)
+        self.length = np.where(np.isin(np.arange(n), list(vocabulary.ids.values())), vocabulary.lengths, 0).astype(np.int32)
+        pair_rank: dict[int, int] = {}
+        self.rank, self.left, self.right = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for rank, (a, b) in enumerate(vocabulary.merges):
+            pair_rank.setdefault(a << 32 | b, rank)
             whole = vocabulary.ids[vocabulary.bytes[a] + vocabulary.bytes[b]]
-            if whole not in self.parts:
-                self.rank[whole], self.parts[whole] = rank, (a, b)
-        self.length = [0] * (max(vocabulary.bytes) + 1)
-        for b, i in vocabulary.ids.items():
-            self.length[i] = len(b)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for b, i in vocabulary.ids.items():
-            self.automaton.add_word(b.decode("latin-1"), i)
-        self.automaton.make_automaton()
-        self.sound: dict[int, bool] = {}
-        self.pairs: dict[int, bool] = {}  # by left * 2**32 + right
-
-    def _stay_apart(self, left: int, right: int, limit: int) -> bool:
-        """No merge joins the two before the merge with rank `limit`.
+            if self.rank[whole] < 0:
+                self.rank[whole], self.left[whole], self.right[whole] = rank, a, b
+        self.pair_keys = np.array(sorted(pair_rank), np.int64)
+        self.pair_ranks = np.array([pair_rank[k] for k in self.pair_keys.tolist()], np.int64)
+        self.automaton = SuffixAutomaton(vocabulary.ids, n)
+        # sound: the token's own bytes encode as the token
+        merged = np.nonzero(self.rank >= 0)[0]
+        self.sound = self.length == 1
+        apart = self._stay_apart(self.left[merged], self.right[merged], self.rank[merged])
+        for i, ok in sorted(zip(merged.tolist(), apart.tolist()), key=lambda x: self.rank[x[0]]):
+            self.sound[i] = ok and self.sound[self.left[i]] and self.sound[self.right[i]]
+        # slots of remembered pair tests: the pair, shifted up one bit, and the answer
+        self.tests = np.full(1 << PAIR_BITS, -1, np.int64)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair, NEVER if there is none."""
+        if not len(self.pair_keys):
+            return np.full(len(left), NEVER)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
+
+    def _stay_apart(self, left: np.ndarray, right: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """For each pair: no merge joins the two before the merge with rank `limit`.
 
         Going back in time, whichever of the two touching tokens was formed last falls into its parts; two tokens that ever
         touch must not have a merge earlier than the one that used up one of them. Of equal merges the leftmost is first.
         """
-        rank, parts, strict = self.rank, self.parts, True
-        while True:
-            joined = self.pair_rank.get((left, right))
-            if joined is not None and (joined < limit or joined == limit and not strict):
-                return False
-            a, b = rank.get(left, -1), rank.get(right, -1)
-            if a < 0 and b < 0:
-                return True
-            if a > b:
-                limit, strict, left = a, True, parts[left][1]
-            else:
-                limit, strict, right = b, False, parts[right][0]
-
-    def _sound(self, token: int) -> bool:
-        """The token's own bytes encode as the token."""
-        known = self.sound.get(token)
-        if known is None:
-            if token in self.parts:
-                a, b = self.parts[token]
-                known = self._sound(a) and self._sound(b) and self._stay_apart(a, b, self.rank[token])
-            else:
-                known = self.length[token] == 1
-            self.sound[token] = known
-        return known
-
-    def _follows(self, left: int, right: int) -> bool:
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        known = self.pairs[left << 32 | right] = self._sound(right) and self._stay_apart(left, right, len(self.pair_rank) + 1)
-        return known
+        out, todo, strict = np.ones(len(left), bool), np.arange(len(left)), np.ones(len(left), bool)
+        while len(todo):
+            joined = self._joined(left, right)
+            bad = (joined < limit) | (joined == limit) & ~strict & (joined < NEVER)
+            out[todo[bad]] = False
+            a, b = self.rank[left], self.rank[right]
+            on = ~bad & ((a >= 0) | (b >= 0))
+            todo, left, right, a, b = todo[on], left[on], right[on], a[on], b[on]
+            strict = a > b
+            limit = np.maximum(a, b)
+            left, right = np.where(strict, self.right[left], left), np.where(strict, right, self.left[right])
+        return out
+
+    def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For each pair: the second may stand right after the first."""
+        pair = left << 32 | right
+        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        held = self.tests[slot]
+        out = (held & 1).astype(bool)
+        new = np.nonzero(held >> 1 != pair)[0]
+        if len(new):
+            answer = self.sound[right[new]] & self._stay_apart(left[new], right[new], np.full(len(new), NEVER))
+            out[new] = answer
+            self.tests[slot[new]] = pair[new] << 1 | answer
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
-        length, known, done = self.length, self.pairs.get, -1
-        last = [-1] * len(piece)  # by the prefix's last byte
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            if end == done:
-                continue
-            start = end - length[token]
-            if start < 0:
-                fits = self._sound(token)
-            else:
-                fits = known(last[start] << 32 | token)
-                if fits is None:
-                    fits = self._follows(last[start], token)
-            if fits:
-                last[end], done = token, end
-        ids, at = [], len(piece) - 1
-        while at >= 0:
+        """The ids of one piece of any length."""
+        goto, longest, shorter, length, sound = self.automaton.goto, self.automaton.longest, self.automaton.shorter, self.length, self.sound
+        known: dict[int, bool] = {}
+        last, state = [-1] * (len(piece) + 1), 0
+        for end, byte in enumerate(piece, 1):
+            state = goto[state, byte]
+            token = int(longest[state])
+            while True:
+                start = end - int(length[token])
+                if start == 0:
+                    fits = sound[token]
+                else:
+                    pair = last[start] << 32 | token
+                    if pair not in known:
+                        known[pair] = bool(self.follows(np.array([last[start]], np.int64), np.array([token], np.int64))[0])
+                    fits = known[pair]
+                if fits:
+                    break
+                token = int(shorter[token])
+            last[end] = token
+        ids, at = [], len(piece)
+        while at:
             ids.append(last[at])
-            at -= length[last[at]]
-        ids.reverse()
-        return ids
+            at -= int(length[last[at]])
+        return ids[::-1]
+
+    def encode_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has."""
+        automaton, n = self.automaton, len(pieces)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        sorted_sizes = sizes[order]
+        width = int(sorted_sizes[0]) if n else 0
+        letters = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in order.tolist()]), np.uint8).reshape(n, width).T.copy()
+        last = np.full((width + 1, n), -1, np.int64)  # by length of the prefix
+        state = np.zeros(n, np.int32)
+        active = np.searchsorted(-sorted_sizes, -np.arange(width), side="left")  # pieces with more than so many bytes
+        flat = last.reshape(-1)
+        for at, count in enumerate(active.tolist()):
+            state = automaton.goto[state[:count], letters[at, :count]]
+            todo, token = np.arange(count), automaton.longest[state].astype(np.int64)
+            while len(todo):
+                start = at + 1 - self.length[token]
+                fits = self.sound[token]
+                inner = np.nonzero(start > 0)[0]
+                fits[inner] = self.follows(flat[start[inner] * n + todo[inner]], token[inner])
+                last[at + 1, todo[fits]] = token[fits]
+                todo, token = todo[~fits], automaton.shorter[token[~fits]].astype(np.int64)
+        # back-pointers, all pieces a token at a time
+        found, at, todo = [], sorted_sizes.copy(), np.arange(n)
+        todo = todo[at > 0]
+        while len(todo):
+            token = flat[at[todo] * n + todo]
+            found.append((todo, token))
+            at[todo] -= self.length[token]
+            todo = todo[at[todo] > 0]
+        counts = np.zeros(n, np.int64)
+        for todo, _ in found:
+            counts[order[todo]] += 1
+        ends = np.cumsum(counts)
+        out = np.zeros(int(ends[-1]) if n else 0, np.int64)
+        for step, (todo, token) in enumerate(found):
+            out[ends[order[todo]] - 1 - step] = token
+        return out, counts
 
 
 class Codec:
-    """Encodes a text to ids as the file's tokenizer does, and decodes ids. Values of pieces: (ids, their decimal text)."""
+    """Encodes a text to ids as the file's tokenizer does, and decodes ids."""
 
     def __init__(self, path: str) -> None:
-        vocabulary = Vocabulary(path)
-        self.model, self.token_bytes = PrefixBpe(vocabulary), vocabulary.bytes
-        added = {t: ((i,), str(i)) for t, i in vocabulary.added.items()}
-        self.pieces = TextEncoder(self._encode, self._join, added)
+        import regex
 
-    def _encode(self, pieces: list[str]) -> Iterator[tuple]:
-        for p in pieces:
-            ids = self.model.encode(p.encode())
-            yield tuple(ids), ",".join(map(str, ids))
-
-    @staticmethod
-    def _join(values: list[tuple]) -> tuple:
-        if len(values) == 1:
-            return values[0]
-        return tuple(i for v in values for i in v[0]), ",".join([v[1] for v in values])
+        vocabulary = Vocabulary(path)
+        self.model, self.token_bytes, self.added = PrefixBpe(vocabulary), vocabulary.bytes, vocabulary.added
+        self.find = regex.compile(PATTERN).findall
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.kind, self.known = f"<u{vocabulary.width}", Generations()
+        self.texts = TextEncoder(self._strings, vocabulary)
+        self.decimal = np.array([f"{i}," for i in range(len(vocabulary.lengths))], "S")
+
+    def _strings(self, strings: list[str]) -> list[np.ndarray]:
+        """The ids of each string; the new pre-tokens of all are encoded together."""
+        split = []
+        for s in strings:
+            pieces = []
+            if self.special is not None and any(a in s for a in self.added):
+                for k, part in enumerate(self.special.split(s)):  # every other part is an added token
+                    pieces += ["\0" + part] if k % 2 else self.find(part)
+            else:
+                pieces = self.find(s)
+            split.append(pieces)
+        known = self.known
+        absent = known.absent({p for pieces in split for p in pieces if p not in known.young})
+        more = {p: np.array(self._one(p)).astype(self.kind).tobytes() for p in absent if len(p) > LONGEST or p[0] == "\0"}
+        new = [p for p in absent if p not in more]
+        for at in range(0, len(new), PIECES):
+            part = new[at : at + PIECES]
+            ids, counts = self.model.encode_many([p.encode() for p in part])
+            packed = ids.astype(self.kind).tobytes()
+            ends = (np.cumsum(counts) * np.dtype(self.kind).itemsize).tolist()
+            known.young.update(zip(part, [packed[a:b] for a, b in zip([0, *ends], ends)]))
+        if more:
+            out = [b"".join([more[p] if p in more else known.young[p] for p in pieces]) for pieces in split]
+        else:
+            out = [b"".join(map(known.young.get, pieces)) for pieces in split]
+        known.turn()
+        return [np.frombuffer(b, self.kind).astype(np.int64) for b in out]
+
+    def _one(self, piece: str) -> list[int]:
+        """A long pre-token, or after a NUL an added token."""
+        return [self.added[piece[1:]]] if piece[0] == "\0" and piece[1:] in self.added else self.model.encode(piece.encode())
+
+    def many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for packed in self.texts.many(texts):
+            yield np.frombuffer(packed, self.kind)
 
     def encode(self, text: str) -> list[int]:
-        return [i for v in self.pieces(text) for i in v[0]]
-
-    def encode_with_text(self, text: str) -> tuple[list[int], str]:
-        values = self.pieces(text)
-        return [i for v in values for i in v[0]], ",".join([v[1] for v in values])
+        return next(self.many([text])).tolist()
 
-    def many(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
-        for at in range(0, len(texts), TEXTS):
-            for values in self.pieces.many([t or "" for t in texts[at : at + TEXTS]]):
-                yield [i for v in values for i in v[0]], ",".join([v[1] for v in values])
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The decimal ids, joined by commas."""
+        return self.decimal[ids].tobytes().translate(None, b"\0")[:-1]
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that form no character become U+FFFD."""
@@ -148,45 +265,54 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _added(df: DataFrame, name: str, kind: str) -> tuple[DataFrame, StructType, list[str]]:
+    """`df` without a column of that name, and its schema and names with one at the end."""
+    kept = df.drop(name)
+    return kept, StructType([*kept.schema.fields, StructField(name, kind)]), [*kept.columns, name]
+
+
 def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """Add the ids of each text. A null or empty text has none. No shuffle."""
-    path, names = path or tokenizer_path(), [*docs.columns, ids_col]
+    """Add the ids of each text. A null or empty text has none; a column that is called `ids_col` already is replaced. No shuffle."""
+    path = path or tokenizer_path()
+    kept, schema, names = _added(docs, ids_col, ArrayType(IntegerType()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [codec(path).encode(t or "") for t in batch.column(names.index(text_col)).to_pylist()]
+            ids = [x.tolist() for x in codec(path).many(batch.column(names.index(text_col)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names)
 
-    return docs.mapInArrow(encode, docs.schema.add(ids_col, "array<int>"))
+    return kept.mapInArrow(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
-    """Add the text of each row's ids (null: empty)."""
-    path, names = path or tokenizer_path(), [*encoded.columns, out_col]
+    """Add the text of each row's ids (null: empty); a column that is called `out_col` already is replaced."""
+    path = path or tokenizer_path()
+    kept, schema, names = _added(encoded, out_col, StringType())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [codec(path).decode(i or []) for i in batch.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    return encoded.mapInArrow(decode, encoded.schema.add(out_col, "string"))
+    return kept.mapInArrow(decode, schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256.
 
-    Each whole text (null: empty) is encoded and the ids are decoded again, both in one pass without a shuffle. Ids of
-    repeated rows are computed for each; a null id stays null; other columns play no part; an empty table gives an empty one.
+    Each whole text (null: empty) is encoded and the ids are decoded again, both in one pass without a shuffle; a very long text costs
+    in proportion to its length. Ids of repeated rows are computed for each; a null id stays null; other columns, whatever
+    their names, play no part; an empty table gives an empty one.
     """
     path = path or tokenizer_path()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both, counts, encoded, decoded = codec(path), [], [], []
-            for ids, spelled in both.many(batch.column(1).to_pylist()):
+            for ids in both.many(batch.column(1).to_pylist()):
                 counts.append(len(ids))
-                encoded.append(hashlib.sha256(spelled.encode()).hexdigest())
-                decoded.append(hashlib.sha256(both.decode(ids).encode()).hexdigest())
+                encoded.append(hashlib.sha256(both.spelled(ids)).hexdigest())
+                decoded.append(hashlib.sha256(both.decode(ids.tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],

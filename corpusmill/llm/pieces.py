@@ -1,8 +1,9 @@
-"""Byte-level BPE encoding of whole texts through pieces that are encoded once and remembered.
+"""Byte-level BPE encoding of whole texts through chunks that are encoded once and remembered.
 
 A text's pre-tokens never cross a space that has a visible character on one of its sides, so the text is cut at such spaces and
-each chunk (the space and what follows) is encoded by itself. Chunks repeat as words do; two bounded generations
-of them are kept in each Python worker.
+each chunk (the space and what follows) is encoded by itself. Chunks repeat as words do; two bounded generations of them are kept
+in each Python worker. The new chunks of many texts are encoded as a few long strings, for the same reason, and the ids are cut
+apart by the bytes they stand for.
 """
 
 from __future__ import annotations
@@ -11,8 +12,12 @@ import json
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 GENERATION = 300_000  # entries of one generation of a worker's cache
-TEXTS = 128  # encoded together
+TEXTS = 512  # encoded together, at most
+TEXT_CHARS = 4_000_000  # the same, in characters, or one longer text
+BLOCK = 4096  # chunks in one string
 LONGEST = 64  # longer chunks are encoded but not remembered
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
@@ -48,103 +53,102 @@ class Vocabulary:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = [(self.ids[as_bytes(a)], self.ids[as_bytes(b)]) for a, b in pairs]
         self.width = 2 if max(self.bytes) < 2**16 else 4
+        self.lengths = np.zeros(max(self.bytes) + 1, np.int64)
+        for i, b in self.bytes.items():
+            self.lengths[i] = len(b)
 
 
-class TextEncoder:
-    """Encodes texts; `encode_pieces` gives the values of pre-tokens, `join` those of a sequence of them."""
-
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable], join: Callable[[list], object], added: dict[str, object]) -> None:
-        import regex
-
-        self.find = regex.compile(PATTERN).findall
-        self.encode_pieces, self.join, self.added = encode_pieces, join, added
-        self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.young, self.old = {}, {}  # by chunk without its leading space; pre-tokens without one have a NUL before them
-
-    @staticmethod
-    def _key(piece: str) -> str:
-        return piece[1:] if piece[0] == " " else "\0" + piece
-
-    def _recall(self, key: str):
-        v = self.young.get(key)
-        if v is None:
-            v = self.old.get(key)
-            if v is not None:
-                self.young[key] = v
-        return v
-
-    def _values(self, pieces: set[str]) -> dict:
-        """The value of every piece; new ones are encoded together."""
-        found, new = {}, []
-        for p in pieces:
-            v = self._recall(self._key(p))
-            if v is None:
-                new.append(p)
-            else:
-                found[p] = v
-        for p, v in zip(new, self.encode_pieces(new), strict=True):
-            found[p] = v
-            if len(p) <= LONGEST:
-                self.young[self._key(p)] = v
-        return found
-
-    def _plain(self, text: str) -> list:
-        """The values of a text without added tokens, piece by piece."""
-        pieces = self.find(text)
-        values = self._values(set(pieces))
-        return [values[p] for p in pieces]
-
-    def _fill(self, keys: set[str]) -> dict:
-        """Values of chunks that the young generation lacks. A key is a chunk without its leading space, or after a NUL one without any."""
-        out, cut, single = {}, {}, []
+class Generations:
+    """A bounded memory: what is asked for stays, the rest goes when a new generation begins."""
+
+    def __init__(self, size: int = GENERATION) -> None:
+        self.young, self.old, self.size = {}, {}, size
+
+    def absent(self, keys: Iterable[str]) -> list[str]:
+        """Those of the keys, none of them young, that the old generation lacks too; the others become young."""
+        new = []
         for k in keys:
             v = self.old.get(k)
-            if v is not None:
-                out[k] = self.young[k] = v
-                continue
-            text = k[1:] if k.startswith("\0") else " " + k
-            if text.isalpha() or k.isalpha():
-                single.append((k, text))  # letters alone are one piece
+            if v is None:
+                new.append(k)
             else:
-                cut[k] = self.find(text)
-        values = self._values({p for pieces in cut.values() for p in pieces} | {text for _, text in single})
-        for k, text in single:
-            out[k] = values[text]
-        for k, pieces in cut.items():
-            out[k] = v = self.join([values[p] for p in pieces])
-            if len(k) <= LONGEST:
                 self.young[k] = v
-        if len(self.young) > GENERATION:
+        return new
+
+    def turn(self) -> None:
+        if len(self.young) > self.size:
             self.old, self.young = self.young, {}
+
+
+class TextEncoder:
+    """Encodes texts to packed ids; `encode` gives the ids of whole strings, `lengths` the bytes that each id stands for."""
+
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], vocabulary: Vocabulary) -> None:
+        self.encode, self.lengths, self.kind = encode, vocabulary.lengths, f"<u{vocabulary.width}"
+        self.added, self.chunks = list(vocabulary.added), Generations()
+
+    def _unusual(self, text: str) -> bool:
+        """Chunks of the text cannot be told by spaces alone."""
+        return "\0" in text or any(a in text for a in self.added) or _WIDE.search(text) is not None
+
+    def _pack(self, ids: np.ndarray) -> bytes:
+        return ids.astype(self.kind).tobytes()
+
+    def _block(self, keys: list[str], ids: np.ndarray) -> list[bytes]:
+        """The values of the chunks that were encoded as one string."""
+        ends = np.cumsum([len(k.encode()) + 1 for k in keys])
+        cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * np.dtype(self.kind).itemsize
+        packed, cuts = self._pack(ids), cuts.tolist()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def some(self, texts: list[str]) -> list[bytes]:
+        """For each text its packed ids. A key is a chunk without its leading space, or after a NUL one without any."""
+        remembered, known = self.chunks, self.chunks.young.get
+        keys, missing, whole = [], set(), []
+        for text in texts:
+            if text and self._unusual(text):
+                whole.append(text)
+                keys.append(None)
+                continue
+            found = text.split(" ") if text else []
+            if found:
+                found[0:1] = ["\0" + found[0]] if found[0] else []
+            keys.append(found)
+            values = list(map(known, found))
+            if None in values:
+                missing.update([k for k, v in zip(found, values) if v is None])
+        blocks, single = [[]], []
+        for k in remembered.absent(missing):
+            # chunks with white space at an end, the first of a text and very long ones stand alone
+            if not k or len(k) > LONGEST or k[0] == "\0" or k[0].isspace() or k[-1].isspace():
+                single.append(k)
+            else:
+                if len(blocks[-1]) == BLOCK:
+                    blocks.append([])
+                blocks[-1].append(k)
+        encoded = self.encode([" " + " ".join(b) if b else "" for b in blocks] + [k[1:] if k[:1] == "\0" else " " + k for k in single] + whole)
+        more = {}
+        for b, ids in zip(blocks, encoded):
+            remembered.young.update(zip(b, self._block(b, ids)))
+        at = len(blocks)
+        for k, ids in zip(single, encoded[at:]):
+            (remembered.young if len(k) <= LONGEST else more)[k] = self._pack(ids)
+        at += len(single)
+        rest = iter(encoded[at:])
+        if more:
+            out = [self._pack(next(rest)) if ks is None else b"".join([more[k] if k in more else known(k) for k in ks]) for ks in keys]
+        else:
+            out = [self._pack(next(rest)) if ks is None else b"".join(map(known, ks)) for ks in keys]
+        remembered.turn()
         return out
 
-    def _unusual(self, text: str) -> list | None:
-        """The values of an empty text or of one whose chunks cannot be told by spaces alone; None for any other."""
-        if not text:
-            return []
-        if self.special is not None and any(a in text for a in self.added):
-            out, at = [], 0
-            for m in self.special.finditer(text):
-                out += [*self(text[at : m.start()]), self.added[m.group()]]
-                at = m.end()
-            return out + self(text[at:])
-        return self._plain(text) if "\0" in text or _WIDE.search(text) else None
-
-    def many(self, texts: list[str]) -> list[list]:
-        """For each text the values whose join is the value of the text; new pieces of all are encoded together."""
-        out, missing = [], set()
+    def many(self, texts: list[str | None]) -> Iterable[bytes]:
+        held, size = [], 0
         for text in texts:
-            values = self._unusual(text)
-            keys = None
-            if values is None:
-                keys = text.split(" ")
-                keys[0:1] = ["\0" + keys[0]] if keys[0] else []
-                values = list(map(self.young.get, keys))
-                if None in values:
-                    missing.update([k for k, v in zip(keys, values) if v is None])
-            out.append((keys, values))
-        more = self._fill(missing)
-        return [[more[k] if v is None else v for k, v in zip(keys, values)] if keys and None in values else values for keys, values in out]
-
-    def __call__(self, text: str) -> list:
-        return self.many([text])[0]
+            held.append(text or "")
+            size += len(held[-1])
+            if len(held) == TEXTS or size > TEXT_CHARS:
+                yield from self.some(held)
+                held, size = [], 0
+        if held:
+            yield from self.some(held)

@@ -17,16 +17,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import TEXTS, TextEncoder, Vocabulary, tokenizer_path
+from .pieces import TextEncoder, Vocabulary, tokenizer_path
 
 END_ID = 0
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 8192, 65536, 3
 SEGMENT_BYTES = 1 << 20
-SEGMENT = "bucket int, segment int, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, width int, dictionary_sha256 string, doc_ids binary, offsets binary, counts binary, frames binary"
+SEGMENT = "bucket int, segment int, earlier bigint, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, width int, dictionary_sha256 string, doc_ids binary, offsets binary, counts binary, frames binary"
 
 
 class IdEncoder:
-    """Texts to serialized ids (little-endian, 2 or 4 bytes each) with the tokenizers library, new pieces in batches."""
+    """Texts to serialized ids (little-endian, 2 or 4 bytes each) with the tokenizers library, new chunks of many texts at once."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -36,20 +36,14 @@ class IdEncoder:
         self.width, self.tokenizer = vocabulary.width, Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.pieces = TextEncoder(self._encode, b"".join, {t: self._pack([i]) for t, i in vocabulary.added.items()})
+        self.texts, self.end = TextEncoder(self._encode, vocabulary), np.array([END_ID], f"<u{self.width}").tobytes()
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield self._pack(e.ids)
+    def _encode(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
-        end = self._pack([END_ID])
-        for at in range(0, len(texts), TEXTS):
-            for values in self.pieces.many([t or "" for t in texts[at : at + TEXTS]]):
-                yield b"".join(values) + end
+        for packed in self.texts.many(texts):
+            yield packed + self.end
 
     def __call__(self, text: str) -> bytes:
         return next(self.many([text]))
@@ -96,7 +90,8 @@ def write_ids(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     """Write under `out` the segments and the dictionary of all texts, in ascending id order.
 
     Encoding comes before the one exchange, so frames are shuffled, not texts. The exchange deals by buckets of the id whose bounds
-    are quantiles of the id column.
+    are quantiles of the id column, each bucket to the task of its number; a task writes its segments as rows come in, and each
+    segment knows the number of ids before it in its bucket. Very long texts make segments of their own.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -120,13 +115,13 @@ def write_ids(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     width = Vocabulary(path).width
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_bytes, at, number = [], 0, None, 0
+        held, held_bytes, at, number, earlier = [], 0, None, 0, 0
 
         def flush() -> pa.RecordBatch:
             ids, counts, frames = zip(*held, strict=True)
             offsets = np.cumsum([0, *map(len, frames)], dtype="<i8")
             known = [i for i in ids if i is not None]
-            row = {"bucket": at, "segment": number, "first_id": min(known, default=None), "last_id": max(known, default=None), "n_docs": len(ids), "n_ids": sum(counts), "width": width, "dictionary_sha256": sha,
+            row = {"bucket": at, "segment": number, "earlier": earlier, "first_id": min(known, default=None), "last_id": max(known, default=None), "n_docs": len(ids), "n_ids": sum(counts), "width": width, "dictionary_sha256": sha,
                    "doc_ids": _ids_bytes(ids), "offsets": offsets.tobytes(), "counts": np.array(counts, "<i8").tobytes(), "frames": b"".join(frames)}
             return pa.RecordBatch.from_pylist([row], _arrow_schema())
 
@@ -134,7 +129,7 @@ def write_ids(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
             for bucket, doc_id, count, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (bucket != at or held_bytes >= segment_bytes):
                     yield flush()
-                    number = number + 1 if bucket == at else 0
+                    number, earlier = (number + 1, earlier + sum(n for _, n, _ in held)) if bucket == at else (0, 0)
                     held, held_bytes = [], 0
                 at = bucket
                 held.append((doc_id, count, frame))
@@ -143,7 +138,7 @@ def write_ids(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
             yield flush()
 
     frames = rows.mapInArrow(encode, "bucket int, doc_id bigint, n bigint, frame binary")
-    dealt = frames.repartition(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"))
+    dealt = frames.repartitionById(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"))
     dealt.mapInArrow(segments, SEGMENT).write.option("compression", "none").parquet(f"{out}/segments")
     spark.createDataFrame([(sha, bytearray(dictionary))], "sha256 string, content binary").write.parquet(f"{out}/dictionary")
 
@@ -174,14 +169,15 @@ def read_ids(spark: SparkSession, out: str, doc_id: int | None = None, digest_on
     """
     sha, dictionary = _dictionary(spark, out)
     rows = spark.read.schema(SEGMENT).parquet(f"{out}/segments")
-    sums = rows.groupBy("bucket").agg(F.sum("n_ids").alias("_ids"))  # a row for each bucket
-    earlier = sums.withColumn("_base", F.coalesce(F.sum("_ids").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_ids")
-    inner = Window.partitionBy("bucket").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.select("bucket", "segment", F.coalesce(F.sum("n_ids").over(inner), F.lit(0)).alias("_within"))
-    starts = starts.join(earlier, "bucket").select("bucket", "segment", (F.col("_base") + F.col("_within")).alias("start"))
+    sums = rows.groupBy("bucket").agg(F.sum("n_ids").alias("_ids"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each bucket
+    bases = sums.select("bucket", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_base"))
     if doc_id is not None:
         rows = rows.filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
-    placed = rows.join(starts, ["bucket", "segment"]).select("start", *[c for c in rows.columns if c not in ("bucket", "segment", "first_id", "last_id")])
+    # there are as many buckets as shuffle partitions, so their table is small, however many segments there are
+    placed = rows.join(F.broadcast(bases), "bucket").select(
+        (F.col("_base") + F.col("earlier")).alias("start"), "n_docs", "width", "dictionary_sha256", "doc_ids", "offsets", "counts", "frames"
+    )
     last, kind = ("ids_crc32 bigint", pa.int64()) if digest_only else ("ids array<bigint>", pa.list_(pa.int64()))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
