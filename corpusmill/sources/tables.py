@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a new one of our own where it names none."""
+    """The folder that all executors share, as the session names it.
+
+    Where it names none and Spark runs on this machine alone, as in tests, a new folder of our own is named; on a cluster that would
+    be a different place for each executor, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -21,11 +27,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Cut the lineage: write `df` as a table in the shared folder and read it back.
 
-    A lost executor then costs a reread of those files, not the work behind them.
+    A lost executor then costs a reread of those files, not the work behind them. The write's shuffle files are of no use after it and go
+    when it ends.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `written` made and that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
