@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.sources.tables import new_path, shared_dir, written  # noqa: F401
+from corpusmill.sources.tables import discard, new_path, shared_dir, written  # noqa: F401
 
 _ROW_BITS = 33  # monotonically_increasing_id() keeps the row of a partition in its low 33 bits
 
@@ -51,3 +51,15 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, partiti
 def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
     """Whether any two rows share an id (null counts as one)."""
     return not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A name that no column of `df` has (whatever the case) for each of the wanted ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

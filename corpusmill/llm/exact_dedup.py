@@ -75,7 +75,7 @@ def exact_dedup(
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of ASCII white space became one space. Null text counts as empty.
-    The smallest id of a group stays; a null id counts as larger than any other. If several rows share the smallest id,
+    Texts of any length are digested whole. The smallest id of a group stays; a null id counts as larger than any other. If several rows share the smallest id,
     exactly one of them is kept. An empty table gives an empty result. Other columns play no part. Each hit is verified on
     bytes: the smallest and the largest text under a digest must be identical; where they differ, the rows under that
     digest are grouped by the text itself.
@@ -137,13 +137,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the rows of `docs` that exact_dedup keeps, all columns unchanged.
 
     The decision carries the text's digest, so rows sharing an id but not a text are told apart; repeated rows of one id
-    and text are the same row, of which one stays.
+    and text are the same row, of which one stays. Null texts and empty ones are equal. Other columns may have any names; an
+    empty table stays empty.
     """
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    tagged = docs.withColumn("_key", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
-    joined = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["_id"]) & (tagged["_key"] == kept["_sha"]), "left_semi")
+    id_, sha, key = common.free_names(docs, "id", "sha", "key")
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
+    tagged = docs.withColumn(key, F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
+    joined = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept[id_]) & (tagged[key] == kept[sha]), "left_semi")
     if common.ids_repeat(docs):
-        joined = joined.dropDuplicates(["doc_id", "_key"])
+        joined = joined.dropDuplicates(["doc_id", key])
     return joined.select(*docs.columns)
 
 

@@ -116,17 +116,18 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows of `docs`, laid out in the order of the mix: file after file, row after row.
 
-    Rows find their position by id; where rows share an id, each such row takes one of the id's positions.
+    Rows find their position by id; where rows share an id (nulls count as one id), they are numbered first. Texts of any length and
+    other columns of any names stay as they are; an empty table stays empty.
     """
+    row, id_, position = common.free_names(docs, "row", "id", "position")
     if not common.ids_repeat(docs):
-        positions = common.written(mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("position").alias("_position")), "positions")
-        placed = docs.join(positions, docs["doc_id"].eqNullSafe(positions["_id"]))
+        positions = common.written(mix_sources(docs).select(F.col("doc_id").alias(id_), F.col("position").alias(position)), "positions")
+        placed = docs.join(positions, docs["doc_id"].eqNullSafe(positions[id_]))
     else:
-        numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-        numbered = common.written(numbered, "mix-rows")
-        positions = mix_sources(numbered, id_col="_row").select(F.col("_row").alias("_id"), F.col("position").alias("_position"))
-        placed = numbered.join(positions, numbered["_row"] == positions["_id"])
-    return placed.repartitionByRange(common.parallelism(spark), "_position").sortWithinPartitions("_position").select(*docs.columns)
+        numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+        positions = mix_sources(numbered, id_col=row).select(F.col(row).alias(id_), F.col("position").alias(position))
+        placed = numbered.join(positions, numbered[row] == positions[id_])
+    return placed.repartitionByRange(common.parallelism(spark), position).sortWithinPartitions(position).select(*docs.columns)
 
 
 #: The same schedule from a recursive walk over one period.

@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts, and texts of white space alone, have fingerprint zero and link like any other. Equal fingerprints are one
     node, so copies cost one shard row however many they are. A null id never is a component's smallest unless all are
-    null. Repeated rows each get a row. An empty table gives an empty result.
+    null. Repeated rows each get a row; very long texts are hashed whole, some shingles at a time. Other columns, whatever their
+    names, play no part. An empty table gives an empty result.
     """
     found = common.written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = common.written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
@@ -228,11 +229,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id.
 
-    Where rows share an id, rows are numbered, and the first of a component stays.
+    Where rows share an id (nulls count as one id), rows are numbered, and the first of a component stays. Texts without words are one
+    component. Other columns may have any names; an empty table stays empty.
     """
     id_col, columns = "doc_id", docs.columns
+    row, out = common.free_names(docs, "row", "gone")
     if common.ids_repeat(docs):
-        id_col, docs = "_row", common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        id_col, docs = row, common.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     found = near_duplicates(docs, id_col)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti").select(*columns)
+    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(out))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[out]), "left_anti").select(*columns)

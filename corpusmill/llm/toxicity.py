@@ -215,7 +215,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Only `text` enters a score; null and empty texts have ratio 0 and get the score of that. Held out are ids whose crc32 (as
     text) leaves 0 modulo 5; their labels are not read. With no toxic or no ordinary training label all scores are 0 or 1.
-    Repeated rows each get a row. An empty table gives an empty result.
+    Repeated rows each get a row; very long texts are scored whole; other columns play no part. An empty table gives an empty result.
     """
     two = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     learned = train(two, labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic"))
@@ -234,19 +234,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, all columns unchanged."""
+    """The rows of `docs` that are not predicted toxic, all columns unchanged.
+
+    Null and empty texts get the score of no word. Where rows share an id (nulls count as one id), each row's verdict comes from its own
+    text. Very long texts are scored whole. Other columns may have any names; an empty table stays empty.
+    """
     labels, columns = spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.columns
     id_col = "doc_id"
+    row, out = common.free_names(docs, "row", "bad")
     if common.ids_repeat(docs):
-        # a row's verdict comes from its own text
-        id_col, docs = "_row", common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        id_col, docs = row, common.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
         two = docs.select("doc_id", "text")
         learned = train(two, labels)
         if isinstance(learned, float):
             return docs.filter(F.lit(learned < 0.5)).select(*columns)
         models, weights = learned
-        bad = ratios(docs.select("_row", "text"), models).filter(_logit(weights) >= 0).select(F.col("id").alias("_bad"))
+        bad = ratios(docs.select(row, "text"), models).filter(_logit(weights) >= 0).select(F.col("id").alias(out))
     else:
-        bad = score_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_bad"))
+        bad = score_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias(out))
     bad = common.written(bad, "toxic")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti").select(*columns)
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[out]), "left_anti").select(*columns)

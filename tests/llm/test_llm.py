@@ -275,6 +275,36 @@ def test_lm_scoring(make_docs):
     assert lm_scoring.score_texts(make_docs(EMPTY)).count() == 0
 
 
+CLASHING = "doc_id bigint, text string, lang string, source string, _row string, _ROW2 string, _id string, _key string, _sha string, _gone string, _bad string, _position string, id string, ids string, position string, n_chars bigint"
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+@pytest.mark.parametrize("name", ["toxicity", "exact dedup", "SimHash near-dedup", "mixing sources to target weights", "BPE encoding and decoding"])
+def test_stages_on_odd_tables(spark, name, repeats):
+    """Null ids, texts and sources, repeated rows, a long text, clashing names, an empty table."""
+    import corpus_pipeline
+
+    stage, d = dict(corpus_pipeline.STAGES)[name], "/root/testdata/sf0.001"
+    rows = [(1, "one text of some words here", "a"), (2, None, None), (3, "", "b"), (4, LONG, "a"), (5, "another text that is not like it", "b")]
+    rows += [(None, "no id", "a"), (None, "no id at all, and other words", "b"), (1, "one text of some words here", "a")] if repeats else [(None, "no id", "a")]
+    docs = spark.createDataFrame([(i, t, None, s, *"abcdefghijk", 7) for i, t, s in rows], CLASHING)
+    found = stage(spark, docs, d).collect()
+    n = {"exact dedup": 5, "SimHash near-dedup": 5}.get(name, len(rows)) + (1 if repeats and name in ("exact dedup", "SimHash near-dedup") else 0)
+    if name == "toxicity":  # a handful of labelled rows: only that rows come out as they went in
+        assert {tuple(r) for r in found} <= {tuple(r) for r in docs.collect()}
+    else:
+        assert len(found) == n
+    if name != "BPE encoding and decoding":
+        assert all(tuple(r)[4:] == (*"abcdefghijk", 7) for r in found)
+    empty = stage(spark, docs.limit(0), d)
+    assert empty.count() == 0 and (name == "BPE encoding and decoding" or empty.columns == docs.columns)
+
+
+def test_added_columns_replace_their_namesakes(make_docs):
+    docs = bpe.decode_documents(bpe.encode_documents(make_docs([(1, "a text"), (2, None)]).withColumnRenamed("lang", "ids")))
+    assert docs.columns.count("ids") == 1 and {r.doc_id: r.decoded for r in docs.collect()} == {1: "a text", 2: ""}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
