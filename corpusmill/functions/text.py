@@ -22,6 +22,14 @@ STOP_WORDS = (
 ).split()
 #: Particles that may end a noun, in the order in which they are tried.
 PARTICLES = "의 에서의 으로는 로는 에서는 으로도 로도 와도 과도 에는 에도 까지 부터 보다 처럼 같이 하고 한테 에게 이 가 께서 을 를 에서 으로 로 와 과 랑 께 에 도 만 이다 다 은 는".split()
+#: Stems that are no words of a keyword.
+STEM_STOPS = ("이다", "있다", "없다", "되다", "하다", "그것", "것이", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
+#: The particles of which the longest that fits is taken off.
+LONGEST_PARTICLES = (
+    "이", "가", "을", "를", "의", "에", "에서", "에게", "한테", "으로", "로",
+    "와", "과", "하고", "이랑", "랑", "아", "야", "이여", "여",
+    "은", "는", "도", "만", "까지", "부터", "조차", "마저", "밖에", "뿐",
+)
 #: Blocks whose characters cleaning removes, and single ones outside them.
 REMOVED = (
     r"\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFF}\x{FFF0}-\x{FFFF}"
@@ -87,9 +95,11 @@ def strip_particle(word: Column) -> Column:
 
 
 def strip_particle_longest(word: Column) -> Column:
-    """The same with the longest particle that fits."""
-    longest = sorted(PARTICLES, key=lambda p: (-len(p), p))
-    return F.regexp_replace(word, "^(.{2,}?)(?:" + "|".join(longest) + ")$", "$1")
+    """The stem of a word without the longest of its own list of particles that leaves two characters or more; shorter words are empty."""
+    out = F.when(F.length(word) < 2, "")
+    for p in sorted(LONGEST_PARTICLES, key=len, reverse=True):
+        out = out.when((F.length(word) >= len(p) + 2) & word.endswith(p), word.substr(F.lit(1), F.length(word) - len(p)))
+    return out.otherwise(word)
 
 
 def normalize_keyword(keyword: Column) -> Column:
@@ -99,7 +109,7 @@ def normalize_keyword(keyword: Column) -> Column:
 def keyword_to_words(keyword: Column) -> Column:
     """A keyword of one or two words whole, a longer one as its stems; the phrase itself if none remains."""
     parts = F.filter(F.split(keyword, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)
-    stems = F.filter(F.transform(parts, strip_particle_longest), lambda w: ~F.lower(w).isin("the", "and", "for", "with", "등", "및", "또는"))
+    stems = F.filter(F.transform(parts, strip_particle_longest), lambda w: ~F.lower(w).isin(*STEM_STOPS))
     return (
         F.when(F.size(F.split(F.trim(keyword), WHITE)) <= 2, F.array(strip_particle_longest(keyword)))
         .when(F.size(stems) > 0, stems)

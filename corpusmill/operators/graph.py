@@ -14,11 +14,29 @@ DOMAINS = {
     "business": ("revenue profit market customer strategy business sales marketing competition growth investment ROI KPI stakeholder process budget", [r"\$[\d,]+|\b\d+\s*(million|billion|percent|%)\b", r"\b(Q[1-4]|quarterly|annual|fiscal)\b", r"\b(CEO|CFO|CTO|manager|executive)\b"]),
     "legal": ("law legal contract agreement regulation compliance court judge plaintiff defendant liability clause statute precedent jurisdiction penalty", [r"\b(Section|Article|Clause)\s+\d+", r"\b(shall|hereby|whereas|therefore)\b", r"\b(court|judge|plaintiff|defendant)\b"]),
 }
-#: Names and cues by which a keyword shows its type, the first that fits counts.
+#: File extensions that speak for a domain, and words of a document type that do, the first of these that fits.
+DOMAIN_EXTENSIONS = {"technical": (".py", ".js", ".java", ".cpp", ".md"), "academic": (".pdf", ".tex", ".docx"), "business": (".xlsx", ".pptx", ".docx", ".pdf"), "legal": (".pdf", ".docx")}
+DOMAIN_TYPES = {"academic": ("research", "paper"), "technical": ("technical", "manual"), "business": ("business", "report"), "legal": ("contract", "legal")}
+#: The types that the entities of a domain may have.
+ENTITY_TYPES = {
+    "technical": ("Technology", "API", "Function", "Class", "Database", "Server", "Framework", "Tool", "Algorithm", "Protocol"),
+    "academic": ("Author", "Institution", "Research_Method", "Theory", "Dataset", "Experiment", "Citation", "Finding", "Hypothesis", "Variable"),
+    "business": ("Company", "Product", "Market", "Stakeholder", "Process", "KPI", "Risk", "Opportunity", "Strategy", "Department"),
+    "legal": ("Law", "Regulation", "Contract", "Case", "Party", "Obligation", "Right", "Precedent"),
+    "general": ("Person", "Organization", "Event", "Location", "Concept", "Topic"),
+}
+#: Names and cues by which a keyword shows its type; the first type that fits and that the domain has counts.
 TYPES = {
-    "Database": "postgresql postgres mysql mongodb sqlite oracle redis cassandra elasticsearch influxdb mariadb",
-    "Framework": "fastapi django flask react vue angular spring express laravel rails nextjs nuxt",
-    "Tool": "docker kubernetes jenkins git maven gradle webpack vite npm yarn",
+    "Database": ("postgresql", "postgres", "mysql", "mongodb", "sqlite", "oracle", "redis", "cassandra", "elasticsearch", "influxdb", "mariadb"),
+    "Framework": ("fastapi", "django", "flask", "react", "vue", "angular", "spring", "express", "laravel", "rails", "nextjs", "nuxt"),
+    "Tool": ("docker", "kubernetes", "jenkins", "git", "maven", "gradle", "webpack", "vite", "npm", "yarn"),
+    "Language": ("python", "javascript", "java", "c++", "go", "rust", "typescript", "php", "ruby", "kotlin", "swift"),
+    "Library": ("sqlalchemy", "pydantic", "numpy", "pandas", "tensorflow", "pytorch", "lodash", "axios", "requests", "beautifulsoup"),
+    "Technology": ("api", "system", "platform", "service", "application", "software"),
+    "Person": ("author", "researcher", "manager", "director", "ceo"),
+    "Organization": ("company", "university", "institute", "corporation"),
+    "Concept": ("method", "approach", "technique", "theory", "principle", "pattern", "concept"),
+    "Process": ("workflow", "procedure", "protocol", "methodology"),
 }
 DEFAULT_TYPE = "Technology"
 
@@ -39,8 +57,16 @@ def domain_scores(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array(*parts)).alias("d")).select("doc_id", "d.domain", "d.place", "d.score")
 
 
-def domain_adjust(scores: DataFrame, extension: Column) -> DataFrame:
-    return scores.withColumn("score", F.round(F.col("score") + F.when((F.col("domain") == "technical") & extension.isin(".py", ".js", ".java", ".cpp", ".md"), 0.2).when((F.col("domain") != "technical") & (extension == ".pdf"), 0.2).otherwise(0.0), 6))
+def domain_adjust(scores: DataFrame, extension: Column, document_type: Column | None = None) -> DataFrame:
+    """Scores with .2 for a domain's file extension and .3 for the domain of the document's type."""
+    kind, by_type = F.lower(F.coalesce(document_type, F.lit(""))) if document_type is not None else F.lit(""), F.lit(None).cast("string")
+    for domain, cues in reversed(DOMAIN_TYPES.items()):
+        by_type = F.when(kind.contains(cues[0]) | kind.contains(cues[1]), domain).otherwise(by_type)
+    by_name = F.lit(False)
+    for domain, extensions in DOMAIN_EXTENSIONS.items():
+        by_name = by_name | (F.col("domain") == domain) & extension.isin(*extensions)
+    plus = F.when(by_name, 0.2).otherwise(0.0) + F.when(F.col("domain") == by_type, 0.3).otherwise(0.0)
+    return scores.withColumn("score", F.round(F.col("score") + plus, 6))
 
 
 def best_domain(scores: DataFrame) -> DataFrame:
@@ -48,12 +74,28 @@ def best_domain(scores: DataFrame) -> DataFrame:
     return scores.withColumn("r", F.row_number().over(w)).filter("r = 1").select("doc_id", "domain", "score")
 
 
-def entity_type(keyword: Column) -> Column:
-    low, out = F.lower(keyword), None
-    for name, cues in TYPES.items():
-        fits = low.rlike("|".join(cues.split()))
-        out = F.when(fits, name) if out is None else out.when(fits, name)
-    return out.otherwise(DEFAULT_TYPE)
+def entity_type(keyword: Column, domain: Column | None = None) -> Column:
+    """The type of a keyword among those of its domain (the technical one, if none is given); else Technology or the domain's first type."""
+    low, of = F.lower(keyword), domain if domain is not None else F.lit("technical")
+    out = F.lit(None).cast("string")
+    for name, kinds in reversed(ENTITY_TYPES.items()):
+        found = F.lit(DEFAULT_TYPE if DEFAULT_TYPE in kinds else kinds[0])
+        for kind, cues in reversed(TYPES.items()):
+            if kind in kinds:
+                fits = F.lit(False)
+                for cue in cues:
+                    fits = fits | low.contains(cue)
+                found = F.when(fits, kind).otherwise(found)
+        out = F.when(of == name, found).otherwise(out) if name != "general" else found
+    return out
+
+
+def section_density(sections: DataFrame, keywords: DataFrame) -> DataFrame:
+    """How many different keywords (doc_id, keyword) of its document the text of each section (doc_id, line_no, title, text) mentions."""
+    words = keywords.select("doc_id", F.lower("keyword").alias("k")).groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+    low = F.lower("text")
+    n = F.size(F.filter("ks", lambda k: low.contains(k)))
+    return sections.join(words, "doc_id").select("doc_id", "line_no", "title", n.alias("entities")).filter("entities > 0")
 
 
 def graph_id(name: Column) -> Column:

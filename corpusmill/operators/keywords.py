@@ -14,9 +14,15 @@ from corpusmill.functions import text as t
 OCCURRENCE = "doc_id bigint, keyword string, extractor string, score double, category string, start_position int, end_position int, context_snippet string, page_number int, line_number int, column_number int"
 #: Capitalised words that are no names.
 NO_NAMES = ("The", "This", "That", "These", "Those", "And", "But", "For", "With", "From", "Are", "Was", "Were", "Not", "You", "All", "Can", "Has", "Have", "Had", "Its")
-#: Confidence of entity labels; any other label gets the default.
-LABEL_CONFIDENCE = {"PERSON": 0.9, "PER": 0.9, "ORG": 0.85, "GPE": 0.85, "LOC": 0.8, "DATE": 0.8, "TIME": 0.75, "MONEY": 0.85, "PERCENT": 0.8, "PRODUCT": 0.75, "EVENT": 0.7, "MISC": 0.6}
+#: Confidence of entity labels, those of English models first, then those of Korean ones; any other label gets the default.
+LABEL_CONFIDENCE = {
+    "PERSON": 0.9, "ORG": 0.85, "LOC": 0.8, "DATE": 0.75, "TIME": 0.7, "MONEY": 0.85, "PERCENT": 0.8, "MISC": 0.6,
+    "PS": 0.85, "LC": 0.8, "OG": 0.85, "DT": 0.75, "TI": 0.7, "QT": 0.8, "CV": 0.75, "AM": 0.7, "PT": 0.7, "MT": 0.7, "TR": 0.7, "EV": 0.75, "AF": 0.7, "FD": 0.75, "TM": 0.7,
+}
 DEFAULT_CONFIDENCE = 0.65
+#: Endings of the names of organisations and of places.
+ORGANISATION_ENDINGS = "전자|그룹|회사|기업|산업|코퍼레이션|Corporation|Inc|Ltd"
+PLACE_ENDINGS = "시|도|구|군|동|면|읍|특별시|광역시"
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def simple_keywords(docs: DataFrame, n: int = 10) -> DataFrame:
 
 def pattern_entities(docs: DataFrame, n: int = 20) -> DataFrame:
     """Years, sums of money, organisations and places by their Hangul endings, and capitalised words, once per document."""
-    suffixes = "전자|그룹|회사|기업|은행|대학교|연구소|협회", "시|도|구|군|읍|면|동"
+    suffixes = ORGANISATION_ENDINGS, PLACE_ENDINGS
     kinds = [("DATE", 0.8, r"\d{4}년"), ("MONEY", 0.85, r"\d+[억만천]?원"), ("ORG", 0.75, f"[가-힣]{{2,}}(?:{suffixes[0]})"), ("LOC", 0.7, f"[가-힣]{{2,}}(?:{suffixes[1]})")]
     every = [docs.select("doc_id", F.lit(c).alias("category"), F.lit(s).alias("score"), F.posexplode(F.regexp_extract_all("text", F.lit(p), 0)).alias("i", "keyword")) for c, s, p in kinds]
     names = tokens(docs).filter(F.col("w").rlike("^[A-Z][A-Za-z]{2,}$") & ~F.col("w").isin(*NO_NAMES)).select("doc_id", F.lit("MISC").alias("category"), F.lit(0.6).alias("score"), "i", F.col("w").alias("keyword"))

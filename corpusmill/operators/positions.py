@@ -75,17 +75,15 @@ def offset_to_page(offset: Column, breaks: Column) -> Column:
 
 
 def rule_summary(docs: DataFrame) -> DataFrame:
-    """First, last and longest sentence of a document with three or more."""
-    clean = F.transform(F.split("text", "[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
+    """First, last and longest sentence of a document with three or more, long ones cut and marked with dots."""
+    clean = F.transform(F.split("text", "[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     s = docs.select("doc_id", F.filter(clean, lambda x: F.length(x) > 10).alias("s")).filter(F.size("s") >= 3)
     s = s.withColumn("most", F.array_max(F.transform("s", F.length)))
-    longest = F.when(F.col("most") > 50, F.substring(F.filter("s", lambda x: F.length(x) == F.col("most"))[0], 1, 120))
-    rows = F.array(
-        F.struct(F.lit("first").alias("category"), F.substring(F.col("s")[0], 1, 100).alias("keyword")),
-        F.struct(F.lit("last").alias("category"), F.substring(F.element_at("s", -1), 1, 100).alias("keyword")),
-        F.struct(F.lit("longest").alias("category"), longest.alias("keyword")),
-    )
-    return s.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.category", "r.keyword").filter("keyword IS NOT NULL")
+    cut = lambda x, n: F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("..."))).otherwise(x)
+    longest = F.when(F.col("most") > 50, cut(F.filter("s", lambda x: F.length(x) == F.col("most"))[0], 120))
+    row = lambda category, score, keyword: F.struct(F.lit(category).alias("category"), F.lit(score).alias("score"), keyword.alias("keyword"))
+    rows = F.array(row("summary_intro", 0.8, cut(F.col("s")[0], 100)), row("summary_conclusion", 0.8, cut(F.element_at("s", -1), 100)), row("summary_core", 0.9, longest))
+    return s.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.category", "r.score", "r.keyword").filter("keyword IS NOT NULL")
 
 
 def summary_topics(docs: DataFrame) -> DataFrame:
@@ -104,15 +102,23 @@ def _bucket(value: Column, cuts: list[tuple[int, str]], rest: str) -> Column:
 
 
 def stat_labels(docs: DataFrame) -> DataFrame:
-    """Length, words and paragraphs of a document as labels."""
-    w = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-    paragraphs = F.size(F.filter(F.split("text", "\n\n", -1), lambda x: F.trim(x) != ""))
-    labels = F.array(
-        F.struct(F.lit("length").alias("category"), _bucket(F.length("text"), [(1000, "매우짧음"), (5000, "짧음"), (20000, "보통"), (50000, "김")], "매우김").alias("label")),
-        F.struct(F.lit("words").alias("category"), _bucket(w, [(100, "소량"), (500, "적음"), (2000, "보통"), (5000, "많음")], "대량").alias("label")),
-        F.struct(F.lit("paragraphs").alias("category"), _bucket(paragraphs, [(5, "단순구조"), (20, "보통구조")], "복잡구조").alias("label")),
+    """Length, words, sentences, paragraphs, words a sentence and characters a word of a document as labels with their scores."""
+    c, w, s, p = (F.col(x) for x in "cwsp")
+    counts = docs.select(
+        "doc_id", F.length("text").alias("c"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("w"), F.size(F.split("text", "[.!?]+", -1)).alias("s"),
+        F.size(F.filter(F.split("text", "\n\n", -1), lambda x: x.rlike(r"\S"))).alias("p"),
     )
-    return docs.select("doc_id", F.explode(labels).alias("l")).select("doc_id", "l.category", "l.label")
+    #: Bounds and names of the labels.
+    labels = [
+        ("doc_length", 0.7, c, [(1000, "매우짧음"), (5000, "짧음"), (20000, "보통"), (50000, "김")], "매우김"),
+        ("word_count", 0.6, w, [(100, "소량"), (500, "적음"), (2000, "보통"), (5000, "많음")], "대량"),
+        ("sentence_count", 0.5, s, [(10, "단순"), (50, "보통"), (200, "복잡")], "매우복잡"),
+        ("paragraph_count", 0.5, p, [(5, "단순구조"), (20, "보통구조")], "복잡구조"),
+        ("sentence_length", 0.4, w / F.greatest(s, F.lit(1)), [(8, "짧은문장"), (15, "보통문장"), (25, "긴문장")], "매우긴문장"),
+        ("complexity", 0.6, c / F.greatest(w, F.lit(1)), [(4, "단순"), (6, "보통"), (8, "복잡")], "매우복잡"),
+    ]
+    rows = F.array(*[F.struct(F.lit(n).alias("category"), F.lit(score).alias("score"), _bucket(v, cuts, rest).alias("label")) for n, score, v, cuts, rest in labels])
+    return counts.select("doc_id", F.explode(rows).alias("l")).select("doc_id", "l.category", "l.score", "l.label")
 
 
 def text_profile(docs: DataFrame) -> DataFrame:

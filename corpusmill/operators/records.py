@@ -10,7 +10,15 @@ from corpusmill.sources import tables
 from .graph import walk_down
 
 #: Words that show a tone; the first of equals counts.
-TONES = {"학술적": "연구 분석 research study", "기술적": "시스템 구현 system code", "일상적": "the and of"}
+TONES = {
+    "학술적": ("연구", "분석", "결과", "방법론", "이론", "가설", "실험", "데이터"),
+    "공식적": ("공지", "안내", "규정", "지침", "절차", "정책", "계획"),
+    "기술적": ("시스템", "구현", "개발", "코드", "알고리즘", "프로그래밍", "소프트웨어"),
+    "설명적": ("방법", "단계", "과정", "절차", "예시", "설명", "가이드"),
+    "분석적": ("비교", "검토", "평가", "분석", "고찰", "조사", "연구"),
+    "긍정적": ("성공", "향상", "개선", "효과", "발전", "좋은", "우수한"),
+    "부정적": ("문제", "실패", "오류", "위험", "어려움", "부족", "나쁜"),
+}
 DEFAULT_TONE = "일반적"
 CONFIDENCE = {"high": 1.0, "medium": 0.8, "low": 0.6}
 
@@ -47,7 +55,7 @@ def weighted(score: Column, level: Column) -> Column:
 def tone(docs: DataFrame) -> DataFrame:
     """The tone whose words occur most in a text."""
     low = F.lower("text")
-    counts = [F.struct(sum((F.regexp_count(low, F.lit(w)) for w in words.split()), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, words) in enumerate(TONES.items())]
+    counts = [F.struct(sum((F.regexp_count(low, F.lit(w)) for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, words) in enumerate(TONES.items())]
     best = F.array_max(F.array(*counts))
     return docs.select("doc_id", F.when(best["n"] > 0, best["name"]).otherwise(DEFAULT_TONE).alias("tone"))
 

@@ -50,11 +50,23 @@ add(
     "WITH m AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label), s AS (SELECT e.label, vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), c), 6) AS similarity FROM embeddings e JOIN m USING (label)) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) <= 10",
 )
 add("d06_mmr_select", lambda s, d: k.mmr_select(_VEC(s, d)))
-add("d07_pattern_entities", lambda s, d: k.pattern_entities(docs(s, d)), f"WITH {D_OCC} SELECT * FROM pat")
+#: Hangul names, which the tables lack, added to whole texts.
+_HANGUL = " 2024년 매출은 5억원이며 삼성전자 한국Corporation 중공업 우리은행 대한산업 서울특별시 부산광역시 강남구"
+add(
+    "d07_pattern_entities", lambda s, d: k.pattern_entities(docs(s, d).withColumn("text", F.concat("text", F.lit(_HANGUL)))),
+    f"WITH hd AS (SELECT doc_id, text || '{_HANGUL}' AS text FROM documents), x AS (SELECT doc_id, 'DATE' AS category, 0.8 AS score, regexp_extract_all(text, '\\d{{4}}년') AS ks FROM hd UNION ALL SELECT doc_id, 'MONEY', 0.85, regexp_extract_all(text, '\\d+[억만천]?원') FROM hd "
+    "UNION ALL SELECT doc_id, 'ORG', 0.75, regexp_extract_all(text, '[가-힣]{2,}(전자|그룹|회사|기업|산업|코퍼레이션|Corporation|Inc|Ltd)') FROM hd UNION ALL SELECT doc_id, 'LOC', 0.7, regexp_extract_all(text, '[가-힣]{2,}(시|도|구|군|동|면|읍|특별시|광역시)') FROM hd), "
+    "h AS (SELECT doc_id, category, score, unnest(ks) AS keyword, generate_subscripts(ks, 1) AS i FROM x), w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS ws FROM hd)), "
+    "e AS (SELECT * FROM h UNION ALL SELECT doc_id, 'MISC', 0.6, w, i FROM w WHERE regexp_matches(w, '^[A-Z][A-Za-z]{2,}$') AND w NOT IN ('The', 'This', 'That', 'These', 'Those', 'And', 'But', 'For', 'With', 'From', 'Are', 'Was', 'Were', 'Not', 'You', 'All', 'Can', 'Has', 'Have', 'Had', 'Its')) "
+    "SELECT doc_id, keyword, 'pattern' AS extractor, CAST(score AS DOUBLE) AS score, category FROM (SELECT doc_id, keyword, category, score, min(i) AS first FROM e GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, keyword) <= 20",
+)
 add("d08_entity_dedup_topk", lambda s, d: k.entity_top(occurrences(s, d), 10).drop("rank"), f"WITH {D_OCC}, o AS (SELECT * FROM occ QUALIFY row_number() OVER (PARTITION BY doc_id, lower(keyword), category ORDER BY score DESC, keyword) = 1) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword, extractor) <= 10")
 add(
-    "d09_label_confidence", lambda s, d: k.pattern_entities(docs(s, d)).select("doc_id", "keyword", k.label_confidence(F.when(F.col("doc_id") % 2 == 0, F.col("category")).otherwise("OTHER")).alias("confidence")),
-    f"WITH {D_OCC} SELECT doc_id, keyword, CASE WHEN doc_id % 2 = 0 THEN CASE category WHEN 'MISC' THEN 0.6 ELSE 0.8 END ELSE 0.65 END AS confidence FROM pat",
+    "d09_label_confidence",
+    lambda s, d: k.pattern_entities(docs(s, d)).withColumn("label", F.get(F.array(*map(F.lit, [*k.LABEL_CONFIDENCE, "OTHER"])), (F.col("doc_id") % 24).cast("int"))).select("doc_id", "keyword", "label", k.label_confidence(F.col("label")).alias("confidence")),
+    f"WITH {D_OCC}, c AS (SELECT * FROM (VALUES (0, 'PERSON', 0.9), (1, 'ORG', 0.85), (2, 'LOC', 0.8), (3, 'DATE', 0.75), (4, 'TIME', 0.7), (5, 'MONEY', 0.85), (6, 'PERCENT', 0.8), (7, 'MISC', 0.6), (8, 'PS', 0.85), (9, 'LC', 0.8), (10, 'OG', 0.85), (11, 'DT', 0.75), "
+    "(12, 'TI', 0.7), (13, 'QT', 0.8), (14, 'CV', 0.75), (15, 'AM', 0.7), (16, 'PT', 0.7), (17, 'MT', 0.7), (18, 'TR', 0.7), (19, 'EV', 0.75), (20, 'AF', 0.7), (21, 'FD', 0.75), (22, 'TM', 0.7), (23, 'OTHER', 0.65)) v(i, label, confidence)) "
+    "SELECT doc_id, keyword, label, CAST(confidence AS DOUBLE) AS confidence FROM pat JOIN c ON c.i = doc_id % 24",
 )
 add("d10_noun_score", lambda s, d: k.noun_score(docs(s, d)), f"WITH {D_COUNTED} SELECT doc_id, keyword, round(least(1.0, n / max(n) OVER (PARTITION BY doc_id) + least(0.2, (length(keyword) - 2) * 0.05)), 6) AS score FROM counted")
 add("d14_group_mean_dedup", lambda s, d: k.group_mean(occurrences(s, d)), f"WITH {D_OCC} SELECT doc_id, keyword, floor(avg(score) OVER (PARTITION BY lower(keyword)) * 1000 + 1e-6) / 1000 AS score FROM occ QUALIFY row_number() OVER (PARTITION BY lower(keyword) ORDER BY score DESC, doc_id, extractor, keyword) = 1")
@@ -99,10 +111,11 @@ add(
 )
 add("c06_page_breaks", lambda s, d: p.page_breaks(docs(s, d)).select("doc_id", F.array_join(F.transform("breaks", lambda b: b.cast("string")), ",").alias("breaks")))
 add("c07_offset_to_page", lambda s, d: p.page_breaks(docs(s, d)).join(docs(s, d).select("doc_id", F.length("text").alias("n")), "doc_id").select("doc_id", p.offset_to_page((F.col("n") / 2).cast("int"), F.col("breaks")).alias("page_number")))
-_SENT = "list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) > 10)"
+_SENT = "list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)"
+_CUT = "CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END".format
 add(
     "d20_rule_summary", lambda s, d: p.rule_summary(docs(s, d)),
-    f"WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents), m AS (SELECT doc_id, s, list_max(list_transform(s, lambda x: length(x))) AS m FROM s WHERE len(s) >= 3) SELECT doc_id, 'first' AS category, substr(s[1], 1, 100) AS keyword FROM m UNION ALL SELECT doc_id, 'last', substr(s[-1], 1, 100) FROM m UNION ALL SELECT doc_id, 'longest', substr(list_filter(s, lambda x: length(x) = m)[1], 1, 120) FROM m WHERE m > 50",
+    f"WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents), m AS (SELECT doc_id, s, list_max(list_transform(s, lambda x: length(x))) AS m FROM s WHERE len(s) >= 3) SELECT doc_id, 'summary_intro' AS category, CAST(0.8 AS DOUBLE) AS score, {_CUT(x='s[1]', n=100)} AS keyword FROM m UNION ALL SELECT doc_id, 'summary_conclusion', 0.8, {_CUT(x='s[-1]', n=100)} FROM m UNION ALL SELECT doc_id, 'summary_core', 0.9, {_CUT(x='list_filter(s, lambda x: length(x) = m)[1]', n=120)} FROM m WHERE m > 50",
 )
 add(
     "d21_summary_topics", lambda s, d: p.summary_topics(docs(s, d)),
@@ -110,9 +123,13 @@ add(
 )
 add(
     "d17_stat_labels", lambda s, d: p.stat_labels(docs(s, d)),
-    "SELECT doc_id, 'length' AS category, CASE WHEN length(text) < 1000 THEN '매우짧음' WHEN length(text) < 5000 THEN '짧음' WHEN length(text) < 20000 THEN '보통' WHEN length(text) < 50000 THEN '김' ELSE '매우김' END AS label FROM documents UNION ALL "
-    "SELECT doc_id, 'words', CASE WHEN n < 100 THEN '소량' WHEN n < 500 THEN '적음' WHEN n < 2000 THEN '보통' WHEN n < 5000 THEN '많음' ELSE '대량' END FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n FROM documents) UNION ALL "
-    "SELECT doc_id, 'paragraphs', CASE WHEN n < 5 THEN '단순구조' WHEN n < 20 THEN '보통구조' ELSE '복잡구조' END FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p) <> '')) AS n FROM documents)",
+    "WITH n AS (SELECT doc_id, length(text) AS c, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w, len(string_split_regex(text, '[.!?]+')) AS s, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '\\S'))) AS p FROM documents) "
+    "SELECT doc_id, 'doc_length' AS category, CAST(0.7 AS DOUBLE) AS score, CASE WHEN c < 1000 THEN '매우짧음' WHEN c < 5000 THEN '짧음' WHEN c < 20000 THEN '보통' WHEN c < 50000 THEN '김' ELSE '매우김' END AS label FROM n UNION ALL "
+    "SELECT doc_id, 'word_count', 0.6, CASE WHEN w < 100 THEN '소량' WHEN w < 500 THEN '적음' WHEN w < 2000 THEN '보통' WHEN w < 5000 THEN '많음' ELSE '대량' END FROM n UNION ALL "
+    "SELECT doc_id, 'sentence_count', 0.5, CASE WHEN s < 10 THEN '단순' WHEN s < 50 THEN '보통' WHEN s < 200 THEN '복잡' ELSE '매우복잡' END FROM n UNION ALL "
+    "SELECT doc_id, 'paragraph_count', 0.5, CASE WHEN p < 5 THEN '단순구조' WHEN p < 20 THEN '보통구조' ELSE '복잡구조' END FROM n UNION ALL "
+    "SELECT doc_id, 'sentence_length', 0.4, CASE WHEN w / greatest(s, 1) < 8 THEN '짧은문장' WHEN w / greatest(s, 1) < 15 THEN '보통문장' WHEN w / greatest(s, 1) < 25 THEN '긴문장' ELSE '매우긴문장' END FROM n UNION ALL "
+    "SELECT doc_id, 'complexity', 0.6, CASE WHEN c / greatest(w, 1) < 4 THEN '단순' WHEN c / greatest(w, 1) < 6 THEN '보통' WHEN c / greatest(w, 1) < 8 THEN '복잡' ELSE '매우복잡' END FROM n",
 )
 add(
     "d26_text_profile", lambda s, d: p.text_profile(docs(s, d)),

@@ -28,7 +28,11 @@ def _over(name: str, run, sql: str) -> None:
     add(name, lambda s, d: run(*g.build(docs(s, d), _simple(s, d))), f"WITH {D_OCC}, {D_GRAPH} {sql}")
 
 
-_TYPES = " ".join(f"WHEN regexp_matches(name, '{'|'.join(c.split())}') THEN '{n}'" for n, c in g.TYPES.items())
+#: The types of keywords in the technical domain, spelled out.
+_TYPES = (
+    "WHEN regexp_matches(name, 'postgresql|postgres|mysql|mongodb|sqlite|oracle|redis|cassandra|elasticsearch|influxdb|mariadb') THEN 'Database' "
+    "WHEN regexp_matches(name, 'fastapi|django|flask|react|vue|angular|spring|express|laravel|rails|nextjs|nuxt') THEN 'Framework' WHEN regexp_matches(name, 'docker|kubernetes|jenkins|git|maven|gradle|webpack|vite|npm|yarn') THEN 'Tool'"
+)
 D_GRAPH = f"""kwn AS (SELECT DISTINCT lower(keyword) AS name FROM simple),
 nodes AS (SELECT concat('d', doc_id) AS id, 'Document' AS type, concat_ws('/', source, doc_id) AS name, lang AS domain FROM documents UNION ALL SELECT substr(sha1(name), 1, 16), CASE {_TYPES} ELSE '{g.DEFAULT_TYPE}' END, name, 'word' FROM kwn),
 edges AS (SELECT concat('d', doc_id) AS source, substr(sha1(lower(keyword)), 1, 16) AS target, 'MENTIONS' AS type, CAST(sum(n) AS BIGINT) AS n FROM simple GROUP BY doc_id, lower(keyword))"""
@@ -43,9 +47,29 @@ def _d_score(words: str, patterns: list[str]) -> str:
 
 D_SCORES = "sc AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS domain, {i} AS place, {_d_score(w, p)} AS score FROM documents" for i, (n, (w, p)) in enumerate(g.DOMAINS.items())) + ")"
 add("k02_domain_score", lambda s, d: g.domain_scores(docs(s, d)), f"WITH {D_SCORES} SELECT * FROM sc")
-add("k03_domain_adjust", lambda s, d: g.domain_adjust(g.domain_scores(docs(s, d)), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".pdf")), f"WITH {D_SCORES} SELECT doc_id, domain, place, round(score + CASE WHEN (domain = 'technical' AND doc_id % 2 = 0) OR (domain <> 'technical' AND doc_id % 2 = 1) THEN 0.2 ELSE 0 END, 6) AS score FROM sc")
+add(
+    "k03_domain_adjust",
+    lambda s, d: g.domain_adjust(
+        g.domain_scores(docs(s, d)), F.get(F.array(*map(F.lit, (".md", ".pdf", ".docx", ".xlsx", ".tex", ".txt"))), (F.col("doc_id") % 6).cast("int")),
+        F.get(F.array(*map(F.lit, ("", "Research paper", "technical manual", "Annual report", "contract"))), (F.col("doc_id") % 5).cast("int")),
+    ),
+    f"WITH {D_SCORES} SELECT doc_id, domain, place, round(score + CASE WHEN (domain, doc_id % 6) IN (('technical', 0), ('academic', 1), ('business', 1), ('legal', 1), ('academic', 2), ('business', 2), ('legal', 2), ('business', 3), ('academic', 4)) THEN 0.2 ELSE 0 END "
+    "+ CASE WHEN (domain, doc_id % 5) IN (('academic', 1), ('technical', 2), ('business', 3), ('legal', 4)) THEN 0.3 ELSE 0 END, 6) AS score FROM sc",
+)
 add("k04_domain_detect", lambda s, d: g.best_domain(g.domain_scores(docs(s, d))), f"WITH {D_SCORES} SELECT doc_id, domain, score FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) = 1")
-add("k05_entity_type", lambda s, d: _simple(s, d).select(F.concat(F.col("keyword"), F.when(F.col("rank") == 1, "Redis").when(F.col("rank") == 2, "Flask").otherwise("")).alias("name")).distinct().select("name", g.entity_type(F.col("name")).alias("type")), f"WITH {D_OCC}, x AS (SELECT DISTINCT keyword || CASE rank WHEN 1 THEN 'Redis' WHEN 2 THEN 'Flask' ELSE '' END AS full_name FROM simple), y AS (SELECT full_name, lower(full_name) AS name FROM x) SELECT full_name AS name, CASE {_TYPES} ELSE '{g.DEFAULT_TYPE}' END AS type FROM y")
+#: Words of each type, added to keywords by rank.
+_TYPED = ("Redis", "Flask", "Git", "Python", "Numpy", "Software", "Researcher", "University", "Theory", "Workflow")
+add(
+    "k05_entity_type",
+    lambda s, d: _simple(s, d).select(
+        F.concat(F.col("keyword"), F.get(F.array(*map(F.lit, _TYPED)), F.col("rank").cast("int") - 1)).alias("name"),
+        F.get(F.array(*map(F.lit, ("technical", "academic", "business", "legal", "general"))), (F.col("doc_id") % 5).cast("int")).alias("domain"),
+    ).distinct().select("name", "domain", g.entity_type(F.col("name"), F.col("domain")).alias("type")),
+    f"""WITH {D_OCC}, x AS (SELECT DISTINCT keyword || {list(_TYPED)!r}[rank] AS full_name, ['technical', 'academic', 'business', 'legal', 'general'][doc_id % 5 + 1] AS domain FROM simple), y AS (SELECT full_name, domain, lower(full_name) AS name FROM x)
+SELECT full_name AS name, domain, CASE domain WHEN 'technical' THEN CASE {_TYPES} ELSE 'Technology' END WHEN 'academic' THEN 'Author'
+WHEN 'business' THEN CASE WHEN regexp_matches(name, 'workflow|procedure|protocol|methodology') THEN 'Process' ELSE 'Company' END WHEN 'legal' THEN 'Law'
+ELSE CASE WHEN regexp_matches(name, 'author|researcher|manager|director|ceo') THEN 'Person' WHEN regexp_matches(name, 'company|university|institute|corporation') THEN 'Organization' WHEN regexp_matches(name, 'method|approach|technique|theory|principle|pattern|concept') THEN 'Concept' ELSE 'Person' END END AS type FROM y""",
+)
 add("k08_keyword_entities", lambda s, d: k.multi_extract(docs(s, d), ["simple", "freq"]).groupBy(g.graph_id(F.lower("keyword")).alias("id"), "extractor").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n")), f"WITH {D_OCC} SELECT substr(sha1(lower(keyword)), 1, 16) AS id, extractor, max(score) AS score, count(*) AS n FROM occ WHERE extractor IN ('simple', 'freq') GROUP BY ALL")
 add("k13_structure_depth", lambda s, d: g.depths(st.section_parents(st.sections(headed(s, d)))), f"WITH RECURSIVE {D_SECTIONS}, sp AS (SELECT a.doc_id, a.line_no, max(b.line_no) AS parent_line FROM sec a LEFT JOIN sec b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY ALL), walk AS (SELECT doc_id, line_no, 0 AS depth FROM sp WHERE parent_line IS NULL UNION ALL SELECT p.doc_id, p.line_no, w.depth + 1 FROM sp p JOIN walk w ON p.doc_id = w.doc_id AND p.parent_line = w.line_no) SELECT doc_id, line_no, CAST(depth AS INT) AS depth FROM walk")
 add("q12_depth_distribution", lambda s, d: g.depths(st.section_parents(st.sections(headed(s, d)))).groupBy("depth").agg(F.count(F.lit(1)).alias("n")), ALL["k13_structure_depth"][1].replace("SELECT doc_id, line_no, CAST(depth AS INT) AS depth FROM walk", "SELECT CAST(depth AS INT) AS depth, count(*) AS n FROM walk GROUP BY depth"))
@@ -73,7 +97,12 @@ def graph_sql(nodes, edges, text: str):
 _SQL = "SELECT domain, count(*) AS n, sum(e.n) AS mentions FROM nodes JOIN edges e ON id = source GROUP BY domain"
 _over("q08_graph_sql", lambda n, e: graph_sql(n, e, _SQL), "SELECT domain, count(*) AS n, CAST(sum(e.n) AS BIGINT) AS mentions FROM nodes JOIN edges e ON id = source GROUP BY domain")
 _over("q09_dangling_edges", lambda n, e: g.dangling(n.filter("NOT (type = 'Document' AND id LIKE '%7')"), e), "SELECT * FROM edges WHERE source LIKE '%7'")
-add("q10_entity_density_by_section", lambda s, d: st.sections(headed(s, d)).groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")), f"WITH {D_SECTIONS} SELECT style, count(*) AS n, count(DISTINCT doc_id) AS docs FROM sec GROUP BY style")
+add(
+    "q10_entity_density_by_section",
+    lambda s, d: g.section_density(st.sections(headed(s, d)).join(headed(s, d), "doc_id").select("doc_id", "line_no", "title", F.expr("substring(text, greatest(locate(title, text), 1), 5000)").alias("text")), _simple(s, d)),
+    f"WITH {D_OCC}, {D_SECTIONS}, st AS (SELECT doc_id, line_no, title, lower(substr(text, greatest(strpos(text, title), 1), 5000)) AS t FROM sec JOIN hd USING (doc_id)), kws AS (SELECT DISTINCT doc_id, lower(keyword) AS k FROM simple) "
+    "SELECT doc_id, line_no, title, CAST(count(*) AS INT) AS entities FROM st JOIN kws USING (doc_id) WHERE contains(t, k) GROUP BY ALL",
+)
 _over("q11_same_container_pairs", lambda n, e: e.alias("a").join(e.alias("b"), (F.col("a.source") == F.col("b.source")) & (F.col("a.target") != F.col("b.target"))).groupBy(F.col("a.source").alias("source")).agg(F.count(F.lit(1)).alias("pairs")), "SELECT a.source, count(*) AS pairs FROM edges a JOIN edges b ON a.source = b.source AND a.target <> b.target GROUP BY a.source")
 _over("q13_domain_type_patterns", lambda n, e: e.join(n.alias("s"), F.col("source") == F.col("s.id")).join(n.alias("t"), F.col("target") == F.col("t.id")).groupBy(F.col("s.domain").alias("domain"), F.col("t.type").alias("type")).agg(F.count(F.lit(1)).alias("n")), "SELECT s.domain, t.type, count(*) AS n FROM edges JOIN nodes s ON source = s.id JOIN nodes t ON target = t.id GROUP BY ALL")
 _over("q15_domain_counts", lambda n, e: n.groupBy("domain").agg(F.count(F.lit(1)).alias("n")), "SELECT domain, count(*) AS n FROM nodes GROUP BY domain")

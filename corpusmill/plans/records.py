@@ -42,9 +42,14 @@ add("d12_parse_llm_keywords", lambda s, d: r.parse_keywords(_replies(s, d)), f"{
 add("d13_weighted_confidence", lambda s, d: _simple(s, d).select("doc_id", "keyword", r.weighted(F.col("score"), F.element_at(F.array(F.lit("high"), F.lit("low"), F.lit("none")), F.col("rank"))).alias("score")), f"{_S3} SELECT doc_id, keyword, round(score * CASE rank WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.8 END, 6) AS score FROM s3")
 add("k25_parse_llm_relations", lambda s, d: r.parse_relations(_relations(s, d), _simple(s, d).select(F.lower("keyword").alias("name"))).select("doc_id", "entity1", "entity2"), f"{_S3} SELECT a.doc_id, lower(a.keyword) AS entity1, lower(b.keyword) AS entity2 FROM s3 a JOIN s3 b ON a.doc_id = b.doc_id AND a.rank < b.rank WHERE lower(a.keyword) <> lower(b.keyword)")
 _COUNT = lambda words: " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in words.split())
-_T = [f"({_COUNT(w)})" for w in r.TONES.values()]
-_N = list(r.TONES)
-add("d22_tone", lambda s, d: r.tone(docs(s, d)), f"WITH c AS (SELECT doc_id, {_T[0]} AS a, {_T[1]} AS b, {_T[2]} AS c FROM documents) SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN '{r.DEFAULT_TONE}' WHEN a >= b AND a >= c THEN '{_N[0]}' WHEN b >= c THEN '{_N[1]}' ELSE '{_N[2]}' END AS tone FROM c")
+#: Words that show a tone, which the tables lack, added to whole texts by id; the last is of no tone.
+_TONED = ["연구 데이터", "공지 안내", "시스템 코드 데이터", "방법 단계 절차", "비교 검토 분석", "좋은 효과", "문제 실패 결과", "날씨"]
+_TONE_WORDS = "('학술적', 1, ['연구', '분석', '결과', '방법론', '이론', '가설', '실험', '데이터']), ('공식적', 2, ['공지', '안내', '규정', '지침', '절차', '정책', '계획']), ('기술적', 3, ['시스템', '구현', '개발', '코드', '알고리즘', '프로그래밍', '소프트웨어']), ('설명적', 4, ['방법', '단계', '과정', '절차', '예시', '설명', '가이드']), ('분석적', 5, ['비교', '검토', '평가', '분석', '고찰', '조사', '연구']), ('긍정적', 6, ['성공', '향상', '개선', '효과', '발전', '좋은', '우수한']), ('부정적', 7, ['문제', '실패', '오류', '위험', '어려움', '부족', '나쁜'])"
+add(
+    "d22_tone", lambda s, d: r.tone(docs(s, d).withColumn("text", F.concat("text", F.lit(" "), F.get(F.array(*map(F.lit, _TONED)), (F.col("doc_id") % 8).cast("int"))))),
+    f"WITH t AS (SELECT doc_id, lower(text || ' ' || {_TONED!r}[doc_id % 8 + 1]) AS text FROM documents), n AS (SELECT doc_id, tone, o, list_sum(list_transform(ws, lambda w: (length(text) - length(replace(text, w, ''))) // length(w))) AS n FROM t, (VALUES {_TONE_WORDS}) v(tone, o, ws)) "
+    "SELECT doc_id, CASE WHEN max(n) = 0 THEN '일반적' ELSE arg_max(tone, n * 10 - o) END AS tone FROM n GROUP BY doc_id",
+)
 add("d24_fallback_metadata", lambda s, d: r.fallback_title(docs(s, d)), "SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:10], lambda x: trim(x)), lambda x: length(x) > 5 AND length(x) < 200 AND NOT regexp_matches(x, '^\\d+$') AND NOT starts_with(x, 'http') AND NOT contains(x, '@'))[1] AS title FROM documents")
 add("d23_file_metadata", lambda s, d: r.file_metadata(docs(s, d).withColumn("filename", F.concat("source", F.lit("_report-"), "doc_id", F.lit(".TXT")))), "SELECT doc_id, 'txt' AS extension, concat_ws(',', source, 'report', CASE WHEN length(CAST(doc_id AS VARCHAR)) >= 2 THEN CAST(doc_id AS VARCHAR) END) AS words, CASE WHEN length(text) < 5000 THEN '소형' WHEN length(text) < 50000 THEN '중형' WHEN length(text) < 200000 THEN '대형' ELSE '초대형' END AS size FROM documents")
 _LINES = lambda p: F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(p)))

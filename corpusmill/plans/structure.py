@@ -19,13 +19,14 @@ def add(name: str, run, sql: str = "") -> None:
 
 
 def headed(s, d):
-    """Documents whose every third line is made a numbered, Markdown or upper-case heading, so that structure rules meet headings."""
+    """Documents with numbered and Markdown headings and blank lines put between their lines, which stay whole, so that structure rules meet headings."""
     lines = F.split("text", "\n", -1)
-    mark = lambda x, i: F.when(i % 5 == 0, F.concat(i + 1, F.lit(". "), F.substring(x, 1, 30))).when(i % 5 == 2, F.concat(F.lit("## "), F.substring(x, 1, 30))).when(i % 5 == 3, "").otherwise(x)
-    return docs(s, d).select("doc_id", F.array_join(F.transform(lines, mark), "\n").alias("text"))
+    numbered, marked = (lambda x, i: F.concat(i + 1, F.lit(". "), F.substring(x, 1, 30))), (lambda x: F.concat(F.lit("## "), F.substring(x, 1, 30)))
+    mark = lambda x, i: F.when(i % 5 == 0, F.array(numbered(x, i), x)).when(i % 5 == 2, F.array(marked(x), x)).when(i % 5 == 3, F.array(F.lit(""), x)).otherwise(F.array(x))
+    return docs(s, d).select("doc_id", F.array_join(F.flatten(F.transform(lines, mark)), "\n").alias("text"))
 
 
-D_HEADED = "hd AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN concat(i, '. ', substr(x, 1, 30)) WHEN (i - 1) % 5 = 2 THEN concat('## ', substr(x, 1, 30)) WHEN (i - 1) % 5 = 3 THEN '' ELSE x END), chr(10)) AS text FROM documents)"
+D_HEADED = "hd AS (SELECT doc_id, array_to_string(flatten(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN [concat(i, '. ', substr(x, 1, 30)), x] WHEN (i - 1) % 5 = 2 THEN [concat('## ', substr(x, 1, 30)), x] WHEN (i - 1) % 5 = 3 THEN ['', x] ELSE [x] END)), chr(10)) AS text FROM documents)"
 D_STYLE = r"""CASE WHEN s = '' THEN NULL WHEN regexp_matches(s, '^\d+(\.\d+)*\s*[.)]?\s+.') THEN 'numbered' WHEN regexp_matches(s, '^제?\s*\d+\s*[장절항]\s*[.:]?\s*.') THEN 'korean'
  WHEN regexp_matches(s, '^[IVXLCDM]{1,4}\s*[.)]?\s+.') THEN 'roman' WHEN regexp_matches(s, '^#{1,6}\s+.') THEN 'markdown' WHEN regexp_matches(s, '^[A-Z][A-Z\s]{2,}$') AND length(s) < 50 AND (before = '' OR after = '') THEN 'uppercase'
  WHEN regexp_matches(s, '^[가-힣A-Za-z0-9\s]+\s*[:：-]$') THEN 'separator' WHEN length(s) > 5 AND length(s) < 50 AND before = '' AND after = '' AND NOT regexp_matches(s, '[.。!?！？]$') AND regexp_matches(s, '^[가-힣A-Za-z]') THEN 'isolated' END"""

@@ -116,12 +116,16 @@ add(
 _KO = "concat(['데이터', '시스템', '연구', 'AI기술'][doc_id % 4 + 1], ['의', '에서는', '을', '까지', '이다', ''][doc_id % 6 + 1])"
 _KO_SPARK = "concat(array('데이터', '시스템', '연구', 'AI기술')[int(doc_id % 4)], array('의', '에서는', '을', '까지', '이다', '')[int(doc_id % 6)])"
 _KO_STEM = "['데이터', '시스템', '연구', 'AI기술'][doc_id % 4 + 1]"
-for _name, _f, _last in (("b06_normalize_keyword", t.normalize_keyword, "이다"), ("b07_strip_particle", t.strip_particle, "이다"), ("b08_strip_particle_longest", t.strip_particle_longest, "이다")):
+add(
+    "b08_strip_particle_longest", lambda s, d: docs(s, d).select("doc_id", t.strip_particle_longest(F.expr("concat(array('데이터', '시스템', '연구', 'AI기술')[int(doc_id % 4)], array('이랑', '조차', '밖에', '보다', '처럼', '이여', '에서는', '')[int(doc_id % 8)])")).alias("value")),
+    "SELECT doc_id, ['데이터', '시스템', '연구', 'AI기술'][doc_id % 4 + 1] || ['', '', '', '보다', '처럼', '', '에서', ''][doc_id % 8 + 1] AS value FROM documents",
+)
+for _name, _f in (("b06_normalize_keyword", t.normalize_keyword), ("b07_strip_particle", t.strip_particle)):
     add(_name, lambda s, d, f=_f: docs(s, d).select("doc_id", f(F.expr(_KO_SPARK)).alias("value")), f"SELECT doc_id, {_KO_STEM} AS value FROM documents")
 add(
     "b09_keyword_to_words",
     lambda s, d: docs(s, d).select("doc_id", F.array_join(t.keyword_to_words(F.expr(f"concat({_KO_SPARK}, ' ', source, ' the ', lang)")), ",").alias("value")),
-    f"SELECT doc_id, concat_ws(',', {_KO_STEM}, source, lang) AS value FROM documents",
+    f"SELECT doc_id, concat_ws(',', {_KO_STEM} || ['', '에서', '', '', '이다', ''][doc_id % 6 + 1], source, lang) AS value FROM documents",
 )
 scalar("b10_squeeze_text", t.squeeze, f"trim(regexp_replace(text, '{D_WHITE}', ' ', 'g'))")
 add(
@@ -177,10 +181,20 @@ add(
     lambda s, d: files.html_links(pages(s, d)).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n")),
     f"WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS url FROM pages) SELECT page_id, CASE WHEN starts_with(url, 'mailto:') THEN 'mailto' WHEN regexp_matches(url, '^https?://') THEN 'external' ELSE 'internal' END AS kind, count(*) AS n FROM l GROUP BY ALL",
 )
+#: References of each kind, which few texts have, added to whole texts.
+_REFS = " 2024년 3월 5일, 2024-03-05 3/5/2024 5.3.2024 https://host.example/a|b?x=1 me@mail.example 2025-01-01"
 add(
     "d18_content_refs",
-    lambda s, d: files.content_refs(docs(s, d)),
-    "SELECT doc_id, 'email_domain' AS category, split_part(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')), '@', 2) AS keyword FROM documents UNION ALL SELECT doc_id, 'url_host', split_part(unnest(regexp_extract_all(text, 'https?://[^\\s<>\"]+')), '/', 3) FROM documents UNION ALL SELECT doc_id, 'date', unnest(regexp_extract_all(text, '\\d{4}-\\d{2}-\\d{2}|\\d{4}/\\d{1,2}/\\d{1,2}')) FROM documents",
+    lambda s, d: files.content_refs(docs(s, d).withColumn("text", F.concat("text", F.lit(_REFS)))),
+    " UNION ALL ".join(
+        f"(WITH m AS (SELECT doc_id, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS ps FROM (SELECT doc_id, text || '{_REFS}' AS text FROM documents)), "
+        "r AS (SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) AS place FROM m WHERE len(ms) > 0) "
+        f"SELECT doc_id, '{c}' AS category, CAST({v} AS DOUBLE) AS score, {keyword} AS keyword, CAST(place AS INT) AS start_position, CAST(place + length(m) AS INT) AS end_position FROM r)"
+        for c, v, p, keyword in (
+            ("url_reference", 0.5, """'https?://[^\\s<>"{}|\\\\^`\\[\\]]+'""", "split_part(m, '/', 3)"), ("email_reference", 0.6, "'\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b'", "split_part(m, '@', 2)"),
+            ("date_korean", 0.7, "'\\d{4}년\\s*\\d{1,2}월\\s*\\d{1,2}일'", "m"), ("date_iso", 0.7, "'\\d{4}-\\d{2}-\\d{2}'", "m"), ("date_us", 0.7, "'\\d{1,2}/\\d{1,2}/\\d{4}'", "m"), ("date_eu", 0.7, "'\\d{1,2}\\.\\d{1,2}\\.\\d{4}'", "m"),
+        )
+    ),
 )
 add(
     "d19_numeric_profile",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -108,14 +108,32 @@ def best_candidate(docs: DataFrame) -> DataFrame:
     return best.select("doc_id", "best", F.round("q", 6).alias("quality"))
 
 
+#: Kinds of references in texts, their scores and patterns.
+REFERENCES = (
+    ("url_reference", 0.5, r'https?://[^\s<>"{}|\\^`\[\]]+'),
+    ("email_reference", 0.6, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
+    ("date_korean", 0.7, r"\d{4}년\s*\d{1,2}월\s*\d{1,2}일"),
+    ("date_iso", 0.7, r"\d{4}-\d{2}-\d{2}"),
+    ("date_us", 0.7, r"\d{1,2}/\d{1,2}/\d{4}"),
+    ("date_eu", 0.7, r"\d{1,2}\.\d{1,2}\.\d{4}"),
+)
+
+
 def content_refs(docs: DataFrame) -> DataFrame:
-    """Domains of mail addresses, hosts of links, and dates, one row for each mention."""
-    rows = lambda kind, pattern, pick: docs.select("doc_id", F.lit(kind).alias("category"), F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("keyword")).withColumn("keyword", pick(F.col("keyword")))
-    return (
-        rows("email_domain", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", lambda k: F.split_part(k, F.lit("@"), F.lit(2)))
-        .union(rows("url_host", r'https?://[^\s<>"]+', lambda k: F.split_part(k, F.lit("/"), F.lit(3))))
-        .union(rows("date", r"\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}", lambda k: k))
-    )
+    """Hosts of links, domains of mail addresses, and dates in four forms: a row for each mention with its score and place.
+
+    A mention's place follows from the lengths of the pieces and mentions before it, summed within its document and kind.
+    """
+    found = F.array(*[
+        F.struct(F.lit(c).alias("category"), F.lit(v).alias("score"), F.arrays_zip(F.regexp_extract_all("text", F.lit(p), 0).alias("m"), F.transform(F.split("text", p, -1), F.length).alias("gap")).alias("all"))
+        for c, v, p in REFERENCES
+    ])
+    kinds = docs.select("doc_id", F.explode(found).alias("k")).select("doc_id", "k.category", "k.score", F.posexplode("k.all").alias("i", "x"))
+    rows = kinds.filter("x.m IS NOT NULL").select("doc_id", "category", "score", "i", F.col("x.m").alias("m"), F.col("x.gap").alias("gap"))
+    so_far = Window.partitionBy("doc_id", "category").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("gap") + F.length("m")).over(so_far).cast("int")
+    keyword = F.when(F.col("category") == "url_reference", F.split_part("m", F.lit("/"), F.lit(3))).when(F.col("category") == "email_reference", F.split_part("m", F.lit("@"), F.lit(2))).otherwise(F.col("m"))
+    return rows.select("doc_id", "category", "score", keyword.alias("keyword"), (end - F.length("m")).alias("start_position"), end.alias("end_position"))
 
 
 def numeric_profile(docs: DataFrame) -> DataFrame:
