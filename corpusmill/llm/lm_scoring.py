@@ -19,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, count_arrays
+from .count_arrays import CHUNK
 from .toxicity import remainder
 
 FOLDS, HELD_OUT = 7, 2
-WEIGHT_FOLDS = 29  # one such part of the training documents adapts the weights, on counts that lack it
-FREQUENT = 1 << 15  # tokens with a code of their own: bounds what is broadcast
-TABLE_BITS, CHUNK = 21, 1 << 15
+WEIGHT_FOLDS = 7  # one such part of the training documents adapts the weights, on counts that lack it
+FREQUENT = 1 << 16  # tokens with a code of their own: bounds what is broadcast
+TABLE_BITS = 21
 SEGMENT_TOKENS, BATCH_TOKENS = 128, 150_000  # weights start anew with each segment of a text, so that segments go in step
 GATES, INPUTS, BUCKETS = 12, 3, 32
-RATE, REFINE_RATE, SALTS = 0.02, 0.02, 32
+RATE, REFINE_RATE = 0.02, 0.02
 END = b"\n"  # no word holds white space
 
 
@@ -210,15 +211,11 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 def count_bits(texts: DataFrame, code) -> DataFrame:
     """(part, chunk, counts): zeros and ones of CHUNK slots, summed over all rows of `texts` (text, part).
 
-    Tasks add to arrays of fixed size and hand them over in compressed chunks; chunks are summed in two steps, so no task reads
-    a chunk from every other.
+    Tasks add to arrays of fixed size.
     """
     size = 2 * (2 << TABLE_BITS) + 2 * (FREQUENT + CHUNK)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId() % SALTS
         sums: dict[int, np.ndarray] = {}
         nodes_at = 2 * (2 << TABLE_BITS)
         for batch, texts in _batches(batches, 0):
@@ -229,53 +226,15 @@ def count_bits(texts: DataFrame, code) -> DataFrame:
                 for base, slot, n in ((0, one, 1 << TABLE_BITS), (2 << TABLE_BITS, two, 1 << TABLE_BITS), (nodes_at, nodes, FREQUENT + CHUNK)):
                     np.add.at(total, slot + (bits * np.int64(n) + base), np.uint32(1))
         for part, total in sums.items():
-            yield from _chunks(part, task, total.astype("<u8"))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand, held, key = zstandard.ZstdDecompressor().decompress, None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                k = (row["part"], row["chunk"], row["task"])
-                if k != key:
-                    if held is not None:
-                        yield _chunk_row(*key, held)
-                    key, held = k, np.zeros(CHUNK, "<u8")
-                held = held + np.frombuffer(expand(row["counts"]), "<u8")
-        if held is not None:
-            yield _chunk_row(*key, held)
-
-    schema = "part int, chunk int, task int, counts binary"
-    found = texts.mapInArrow(fill, schema)
-    for salt in (F.col("task"), F.lit(0)):
-        n = common.parallelism(texts.sparkSession)
-        keyed = found.withColumn("task", salt).repartition(n, "part", "chunk", "task").sortWithinPartitions("part", "chunk", "task")
-        found = keyed.mapInArrow(add, schema)
-    return found.select("part", "chunk", "counts")
+            yield from count_arrays.chunks(part, total)
 
-
-def _chunk_row(part: int, chunk: int, task: int, counts: np.ndarray) -> pa.RecordBatch:
-    import zstandard
-
-    data = zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([task], pa.int32()), pa.array([data], pa.binary())], ["part", "chunk", "task", "counts"])
-
-
-def _chunks(part: int, task: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for chunk in range(0, len(total) // CHUNK):
-        piece = total[chunk * CHUNK : (chunk + 1) * CHUNK]
-        if piece.any():
-            yield _chunk_row(part, chunk, task, piece)
+    return count_arrays.summed(texts.mapInArrow(fill, count_arrays.SCHEMA))
 
 
 def _tables(rows: list) -> Tables:
     """Tables from chunk rows, of which there is a fixed number at most."""
-    import zstandard
-
-    total, n = np.zeros(2 * (2 << TABLE_BITS) + 2 * (FREQUENT + CHUNK), np.uint64), 1 << TABLE_BITS
-    for r in rows:
-        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), "<u8")
+    n = 1 << TABLE_BITS
+    total = count_arrays.filled(rows, 2 * (2 << TABLE_BITS) + 2 * (FREQUENT + CHUNK))
     cut = lambda base, n: total[base : base + 2 * n].reshape(2, n).astype(np.float32)
     return Tables.of([cut(4 * n, FREQUENT + CHUNK), cut(0, n), cut(2 * n, n)])
 
