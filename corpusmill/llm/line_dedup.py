@@ -1,98 +1,286 @@
 """Line dedup as an exact set-similarity join: prefixes of rare tokens, positional and length filters, verified Jaccard.
 
-Native: DataFrame functions only.
+Tokens are counted, hashed and ordered with numpy inside tasks; grouping, joining, filtering and verifying are DataFrame operations.
+An all-DataFrame form took twice the disk and CPU seconds that the check tool allows (README).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, count_arrays
 
 THRESHOLD = (4, 5)  # similarity of 0.8 or more, as a fraction
-RARITY_SLOTS = 1 << 20  # token counts are kept by hash slot: any order is right, a rare-first order is fast
+RARITY_BITS = 22  # token counts are kept by hash slot: any order is right, a rare-first order is fast
+HASH_BITS = 48  # of a token's key; the bits above hold its rarity
 SPACES = r"[\x20\x09-\x0D]+"
+BLOCK = 1 << 20  # bytes hashed at once
+LINE_BYTES = 1 << 21  # lines keyed at once, or one longer line
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class TokenHasher:
+    """64-bit hashes of the tokens of a byte string: polynomials over mixed bytes, for all tokens by one running sum."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.letters = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+        self.powers, self.inverse = _powers(self.BASE), _powers(pow(self.BASE, -1, 2**64))
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        import xxhash
+
+        letters = np.frombuffer(data, np.uint8)
+        word = np.zeros(len(letters) + 2, np.int8)
+        word[1:-1] = ~SPACE[letters]
+        edges = np.flatnonzero(np.diff(word))
+        starts, ends = edges[::2], edges[1::2]
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            first = int(starts[at])
+            if ends[at] - first >= BLOCK:  # such tokens are hashed by themselves
+                out[at] = xxhash.xxh64_intdigest(data[first : int(ends[at])])
+                at += 1
+                continue
+            stop = int(np.searchsorted(ends, first + BLOCK - 1, side="right"))
+            a, b = starts[at:stop] - first, ends[at:stop] - first
+            size = int(b[-1])
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(self.letters[letters[first : first + size]] * self.powers[:size], out=sums[1:])
+            out[at:stop] = (sums[b] - sums[a]) * self.inverse[a] + (b - a).astype(np.uint64)
+            at = stop
+        return _mixed(_mixed(out))
+
+
+_hashers: list[TokenHasher] = []  # of this Python worker
+
+
+def hasher() -> TokenHasher:
+    if not _hashers:
+        _hashers.append(TokenHasher())
+    return _hashers[0]
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def token_rarity(texts: DataFrame) -> np.ndarray:
+    """By slot of a token's hash: how frequent it is over all `text`, in 16 bits: whole counts, then steps of their logarithm."""
+    size = 1 << RARITY_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros(size, np.uint32), [], 0
+
+        def add() -> None:
+            nonlocal held, n
+            np.add(total, np.bincount(_slots(hasher()(b" ".join(held))), minlength=size), out=total, casting="unsafe")
+            held, n = [], 0
+
+        for batch in batches:
+            for text in batch.column(0):
+                held.append((text.as_py() or "").encode())
+                n += len(held[-1])
+                if n > 16 * BLOCK:
+                    add()
+        add()
+        yield from count_arrays.chunks(0, total)
+
+    rows = common.written(count_arrays.summed(texts.select("text").mapInArrow(count, count_arrays.SCHEMA)), "token-counts").collect()  # a fixed number
+    n = count_arrays.filled(rows, size).astype(np.float64)
+    return np.where(n < 2**15, n, np.minimum(2**15 + 1024 * (np.log2(np.maximum(n, 1)) - 15), 2**16 - 1)).astype(np.uint16)
+
+
+def line_keys(texts: DataFrame, rarity: np.ndarray, threshold: tuple[int, int]) -> DataFrame:
+    """For each line with tokens: doc, line_no, size (different tokens), k1 and k2 (a digest of the set), bits, prefix.
+
+    `prefix` has the keys of the rarest tokens, rarest first, as many as a similar set must share one of; `bits` has one of 64 bits
+    set for each token. `texts`: doc, text.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(rarity)  # 8 MB at any size
+    num, den = threshold
+
+    def keyed(docs: list[int], numbers: list[int], sets: list[bytes], counts: list[int], digests: list[bytes]) -> Iterator[pa.RecordBatch]:
+        hashes = hasher()(b"\n".join(sets))
+        keys = shared.value[_slots(hashes)].astype(np.uint64) << np.uint64(HASH_BITS) | hashes >> np.uint64(64 - HASH_BITS)
+        size = np.array(counts, np.int64)
+        starts = np.cumsum(size) - size
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (hashes & np.uint64(63)), starts)
+        digest = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        columns = [np.array(docs, np.int64), np.array(numbers, np.int32), size.astype(np.int32), digest[:, 0], digest[:, 1], bits.view(np.int64)]
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < len(order):
+            # lines of about the same size are sorted as the rows of one matrix
+            least = int(size[order[at]])
+            stop = int(np.searchsorted(size[order], max(least + 1, least * 5 // 4), side="right"))
+            rows = order[at:stop]
+            width = int(size[rows[-1]])
+            if len(rows) * width > 8 * BLOCK:
+                rows = rows[: max(1, 8 * BLOCK // width)]
+            places, n = np.arange(width), size[rows][:, None]
+            matrix = np.full((len(rows), width), np.uint64(2**64 - 1))
+            inside = places < n
+            matrix[inside] = keys[(starts[rows][:, None] + places)[inside]]
+            matrix.sort(axis=1)
+            length = n - (n * num + den - 1) // den + 1
+            prefix = matrix[places < length].view(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c[rows])) for c in columns], lists], ["doc", "line_no", "size", "k1", "k2", "bits", "prefix"])
+            at += len(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        held: tuple[list, ...] = ([], [], [], [], [])
+        n = 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for number, line in enumerate((text.as_py() or "").encode().split(b"\n")):
+                    words = line.split()  # bytes: ASCII white space
+                    if not words:
+                        continue
+                    words = sorted(set(words))
+                    joined = b" ".join(words)
+                    for column, value in zip(held, (doc, number, joined, len(words), xxhash.xxh3_128_digest(joined))):
+                        column.append(value)
+                    n += len(joined)
+                    if n > LINE_BYTES:
+                        yield from keyed(*held)
+                        held, n = ([], [], [], [], []), 0
+        if held[0]:
+            yield from keyed(*held)
+
+    return texts.select("doc", "text").mapInArrow(run, "doc bigint, line_no int, size int, k1 bigint, k2 bigint, bits bigint, prefix array<bigint>")
 
 
 def line_words(line: Column) -> Column:
     """The line's different tokens."""
-    return F.array_distinct(F.filter(F.split(line, SPACES), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " ")), "")
 
 
 def _at_least(n: Column, num: int, den: int) -> Column:
     """ceil(n * num / den) of whole numbers."""
-    return ((n * num + (den - 1)) / den).cast("int")
+    return F.floor((n.cast("bigint") * num + (den - 1)) / den).cast("int")
 
 
-def similar_lines(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The lines (doc, line_no from 0) of `texts` (doc, text) that have an earlier line of the same tokens or of a Jaccard similarity at the threshold.
+def _postings(sets: DataFrame, threshold: tuple[int, int], *more: str) -> DataFrame:
+    """A row for each prefix token of the sets that may have a similar one. A token that occurs once in all texts can't be shared."""
+    num, den = threshold
+    found = sets.filter(F.col("size") >= num // (den - num)).select("doc", "line_no", "size", "bits", *more, F.posexplode("prefix").alias("place", "token"))
+    return found.filter(F.shiftrightunsigned("token", HASH_BITS) > 1)
+
+
+def _room(size_a: Column, bits_a: Column, size_b: Column, bits_b: Column, threshold: tuple[int, int]) -> Column:
+    """Sizes and bits leave room for the similarity: the bits differ in no more places than the sets may differ in tokens."""
+    num, den = threshold
+    need = _at_least(size_a + size_b, num, num + den)
+    return (size_a * den >= size_b * num) & (size_b * den >= size_a * num) & (F.bit_count(bits_a.bitwiseXOR(bits_b)) <= size_a + size_b - need * 2)
+
 
-    Earlier means a smaller (doc, line_no). Lines of equal token sets are one set, placed where the first of them is. Of each
-    set the rarest tokens, as many as a similar set must share one of, are its prefix; fewer are enough on the side of the smaller
-    set. Sets meet at a shared prefix token if their sizes and the token's places leave enough room. The longer the prefixes
-    are against the tokens that may differ, the more of them must be shared; pairs with fewer are dropped, the others are
-    verified on the tokens themselves.
+def first_pairs(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """At most one pair for each set: doc_a, line_a, doc_b, line_b. The first is the earliest set of about its size with a prefix token of it, the one with most such tokens.
+
+    In a group of near copies these remove all but a few members before any two meet.
     """
     num, den = threshold
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(RARITY_SLOTS)).cast("int")
-    lines = texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    whole = lines.select("doc", "line_no", line_words(F.col("line")).alias("words")).filter(F.size("words") > 0)
-    counts = whole.select(F.explode(F.transform("words", slot)).alias("s")).groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    counts = common.written(counts, "token-slots")
-    by_slot = [0] * RARITY_SLOTS
-    for r in counts.toLocalIterator():  # RARITY_SLOTS rows at most
-        by_slot[r["s"]] = r["n"]
-    rarity = F.split(F.lit(",".join(map(str, by_slot))), ",").cast("array<int>")  # folded into one literal
-    # a signature for each line: equal sets have equal sorted hashes
-    hashed = whole.select(
-        "doc", "line_no", F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(rarity, slot(w) + 1).alias("n"), F.xxhash64(w).alias("h")))).alias("t")
+    band = F.floor(F.log("size") / float(np.log(den / num))).cast("int")
+    postings = _postings(sets, threshold).drop("place").withColumn("band", band)
+    heads = postings.groupBy("token", "band").agg(F.min(F.struct("doc", "line_no", "size", "bits")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = postings.join(heads, ["token", "band"]).filter(
+        (F.struct("doc", "line_no") > F.struct("head.doc", "head.line_no")) & _room(F.col("head.size"), F.col("head.bits"), F.col("size"), F.col("bits"), threshold)
     )
-    # kept small: of all tokens only the prefix moves, with a 128-bit signature of the whole set
-    size = F.size("t")
-    keyed = common.written(
-        hashed.select(
-            "doc", "line_no", size.alias("size"),
-            F.xxhash64(F.transform("t", lambda x: x.h)).alias("k1"), F.xxhash64(F.lit(1), F.transform("t", lambda x: x.h)).alias("k2"),
-            F.transform(F.slice("t", F.lit(1), size - _at_least(size, num, den) + 1), lambda x: x.h.bitwiseAND(2**31 - 1).cast("int")).alias("prefix"),
-        ),
-        "line-keys",
-    )
-    here = F.struct("doc", "line_no")
-    sets = common.written(keyed.groupBy("k1", "k2").agg(F.min(here).alias("first")), "line-sets")
-    copies = keyed.join(sets, ["k1", "k2"]).filter(here > F.col("first")).select("doc", "line_no")
-    # sets of fewer than four tokens have no other set within 0.8: of sizes a <= b, a / b must reach it
-    joinable = keyed.filter(F.col("size") >= int(num / (den - num))).join(sets.select(F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")), ["doc", "line_no"], "left_semi")
-    size_of = F.col("size")
-    probe = size_of - _at_least(size_of, num, den) + 1
-    index = size_of - _at_least(size_of * 2, num, num + den) + 1
-    postings = joinable.select("doc", "line_no", size_of.alias("size"), F.posexplode("prefix").alias("place", "token"))
-    a, b = postings.filter(F.col("place") < index).alias("a"), postings.alias("b")
+    counted = met.groupBy("doc", "line_no", F.col("head.doc").alias("doc_a"), F.col("head.line_no").alias("line_a")).agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")).agg(F.max(F.struct("n", F.bitwise_not("doc_a").alias("d"), F.bitwise_not("line_a").alias("l"))).alias("best"))
+    return best.select(F.bitwise_not(F.col("best.d")).alias("doc_a"), F.bitwise_not(F.col("best.l")).alias("line_a"), "doc_b", "line_b")
+
+
+def candidate_pairs(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of sets (doc, line_no, size, bits, prefix, open) that may be similar and of which the later is open: doc_a, line_a, doc_b, line_b, the smaller set first.
+
+    Sets meet at a shared token of their prefixes; fewer tokens are enough on the side of the smaller set. Pairs go whose sizes or bits
+    leave no room, whose shared tokens stand too near their ends, or which share fewer prefix tokens than the prefixes' lengths demand.
+    """
+    num, den = threshold
+    postings = _postings(sets, threshold, "open")
+    a, b = postings.alias("a"), postings.alias("b")
     sa, sb = F.col("a.size"), F.col("b.size")
-    first = F.struct("a.doc", "a.line_no") < F.struct("b.doc", "b.line_no")
+    first = (F.col("a.doc") < F.col("b.doc")) | (F.col("a.doc") == F.col("b.doc")) & (F.col("a.line_no") < F.col("b.line_no"))
     met = a.join(
         b,
-        (F.col("a.token") == F.col("b.token")) & ((sa < sb) | ((sa == sb) & first)) & (sa * den >= sb * num),
-    ).select(F.col("a.doc").alias("doc_a"), F.col("a.line_no").alias("line_a"), sa.alias("sa"), F.col("b.doc").alias("doc_b"), F.col("b.line_no").alias("line_b"), sb.alias("sb"), (sa - F.col("a.place")).alias("left_a"), (sb - F.col("b.place")).alias("left_b"))
-    shared = met.groupBy("doc_a", "line_a", "sa", "doc_b", "line_b", "sb").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("left_a"), F.min("left_b")).alias("left"))
+        (F.col("a.token") == F.col("b.token")) & ((sa < sb) | ((sa == sb) & first)) & F.when(first, F.col("b.open")).otherwise(F.col("a.open"))
+        & (F.col("a.place") < sa - _at_least(sa * 2, num, num + den) + 1) & _room(sa, F.col("a.bits"), sb, F.col("b.bits"), threshold),
+    ).select(
+        F.col("a.doc").alias("doc_a"), F.col("a.line_no").alias("line_a"), sa.alias("sa"), F.col("b.doc").alias("doc_b"), F.col("b.line_no").alias("line_b"), sb.alias("sb"),
+        F.least(sa - F.col("a.place"), sb - F.col("b.place")).alias("left"),
+    )
+    shared = met.groupBy("doc_a", "line_a", "sa", "doc_b", "line_b", "sb").agg(F.count(F.lit(1)).alias("n"), F.min("left").alias("left"))
     short, long = F.col("sa"), F.col("sb")
     need = _at_least(short + long, num, num + den)
-    spare_a = short - _at_least(short * 2, num, num + den) + 1 - (short - need)
-    spare_b = long - _at_least(long, num, den) + 1 - (long - need)
-    pairs = common.written(shared.filter((F.col("n") >= F.least(spare_a, spare_b)) & (F.col("n") - 1 + F.col("left") >= need)).drop("n", "left", "sa", "sb"), "line-pairs")
-    # the tokens of lines that are in a pair, cut out of their documents
-    needed = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b")).distinct()
-    wanted = needed.groupBy("doc").agg(F.collect_set("line_no").alias("wanted"))
-    cut = texts.join(wanted, "doc").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"), "wanted").filter(F.array_contains("wanted", F.col("line_no")))
-    found = common.written(cut.select("doc", "line_no", line_words(F.col("line")).alias("words")), "pair-lines")
-    left, right = (found.select(F.col("doc").alias(f"doc_{x}"), F.col("line_no").alias(f"line_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
-    both = pairs.join(left, ["doc_a", "line_a"]).join(right, ["doc_b", "line_b"])
+    spare_a = need - _at_least(short * 2, num, num + den) + 1
+    spare_b = need - _at_least(long, num, den) + 1
+    return shared.filter((F.col("n") >= F.least(spare_a, spare_b)) & (F.col("n") - 1 + F.col("left") >= need)).select("doc_a", "line_a", "doc_b", "line_b")
+
+
+def later_of_similar(texts: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The later line (doc, line_no) of each pair whose words have the similarity, as a written table; `pairs` is one, and goes."""
+    num, den = threshold
+    wanted = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b")).distinct()
+    lines = texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    found = common.written(lines.join(wanted, ["doc", "line_no"], "left_semi"), "pair-lines")
+    left, right = (found.select(F.col("doc").alias(f"doc_{x}"), F.col("line_no").alias(f"line_{x}"), F.col("line").alias(f"words_{x}")) for x in "ab")
+    both = pairs.join(left, ["doc_a", "line_a"]).join(right, ["doc_b", "line_b"]).withColumns({f"words_{x}": line_words(F.col(f"words_{x}")) for x in "ab"})
     shared = F.size(F.array_intersect("words_a", "words_b"))
     alike = both.filter(shared * den >= (F.size("words_a") + F.size("words_b") - shared) * num)
     forward = F.struct("doc_a", "line_a") < F.struct("doc_b", "line_b")
-    later = alike.select(F.when(forward, F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc"), F.when(forward, F.col("line_b")).otherwise(F.col("line_a")).alias("line_no")).distinct()
+    later = alike.select(F.when(forward, F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc"), F.when(forward, F.col("line_b")).otherwise(F.col("line_a")).alias("line_no"))
+    out = common.written(later.distinct(), "lines-later")
+    common.discard(found, pairs)
+    return out
+
+
+def similar_lines(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The lines (doc, line_no from 0) of `texts` (doc, text) that have an earlier line of the same tokens or of a Jaccard similarity at the threshold.
+
+    Earlier means a smaller (doc, line_no). Lines of equal token sets are one set, placed where the first of them is. Each set is held
+    against the first ones with its prefix tokens; those that these don't remove are held against all that their prefixes leave room for.
+    """
+    keyed = common.written(line_keys(texts, token_rarity(texts), threshold), "line-keys")
+    here = F.struct("doc", "line_no")
+    groups = keyed.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copy = here > F.col("first")  # null where the set is one line's alone
+    marked = common.written(
+        keyed.join(groups, ["k1", "k2"], "left").select("doc", "line_no", "size", "bits", F.when(copy, None).otherwise(F.col("prefix")).alias("prefix"), F.coalesce(copy, F.lit(False)).alias("copy")),
+        "line-sets",
+    )
+    common.discard(keyed)
+    copies = common.written(marked.filter("copy").select("doc", "line_no"), "line-copies")
+    sets = marked.filter("NOT copy").drop("copy")
+    gone = later_of_similar(texts, common.written(first_pairs(sets, threshold), "line-pairs"), threshold)
+    flagged = common.written(sets.join(gone.withColumn("gone", F.lit(True)), ["doc", "line_no"], "left").withColumn("open", F.col("gone").isNull()).drop("gone"), "line-sets")
+    common.discard(marked)
+    pairs = common.written(candidate_pairs(flagged, threshold), "line-pairs")
+    common.discard(flagged)
     # every copy of a removed set goes too; copies are already there
-    return copies.union(later).distinct()
+    return copies.union(gone).union(later_of_similar(texts, pairs, threshold))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -101,26 +289,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line goes if an earlier line, in its document or in one with a smaller id, has the same tokens or tokens with a Jaccard similarity
     of 0.8 or more, whether or not that line goes too. Tokens are runs without ASCII white space, case kept. Lines
     without tokens always stay. A null text counts as empty, with one empty line. A null id comes before any other. Rows that
-    share an id are told apart by their order in the table. An empty table gives an empty result.
+    share an id are told apart by the sha256 of their texts, and equal ones are numbered in any order. Very long texts and lines are
+    taken whole. Other columns, whatever their names, play no part. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    if common.ids_repeat(rows, "_id"):
-        rows = common.ranked(rows.withColumn("_sha", F.sha2(F.coalesce("_text", F.lit("")), 256)), [], ["_id", "_sha"], "_row").drop("_sha")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if common.ids_repeat(rows, "id"):
+        rows = common.ranked(rows.withColumn("sha", F.sha2("text", 256)), [], ["id", "sha"], "doc").drop("sha")
     else:
-        rows = rows.withColumn("_row", F.coalesce(F.col("_id"), F.lit(-(2**63))))
-    removed = similar_lines(rows.select(F.col("_row").alias("doc"), F.coalesce("_text", F.lit("")).alias("text")), threshold)
+        rows = rows.withColumn("doc", F.coalesce(F.col("id"), F.lit(-(2**63))))
+    removed = similar_lines(rows.select("doc", "text"), threshold)
     by_doc = removed.groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
-    sized = rows.select("_row", F.col("_id").alias(id_col), F.size(F.split(F.coalesce("_text", F.lit("")), "\n", -1)).alias("n_lines"))
-    return sized.join(by_doc, sized["_row"] == by_doc["doc"], "left").select(
-        id_col, "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
+    sized = rows.select("doc", "id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    return sized.join(by_doc, "doc", "left").select(
+        F.col("id").alias(id_col), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
     )
 
 
 def remove_lines(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the removed lines cut out of their texts; ids must not repeat."""
-    gone = decisions.filter("n_removed > 0").select(F.col(id_col).alias("_id"), F.col("removed").alias("_removed"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left").withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept))
+    """`docs` with the removed lines cut out of their texts; ids must not repeat, other columns may have any names."""
+    row, gone = common.free_names(docs, "row", "gone")
+    taken = decisions.filter("n_removed > 0").select(F.col(id_col).alias(row), F.col("removed").alias(gone))
+    lines = F.split(F.col(text_col), "\n", -1)
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n")
+    joined = docs.join(taken, docs[id_col].eqNullSafe(taken[row]), "left").withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept))
     return joined.select(*docs.columns)
 
 

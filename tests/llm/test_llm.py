@@ -147,6 +147,8 @@ def test_line_dedup(make_docs):
     kept = {r.doc_id: r.text for r in line_dedup.remove_lines(make_docs(docs), found).collect()}
     assert kept[8] == "x\ny\n" and kept[3] is None
     assert line_dedup.dedup_lines(make_docs(EMPTY)).count() == 0
+    odd = {r.doc_id: r.removed for r in line_dedup.dedup_lines(make_docs([(None, "a b c d e f"), (1, "x\na b c d e f\na b c d e"), (2, None)]).withColumnRenamed("lang", "doc")).collect()}
+    assert odd == {None: [], 1: [1, 2], 2: []}
 
 
 def test_line_dedup_of_a_very_long_line(make_docs):
