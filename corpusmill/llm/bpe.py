@@ -24,6 +24,7 @@ from .pieces import LONGEST, PATTERN, Generations, TextEncoder, Vocabulary, toke
 
 PAIR_BITS = 20  # slots of the remembered pair tests of a worker
 PIECES = 16_384  # pre-tokens that step together
+PIECES_KEPT = 100_000  # entries of one generation of remembered pre-tokens
 NEVER = 1 << 40  # later than every merge
 
 
@@ -47,21 +48,29 @@ class SuffixAutomaton:
                 node = child
             token[node] = i
         depth, parent, letter, token = (np.array(x, np.int32) for x in (depth, parent, letter, token))
-        self.goto, fail = np.zeros((len(depth), 256), np.int32), np.zeros(len(depth), np.int32)
+        # a state without children goes where its suffix goes: it shares that state's row of the table
+        inner = np.zeros(len(depth), bool)
+        inner[parent] = True
+        self.row = np.where(inner, np.cumsum(inner) - 1, 0).astype(np.int32)
+        self.table, fail = np.zeros((int(inner.sum()), 256), np.int32), np.zeros(len(depth), np.int32)
         self.longest, self.shorter = token.copy(), np.full(size, -1, np.int32)
+        below = np.nonzero(depth == 1)[0]
+        self.table[0, letter[below]] = below
         for level in range(1, int(depth.max()) + 1):
-            nodes = np.nonzero(depth == level)[0]
+            nodes = below
             if level > 1:
-                fail[nodes] = self.goto[fail[parent[nodes]], letter[nodes]]
+                fail[nodes] = self.table[self.row[fail[parent[nodes]]], letter[nodes]]
             own, other = token[nodes], self.longest[fail[nodes]]
             self.longest[nodes] = np.where(own >= 0, own, other)
             self.shorter[own[own >= 0]] = other[own >= 0]
-            if level == 1:
-                self.goto[0, letter[nodes]] = nodes
-            # a state goes where its suffix would go, except along its own edges
-            self.goto[nodes] = self.goto[fail[nodes]]
+            leaves, others = nodes[~inner[nodes]], nodes[inner[nodes]]
+            self.row[leaves] = self.row[fail[leaves]]
+            self.table[self.row[others]] = self.table[self.row[fail[others]]]
             below = np.nonzero(depth == level + 1)[0]
-            self.goto[parent[below], letter[below]] = below
+            self.table[self.row[parent[below]], letter[below]] = below
+
+    def step(self, state, byte):
+        return self.table[self.row[state], byte]
 
 
 class PrefixBpe:
@@ -129,11 +138,11 @@ class PrefixBpe:
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece of any length."""
-        goto, longest, shorter, length, sound = self.automaton.goto, self.automaton.longest, self.automaton.shorter, self.length, self.sound
+        step, longest, shorter, length, sound = self.automaton.step, self.automaton.longest, self.automaton.shorter, self.length, self.sound
         known: dict[int, bool] = {}
         last, state = [-1] * (len(piece) + 1), 0
         for end, byte in enumerate(piece, 1):
-            state = goto[state, byte]
+            state = step(state, byte)
             token = int(longest[state])
             while True:
                 start = end - int(length[token])
@@ -167,7 +176,7 @@ class PrefixBpe:
         active = np.searchsorted(-sorted_sizes, -np.arange(width), side="left")  # pieces with more than so many bytes
         flat = last.reshape(-1)
         for at, count in enumerate(active.tolist()):
-            state = automaton.goto[state[:count], letters[at, :count]]
+            state = automaton.step(state[:count], letters[at, :count])
             todo, token = np.arange(count), automaton.longest[state].astype(np.int64)
             while len(todo):
                 start = at + 1 - self.length[token]
@@ -204,7 +213,7 @@ class Codec:
         self.model, self.token_bytes, self.added = PrefixBpe(vocabulary), vocabulary.bytes, vocabulary.added
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.kind, self.known = f"<u{vocabulary.width}", Generations()
+        self.kind, self.known = f"<u{vocabulary.width}", Generations(PIECES_KEPT)
         self.texts = TextEncoder(self._strings, vocabulary)
         self.decimal = np.array([f"{i}," for i in range(len(vocabulary.lengths))], "S")
 

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-GENERATION = 300_000  # entries of one generation of a worker's cache
+GENERATION = 200_000  # entries of one generation of a worker's cache
 TEXTS = 512  # encoded together, at most
 TEXT_CHARS = 4_000_000  # the same, in characters, or one longer text
 BLOCK = 4096  # chunks in one string

@@ -21,7 +21,7 @@ SAMPLE = 20_000  # labelled documents of each class, at most, that the models an
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 WORD = re.compile(r"[^\W_]+")
 START, END = "\x02", "\x03"
-_MEMO = 400_000
+_MEMO = 250_000  # remembered words of a worker
 
 
 def remainder(doc_id: Column, folds: int) -> Column:
