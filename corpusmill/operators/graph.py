@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as t
 from corpusmill.sources import tables
 
+from .keywords import per_document
+
 #: Words and patterns by which a text shows its domain, in the order in which domains win ties.
 DOMAINS = {
     "technical": ("API function class method algorithm database server framework library code programming software system architecture implementation", [r"\b(def|function|class|import|return)\b", r"\b(HTTP|REST|JSON|XML|SQL)\b", r"\b(server|client|database|API)\b"]),
@@ -117,10 +120,12 @@ def pairs_within(keywords: DataFrame) -> DataFrame:
 
 
 def shared_sentences(docs: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Sentences that name more than one of their document's keywords."""
-    sentences = docs.select("doc_id", F.posexplode(F.split("text", "[.!?]+")).alias("i", "sentence"))
-    named = sentences.join(keywords.select("doc_id", "keyword"), "doc_id").filter(F.lower("sentence").contains(F.lower("keyword")))
-    return named.groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("named")).filter("named > 1")
+    """Sentences that name more than one of their document's keywords, as whole words in any case."""
+    found = per_document(keywords.select("doc_id", "keyword"), docs)
+    sentences = found.select("doc_id", "found", F.posexplode(F.split("text", "[.!?]+")).alias("i", "sentence"))
+    words = sentences.select("doc_id", "i", "found", F.regexp_extract_all(F.lower("sentence"), F.lit(t.TOKEN), 0).alias("words"))
+    named = F.size(F.filter("found", lambda x: F.array_contains(F.col("words"), F.lower(x["keyword"]))))
+    return words.select("doc_id", "i", named.cast("bigint").alias("named")).filter("named > 1")
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:

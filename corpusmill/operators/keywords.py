@@ -49,6 +49,13 @@ def entity_context(text: Column, keyword: Column, around: int = 100) -> Column:
     return F.when(at > 0, F.substr(text, F.greatest(at - around, F.lit(1)), F.length(keyword) + 2 * around + F.least(at - around - 1, F.lit(0)))).otherwise("")
 
 
+def per_document(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text, found): each document's rows as one array, so that its text moves once."""
+    fields = [c for c in rows.columns if c != "doc_id"]
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("found"))
+    return docs.select("doc_id", "text").join(listed, "doc_id")
+
+
 def located(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (doc_id, keyword, extractor, score, category) with the place of their first hit, line, column, page and snippet."""
     joined = rows.join(docs.select("doc_id", "text"), "doc_id")

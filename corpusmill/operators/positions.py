@@ -14,18 +14,24 @@ PAGE_CHARS, PAGES, MOST_BREAKS = 3000, 10, 19
 PAGE_MARKS = (r"\f", r"\n\s*\n\s*\n\s*\n", r"페이지\s*\d+", r"(?i)Page\s*\d+", r"\n\s*-\s*\d+\s*-\s*\n", r"\n\s*=+\s*\n", r"\n\s*#{3,}\s*\n")
 
 
-def word_positions(rows: DataFrame, docs: DataFrame, most_rank: int = 2) -> DataFrame:
-    """Number, first and last place of each keyword in its document, in any case.
+def word_positions(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Number, first and last place of each keyword in its document, in any case, overlapping places too.
 
-    Splitting at the keyword gives the places as running sums; that is linear in the text.
+    Cutting before every hit gives the places as sums of lengths; that is linear in the text. A document's keywords meet its text in one row.
     """
-    both = rows.filter(F.col("rank") <= most_rank).select("doc_id", "keyword").join(docs.select("doc_id", "text"), "doc_id")
-    parts = F.split(F.lower("text"), F.concat(F.lit("\\Q"), F.lower("keyword"), F.lit("\\E")), -1)
-    cut = both.select("doc_id", "keyword", parts.alias("p"))
-    size = F.length("keyword")
-    last = F.aggregate("p", F.lit(0), lambda a, x: a + F.length(x)) + size * (F.size("p") - 2) - F.length(F.element_at("p", -1))
-    return cut.filter(F.size("p") > 1).select(
-        "doc_id", "keyword", (F.size("p") - 1).cast("bigint").alias("n"), F.length(F.col("p")[0]).cast("bigint").alias("first"), last.cast("bigint").alias("last")
+    both = keywords.per_document(rows.select("doc_id", "keyword"), docs).select("doc_id", F.lower("text").alias("low"), "found")
+
+    def places(x: Column) -> Column:
+        word = F.lower(x["keyword"])
+        lengths = F.transform(F.split(F.col("low"), F.concat(F.lit("(?=\\Q"), word, F.lit("\\E)")), -1), F.length)
+        return F.struct(x["keyword"].alias("keyword"), lengths.alias("l"), F.startswith(F.col("low"), word).alias("at_once"))
+
+    cut = both.select("doc_id", F.explode(F.transform("found", places)).alias("r")).select("doc_id", "r.*")
+    total = F.aggregate("l", F.lit(0), lambda a, x: a + x)
+    return cut.filter((F.size("l") > 1) | F.col("at_once")).select(
+        "doc_id", "keyword", (F.size("l") - 1 + F.col("at_once").cast("int")).cast("bigint").alias("n"),
+        F.when(F.col("at_once"), 0).otherwise(F.col("l")[0]).cast("bigint").alias("first"),
+        F.when(F.size("l") > 1, total - F.element_at("l", -1)).otherwise(0).cast("bigint").alias("last"),
     )
 
 

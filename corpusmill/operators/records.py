@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.sources import tables
 
 from .graph import walk_down
+from .keywords import per_document
 
 #: Words that show a tone; the first of equals counts.
 TONES = {
@@ -20,6 +21,8 @@ TONES = {
     "부정적": ("문제", "실패", "오류", "위험", "어려움", "부족", "나쁜"),
 }
 DEFAULT_TONE = "일반적"
+#: Marks that end a sentence or block.
+SEPARATOR = r"\n\n|\. |\.\n|\||- \*\*|## "
 CONFIDENCE = {"high": 1.0, "medium": 0.8, "low": 0.6}
 
 
@@ -87,13 +90,34 @@ def headed_lines(lines: DataFrame, sections: DataFrame) -> DataFrame:
     return marked.select("doc_id", "line_no", "line", F.last(chapter, ignorenulls=True).over(w).alias("chapter"), F.last(section, ignorenulls=True).over(w).alias("section"))
 
 
-def near_pairs(pairs: DataFrame, places: DataFrame, docs: DataFrame, within: int = 100) -> DataFrame:
-    """Pairs of keywords whose first hits are near, with no sentence or block end between them."""
-    a, b = (places.select("doc_id", F.col("keyword").alias(x), F.col("start_position").alias(f"p_{x}")) for x in ("source", "target"))
-    near = pairs.join(a, ["doc_id", "source"]).join(b, ["doc_id", "target"]).filter(F.abs(F.col("p_source") - F.col("p_target")) <= within).join(docs.select("doc_id", "text"), "doc_id")
-    low, high = F.least("p_source", "p_target"), F.greatest("p_source", "p_target")
-    between = F.substr("text", low + 1, high - low)
-    return near.filter(~between.rlike(r"\n\n|\. |\.\n|\||- \*\*|## ")).select("doc_id", "source", "target")
+def near_pairs(keywords: DataFrame, docs: DataFrame, within: int = 100) -> DataFrame:
+    """(doc_id, source, target, gap): pairs of a document's keywords with hits near each other and no sentence or block end between; their least gap.
+
+    All hits count, in any case. No keyword holds a mark of such an end, so texts are cut at these marks and hits meet within a piece; splitting a
+    piece at a keyword gives its places as running sums.
+    """
+    found = per_document(keywords.select("doc_id", "rank", "keyword"), docs)
+    pieces = found.select("doc_id", "found", F.posexplode(F.split("text", SEPARATOR, -1)).alias("piece", "s")).select("doc_id", "piece", F.lower("s").alias("s"), F.explode("found").alias("k"))
+    parts = F.transform(F.split("s", F.concat(F.lit("\\Q"), F.lower("k.keyword"), F.lit("\\E")), -1), F.length)
+    cut = pieces.select("doc_id", "piece", "k.rank", "k.keyword", parts.alias("parts")).filter(F.size("parts") > 1)
+    cut = cut.select("doc_id", "piece", "rank", "keyword", F.size("parts").alias("all"), F.posexplode("parts").alias("i", "n"))
+    before = Window.partitionBy("doc_id", "piece", "rank").orderBy("i")
+    at = (F.sum(F.col("n") + F.length("keyword")).over(before) - F.length("keyword")).cast("int")
+    placed = cut.withColumn("at", at).filter("i < all - 1")
+    places = placed.groupBy("doc_id", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "rank", "keyword"))).alias("places"), F.countDistinct("rank").alias("kinds")).filter("kinds > 1")
+    # a keyword has one hit a place at most, so that this many next hits hold all that are near
+    reach = (F.col("kinds") * (within + 1)).cast("int")
+
+    def pair(a: Column, b: Column) -> Column:
+        first = a["rank"] < b["rank"]
+        return F.struct(F.when(first, a["keyword"]).otherwise(b["keyword"]).alias("source"), F.when(first, b["keyword"]).otherwise(a["keyword"]).alias("target"), (b["at"] - a["at"]).alias("gap"))
+
+    def partners(a: Column, i: Column) -> Column:
+        near = F.filter(F.slice("places", i + 2, reach), lambda b: (b["at"] - a["at"] <= within) & (b["rank"] != a["rank"]))
+        return F.transform(near, lambda b: pair(a, b))
+
+    pairs = places.select("doc_id", F.explode(F.flatten(F.transform("places", partners))).alias("p"))
+    return pairs.groupBy("doc_id", "p.source", "p.target").agg(F.min("p.gap").alias("gap"))
 
 
 def leaf_paths(parents: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ add("k08_keyword_entities", lambda s, d: k.multi_extract(docs(s, d), ["simple",
 add("k13_structure_depth", lambda s, d: g.depths(st.section_parents(st.sections(headed(s, d)))), f"WITH RECURSIVE {D_SECTIONS}, sp AS (SELECT a.doc_id, a.line_no, max(b.line_no) AS parent_line FROM sec a LEFT JOIN sec b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY ALL), walk AS (SELECT doc_id, line_no, 0 AS depth FROM sp WHERE parent_line IS NULL UNION ALL SELECT p.doc_id, p.line_no, w.depth + 1 FROM sp p JOIN walk w ON p.doc_id = w.doc_id AND p.parent_line = w.line_no) SELECT doc_id, line_no, CAST(depth AS INT) AS depth FROM walk")
 add("q12_depth_distribution", lambda s, d: g.depths(st.section_parents(st.sections(headed(s, d)))).groupBy("depth").agg(F.count(F.lit(1)).alias("n")), ALL["k13_structure_depth"][1].replace("SELECT doc_id, line_no, CAST(depth AS INT) AS depth FROM walk", "SELECT CAST(depth AS INT) AS depth, count(*) AS n FROM walk GROUP BY depth"))
 add("k14_pair_candidates", lambda s, d: g.pairs_within(_simple(s, d)), f"WITH {D_OCC} SELECT a.doc_id, a.keyword AS source, b.keyword AS target FROM simple a JOIN simple b ON a.doc_id = b.doc_id AND a.rank < b.rank")
-add("k20_shared_sentences", lambda s, d: g.shared_sentences(docs(s, d), _simple(s, d).filter("rank <= 3")), f"WITH {D_OCC}, se AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]+')) AS sentence, generate_subscripts(string_split_regex(text, '[.!?]+'), 1) - 1 AS i FROM documents) SELECT doc_id, CAST(i AS INT) AS i, count(*) AS named FROM se JOIN (SELECT * FROM simple WHERE rank <= 3) USING (doc_id) WHERE contains(lower(sentence), lower(keyword)) GROUP BY doc_id, i HAVING count(*) > 1")
+add("k20_shared_sentences", lambda s, d: g.shared_sentences(docs(s, d), _simple(s, d)), f"WITH {D_OCC}, se AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]+')) AS sentence, generate_subscripts(string_split_regex(text, '[.!?]+'), 1) - 1 AS i FROM documents) SELECT doc_id, CAST(i AS INT) AS i, count(*) AS named FROM se JOIN simple USING (doc_id) WHERE list_contains(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]+'), lower(keyword)) GROUP BY doc_id, i HAVING count(*) > 1")
 _over("k22_chunk_graph_merge", lambda n, e: e.join(n.groupBy("type", "name").agg(F.min("id").alias("to")).join(n, ["type", "name"]).select("id", "to"), F.col("target") == F.col("id")).select("source", F.col("to").alias("target"), "n"), "SELECT source, target, n FROM edges")
 _over("k23_assign_ids", lambda n, e: e.select(F.sha1(F.concat_ws("|", "source", "type", "target")).alias("edge_id"), "n"), "SELECT sha1(concat_ws('|', source, type, target)) AS edge_id, n FROM edges")
 _over("k24_graph_stats", lambda n, e: n.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(e.agg(F.count(F.lit(1)).alias("edges"))), F.lit(True)).withColumn("density", F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 4)), "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 4) AS density")

@@ -23,7 +23,7 @@ def add(name: str, run, sql: str = "") -> None:
 
 
 def _simple(s, d):
-    return k.simple_keywords(docs(s, d)).filter("rank <= 3")
+    return k.simple_keywords(docs(s, d))
 
 
 def _replies(s, d):
@@ -37,9 +37,9 @@ def _relations(s, d):
     return pairs.groupBy("doc_id").agg(F.concat(F.lit("```json\n"), F.to_json(F.collect_list("p")), F.lit("\n```")).alias("reply"))
 
 
-_S3 = f"WITH {D_OCC}, s3 AS (SELECT * FROM simple WHERE rank <= 3)"
+_S3 = f"WITH {D_OCC}, s3 AS (SELECT * FROM simple)"
 add("d12_parse_llm_keywords", lambda s, d: r.parse_keywords(_replies(s, d)), f"{_S3} SELECT doc_id, keyword, CAST(score AS DOUBLE) AS score, category FROM s3")
-add("d13_weighted_confidence", lambda s, d: _simple(s, d).select("doc_id", "keyword", r.weighted(F.col("score"), F.element_at(F.array(F.lit("high"), F.lit("low"), F.lit("none")), F.col("rank"))).alias("score")), f"{_S3} SELECT doc_id, keyword, round(score * CASE rank WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.8 END, 6) AS score FROM s3")
+add("d13_weighted_confidence", lambda s, d: _simple(s, d).select("doc_id", "keyword", r.weighted(F.col("score"), F.get(F.array(F.lit("high"), F.lit("low"), F.lit("none")), (F.col("rank") - 1) % 3)).alias("score")), f"{_S3} SELECT doc_id, keyword, round(score * CASE rank % 3 WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.8 END, 6) AS score FROM s3")
 add("k25_parse_llm_relations", lambda s, d: r.parse_relations(_relations(s, d), _simple(s, d).select(F.lower("keyword").alias("name"))).select("doc_id", "entity1", "entity2"), f"{_S3} SELECT a.doc_id, lower(a.keyword) AS entity1, lower(b.keyword) AS entity2 FROM s3 a JOIN s3 b ON a.doc_id = b.doc_id AND a.rank < b.rank WHERE lower(a.keyword) <> lower(b.keyword)")
 _COUNT = lambda words: " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in words.split())
 #: Words that show a tone, which the tables lack, added to whole texts by id; the last is of no tone.
@@ -55,12 +55,17 @@ add("d23_file_metadata", lambda s, d: r.file_metadata(docs(s, d).withColumn("fil
 _LINES = lambda p: F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(p)))
 _D_LINES = lambda p: f"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{p}')))"
 add("e17_complexity_score", lambda s, d: docs(s, d).select("doc_id", r.complexity(F.size(t.words(F.col("text"))), _LINES(r"^[A-Z]"), _LINES(r"\|")).alias("complexity")), f"SELECT doc_id, round(least(len({d_words('text')}) / 1000, 1.0) * 0.4 + least({_D_LINES('^[A-Z]')} / 10, 1.0) * 0.3 + least({_D_LINES(chr(92) + '|')} / 5, 1.0) * 0.3, 6) AS complexity FROM documents")
-add("e29_file_catalogue", lambda s, d: docs(s, d).select("doc_id", "source", F.when(F.length("text") > 0, "success").otherwise("failed").alias("parse_status")).filter("source = 'src2'"), "SELECT doc_id, source, CASE WHEN length(text) > 0 THEN 'success' ELSE 'failed' END AS parse_status FROM documents WHERE source = 'src2'")
+add("e29_file_catalogue", lambda s, d: docs(s, d).select("doc_id", "source", F.when(F.length("text") > 0, "success").otherwise("failed").alias("parse_status")), "SELECT doc_id, source, CASE WHEN length(text) > 0 THEN 'success' ELSE 'failed' END AS parse_status FROM documents")
 add("e27_dublin_core", lambda s, d: docs(s, d).select("doc_id", F.concat("source", F.lit("/"), "doc_id").alias("dc_title"), F.coalesce("lang", F.lit("unknown")).alias("dc_language"), F.lit("text/plain").alias("dc_format"), F.concat("n_chars", F.lit(" characters")).alias("dc_extent"), F.sha2("text", 256).alias("dc_identifier")), "SELECT doc_id, concat(source, '/', doc_id) AS dc_title, coalesce(lang, 'unknown') AS dc_language, 'text/plain' AS dc_format, concat(n_chars, ' characters') AS dc_extent, sha256(text) AS dc_identifier FROM documents")
 _HL = lambda s, d: r.headed_lines(st.lines(headed(s, d)), st.sections(headed(s, d)))
 D_HL = f"WITH {D_SECTIONS}, hl AS (SELECT doc_id, line_no, line, last_value(CASE WHEN level = 1 THEN line_no END IGNORE NULLS) OVER w AS chapter, last_value(CASE WHEN level > 1 THEN line_no END IGNORE NULLS) OVER w AS section FROM li LEFT JOIN (SELECT doc_id, line_no, level FROM sec) USING (doc_id, line_no) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))"
 add("f02_hierarchy_assign", lambda s, d: _HL(s, d).select("doc_id", "line_no", F.coalesce("chapter", F.lit(0)).alias("chapter"), F.coalesce("section", F.lit(0)).alias("section")), f"{D_HL} SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(coalesce(chapter, 0) AS INT) AS chapter, CAST(coalesce(section, 0) AS INT) AS section FROM hl")
 add("f04_chunk_build", lambda s, d: _HL(s, d).groupBy("doc_id", F.coalesce("chapter", F.lit(0)).alias("chapter")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line") + 1).alias("chars")), f"{D_HL} SELECT doc_id, CAST(coalesce(chapter, 0) AS INT) AS chapter, count(*) AS lines, CAST(sum(length(line) + 1) AS BIGINT) AS chars FROM hl GROUP BY ALL")
 add("f07_chunk_text", lambda s, d: _HL(s, d).groupBy("doc_id", F.coalesce("chapter", F.lit(0)).alias("chapter")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select("doc_id", "chapter", F.substring(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 1, 300).alias("preview")), f"{D_HL} SELECT doc_id, CAST(coalesce(chapter, 0) AS INT) AS chapter, substr(string_agg(line, chr(10) ORDER BY line_no), 1, 300) AS preview FROM hl GROUP BY ALL")
-add("k15_near_pairs", lambda s, d: r.near_pairs(g.pairs_within(_simple(s, d)), k.located(_simple(s, d), docs(s, d)), docs(s, d)), f"{_S3}, p AS (SELECT doc_id, keyword, rank, strpos(text, keyword) - 1 AS p, text FROM s3 JOIN documents USING (doc_id)) SELECT a.doc_id, a.keyword AS source, b.keyword AS target FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.rank < b.rank AND abs(a.p - b.p) <= 100 WHERE NOT regexp_matches(substr(a.text, least(a.p, b.p) + 1, abs(a.p - b.p)), '\\n\\n|\\. |\\.\\n|\\||- \\*\\*|## ')")
+_NEAR = f"""{_S3}, g AS (SELECT doc_id, keyword, rank, lower(keyword) AS k, string_split(lower(text), lower(keyword)) AS parts FROM s3 JOIN documents USING (doc_id)),
+q AS (SELECT doc_id, keyword, rank, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS last, length(k) AS n FROM g),
+p AS (SELECT doc_id, keyword, rank, p FROM (SELECT doc_id, keyword, rank, i, last, sum(length(part) + n) OVER (PARTITION BY doc_id, keyword ORDER BY i) - n AS p FROM q) WHERE i < last),
+near AS (SELECT a.doc_id, a.keyword AS source, b.keyword AS target, abs(a.p - b.p) AS gap FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.rank < b.rank AND abs(a.p - b.p) <= 100 JOIN documents d ON d.doc_id = a.doc_id
+WHERE NOT regexp_matches(substr(d.text, CAST(least(a.p, b.p) AS BIGINT) + 1, CAST(abs(a.p - b.p) AS BIGINT)), '\\n\\n|\\. |\\.\\n|\\||- \\*\\*|## '))"""
+add("k15_near_pairs", lambda s, d: r.near_pairs(_simple(s, d), docs(s, d)), _NEAR + " SELECT doc_id, source, target, CAST(min(gap) AS INT) AS gap FROM near GROUP BY ALL")
 add("q14_leaf_paths", lambda s, d: r.leaf_paths(st.section_parents(st.sections(headed(s, d)))), GRAPHS["k13_structure_depth"][1].replace("line_no, 0 AS depth FROM sp", "line_no, CAST(line_no AS VARCHAR) AS path FROM sp").replace("w.depth + 1", "concat(w.path, '>', p.line_no)").replace("SELECT doc_id, line_no, CAST(depth AS INT) AS depth FROM walk", "SELECT doc_id, line_no, path FROM walk w WHERE NOT EXISTS (SELECT 1 FROM sp p WHERE p.doc_id = w.doc_id AND p.parent_line = w.line_no)"))

@@ -82,14 +82,22 @@ add("a05_html_extract", lambda s, d: files.html_extract(pages(s, d)).select("pag
 _FRONT = "concat('---\\ntitle: \"Doc ', doc_id, '\"\\nsource: ', source, '\\n# note\\nempty:\\n---\\n', {text})"
 add(
     "a06_md_front_matter",
-    lambda s, d: files.front_matter(docs(s, d).select("doc_id", F.expr(_FRONT.format(text="substring(text, 1, 200)")).alias("text"))).select("doc_id", F.element_at("meta", "title").alias("title"), F.element_at("meta", "source").alias("source"), F.size("meta").alias("n"), "body"),
-    "SELECT doc_id, concat('Doc ', doc_id) AS title, source, CAST(2 AS INT) AS n, substr(text, 1, 200) AS body FROM documents",
+    lambda s, d: files.front_matter(docs(s, d).select("doc_id", F.expr(_FRONT.format(text="text")).alias("text"))).select("doc_id", F.element_at("meta", "title").alias("title"), F.element_at("meta", "source").alias("source"), F.size("meta").alias("n"), "body"),
+    "SELECT doc_id, concat('Doc ', doc_id) AS title, source, CAST(2 AS INT) AS n, text AS body FROM documents",
 )
 _MD = "concat('# ', source, '\\n', '- **bold** [label](http://x.y)\\n> quote `code`\\n', {text})"
+_D_PLAIN = "concat('# ', source, chr(10), '- **bold** [label](http://x.y)', chr(10), '> quote `code`', chr(10), text)"
+for _rule, _to, _how in (
+    ("```.*?```", "", "gs"), ("`[^`]*`", "", "g"), ("<[^>]+>", "", "g"), ("(?m)^#{1,6}\\s+", "", "g"), ("\\*\\*([^*]+)\\*\\*", "\\1", "g"), ("\\*([^*]+)\\*", "\\1", "g"),
+    ("\\[([^\\]]*)\\]\\([^)]*\\)", "\\1", "g"), ("!\\[([^\\]]*)\\]\\([^)]*\\)", "", "g"), ("(?m)^\\s*[-*+]\\s+", "", "g"), ("(?m)^\\s*\\d+\\.\\s+", "", "g"), ("(?m)^>\\s*", "", "g"),
+    ("(?m)^[-*_]{3,}$", "", "g"), ("\\n{3,}", "\n\n", "g"), ("^\\s+|\\s+$", "", "g"),
+):
+    _D_PLAIN = f"regexp_replace({_D_PLAIN}, '{_rule}', '{_to}', '{_how}')"
+_D_PLAIN = f"SELECT doc_id, {_D_PLAIN} AS plain FROM documents"
 add(
     "a07_md_to_text",
-    lambda s, d: docs(s, d).select("doc_id", files.md_to_text(F.expr(_MD.format(text="substring(regexp_replace(text, '[^A-Za-z ]', ''), 1, 80)"))).alias("plain")),
-    "SELECT doc_id, trim(concat(source, chr(10), 'bold label', chr(10), 'quote ', chr(10), substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 80))) AS plain FROM documents",
+    lambda s, d: docs(s, d).select("doc_id", files.md_to_text(F.expr(_MD.format(text="text"))).alias("plain")),
+    _D_PLAIN,
 )
 add(
     "a08_text_to_markdown",

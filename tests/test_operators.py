@@ -45,6 +45,34 @@ def test_query(spark, duck, name):
         assert found == expected
 
 
+NEWLY_WHOLE = ["a06_md_front_matter", "a07_md_to_text", "c03_entity_context", "d04_ngram_candidates", "d12_parse_llm_keywords", "e29_file_catalogue", "g06_file_keywords", "k15_near_pairs", "k20_shared_sentences", "k25_parse_llm_relations"]
+
+
+@pytest.mark.parametrize("name", NEWLY_WHOLE)
+def test_query_of_whole_texts(spark, duck, name):
+    test_query(spark, duck, name)
+
+
+def test_word_positions_overlap(spark):
+    texts = {1: "aaaa bb AAA", 2: "none", 3: "bab", 4: "xaa", 5: None}
+    words = [(d, w) for d in texts for w in ("aa", "bb", "aa b", "b")]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = spark.createDataFrame(words, "doc_id bigint, keyword string")
+    expected = set()
+    for d, w in words:
+        low = (texts[d] or "").lower()
+        places = [i for i in range(len(low)) if low.startswith(w, i)]
+        if places:
+            expected.add((d, w, len(places), places[0], places[-1]))
+    assert {tuple(r) for r in positions.word_positions(rows, docs).collect()} == expected
+
+
+def test_near_pairs_take_any_two_hits(spark):
+    docs = spark.createDataFrame([(1, "Alpha. " + "x" * 200 + " beta then alpha", ), (2, "alpha. beta"), (3, "alpha " + "y" * 120 + " beta"), (4, None)], "doc_id bigint, text string")
+    rows = spark.createDataFrame([(d, i, w) for d in (1, 2, 3, 4) for i, w in enumerate(("alpha", "beta"))], "doc_id bigint, rank int, keyword string")
+    assert [tuple(r) for r in records.near_pairs(rows, docs).collect()] == [(1, "alpha", "beta", 10)]
+
+
 def one(spark, column, value):
     return spark.createDataFrame([(value,)], "x string").select(column(F.col("x"))).first()[0]
 
