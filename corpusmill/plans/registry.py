@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, extraction, graphs, records, structure, texts
+from . import analytics, extraction, graphs, items, records, structure, texts
 
-MODULES = (texts, extraction, structure, analytics, graphs, records)
+MODULES = (texts, extraction, structure, items, analytics, graphs, records)
 QUERIES = {name: run for m in MODULES for name, (run, _) in m.ALL.items()}
 ORACLES = {name: sql for m in MODULES for name, (_, sql) in m.ALL.items() if sql}

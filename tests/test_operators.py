@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
-from corpusmill.operators import analytics, graph, keywords, positions, records, structure
+from corpusmill.operators import analytics, graph, items, keywords, positions, records, structure
 from corpusmill.plans import registry
 from corpusmill.sources import files
 
@@ -45,7 +45,7 @@ def test_query(spark, duck, name):
         assert found == expected
 
 
-NEWLY_WHOLE = ["a06_md_front_matter", "a07_md_to_text", "c03_entity_context", "d04_ngram_candidates", "d12_parse_llm_keywords", "e29_file_catalogue", "g06_file_keywords", "k15_near_pairs", "k20_shared_sentences", "k25_parse_llm_relations"]
+NEWLY_WHOLE = ["a06_md_front_matter", "a07_md_to_text", "c03_entity_context", "d04_ngram_candidates", "d12_parse_llm_keywords", "e29_file_catalogue", "g06_file_keywords", "k15_near_pairs", "k20_shared_sentences", "k25_parse_llm_relations", "d16_heading_items", "e08_md_structure", "e20_scanned_flag", "e25_markdown_tables", "e26_table_lookup"]
 
 
 @pytest.mark.parametrize("name", NEWLY_WHOLE)
@@ -67,6 +67,19 @@ def test_word_positions_overlap(spark):
     assert {tuple(r) for r in positions.word_positions(rows, docs).collect()} == expected
 
 
+def test_tables_of_a_text(spark):
+    text = "| a | b |\n|---|---|\n| x | 1 | extra |\n| y |\n\nplain | no\n| c |\n| z |\n"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")
+    tables = items.markdown_tables(docs)
+    assert sorted(tuple(r)[1:] for r in items.table_cells(tables).collect()) == [(1, 0, 0, "a", "x"), (1, 0, 1, "b", "1"), (1, 0, 2, None, "extra"), (1, 1, 0, "a", "y"), (2, 0, 0, "c", "z")]
+    assert [tuple(r) for r in items.table_lookup(tables, "x", "b").collect()] == [(1, 1, "1")]
+
+
+def test_scanned_flag(spark):
+    docs = spark.createDataFrame([(1, "few words " + items.IMAGE_TAG * 10), (2, "few words " + items.IMAGE_TAG * 9), (3, "word " * 100 + items.IMAGE_TAG * 200), (4, "")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["is_scanned"] for r in items.scanned_flag(docs).collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
 def test_near_pairs_take_any_two_hits(spark):
     docs = spark.createDataFrame([(1, "Alpha. " + "x" * 200 + " beta then alpha", ), (2, "alpha. beta"), (3, "alpha " + "y" * 120 + " beta"), (4, None)], "doc_id bigint, text string")
     rows = spark.createDataFrame([(d, i, w) for d in (1, 2, 3, 4) for i, w in enumerate(("alpha", "beta"))], "doc_id bigint, rank int, keyword string")
