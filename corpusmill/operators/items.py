@@ -91,3 +91,38 @@ def scanned_flag(docs: DataFrame) -> DataFrame:
     sizes = docs.select("doc_id", F.length(_bare(F.col("text"))).alias("chars"), F.length(_bare(rest)).alias("actual"), tags.alias("tags"))
     density = F.when(F.col("chars") > 0, F.col("actual") / F.col("chars")).otherwise(0.0)
     return sizes.select("doc_id", "chars", "actual", "tags", F.round(density, 6).alias("density"), ((density < 0.3) & (F.col("tags") >= 10) & (F.col("actual") < 500)).alias("is_scanned"))
+
+
+def parse_summaries(replies: DataFrame) -> DataFrame:
+    """(doc_id, keyword, category, score) of a stored summary reply (doc_id, reply), whose JSON object may stand in a code fence.
+
+    Introduction, conclusion and core are cut at 150 characters, the tone at 50; the first five topics count. An empty or missing part
+    gives no row; a reply that holds no such object gives none.
+    """
+    body = F.regexp_extract("reply", r"(?s)\{.*\}", 0)
+    parsed = replies.select("doc_id", F.from_json(body, "intro string, conclusion string, core string, topics array<string>, tone string").alias("p"))
+    row = lambda category, score, keyword: F.struct(F.lit(category).alias("category"), F.lit(score).alias("score"), keyword.alias("keyword"))
+    topics = F.transform(F.slice(F.coalesce("p.topics", F.array().cast("array<string>")), 1, 5), lambda x: row("summary_topic", 0.8, x))
+    parts = F.array(
+        row("summary_intro", 0.9, F.substring("p.intro", 1, 150)), row("summary_conclusion", 0.9, F.substring("p.conclusion", 1, 150)),
+        row("summary_core", 1.0, F.substring("p.core", 1, 150)), row("summary_tone", 0.7, F.substring("p.tone", 1, 50)),
+    )
+    return parsed.select("doc_id", F.explode(F.concat(parts, topics)).alias("r")).select("doc_id", "r.*").filter("keyword <> ''")
+
+
+def structure_keywords(lines: DataFrame, sections: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, line_no, extractor, word): each word of `words` (doc_id, extractor, keyword) with the sections that contain it, in lower case.
+
+    A word that no section contains goes to the document's first section. A document's words meet its sections as one array.
+    """
+    starts = sections.select("doc_id", "line_no", F.col("line_no").alias("start"))
+    so_far = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.select("doc_id", "line_no", "line").join(starts, ["doc_id", "line_no"], "left").withColumn("start", F.last("start", ignorenulls=True).over(so_far))
+    content = placed.filter("start IS NOT NULL").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    content = content.select("doc_id", F.col("start").alias("line_no"), F.lower(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("content"))
+    lowered = words.select("doc_id", "extractor", F.lower("keyword").alias("word")).distinct()
+    listed = lowered.groupBy("doc_id").agg(F.collect_list(F.struct("extractor", "word")).alias("words"))
+    hits = content.join(listed, "doc_id").select("doc_id", "line_no", F.explode(F.filter("words", lambda w: F.col("content").contains(w["word"]))).alias("w")).select("doc_id", "line_no", "w.*")
+    first = sections.groupBy("doc_id").agg(F.min("line_no").alias("line_no"))
+    rest = lowered.join(hits.select("doc_id", "extractor", "word").distinct(), ["doc_id", "extractor", "word"], "left_anti").join(first, "doc_id")
+    return hits.unionByName(rest)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import items as it
+from corpusmill.operators import keywords as k
+from corpusmill.operators import structure as st
 
+from .extraction import D_OCC
+from .structure import D_SECTIONS, headed
 from .texts import docs
 
 ALL: dict = {}
@@ -47,3 +51,23 @@ add(
     "e20_scanned_flag", lambda s, d: it.scanned_flag(docs(s, d).select("doc_id", F.expr(_TAGGED).alias("text"))),
     f"WITH t AS (SELECT doc_id, {_TAGGED} AS text FROM documents), n AS (SELECT doc_id, CAST(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS INT) AS chars, CAST(length(regexp_replace(replace(text, '<!-- image -->', ''), '^\\s+|\\s+$', '', 'g')) AS INT) AS actual, CAST(len(string_split(text, '<!-- image -->')) - 1 AS INT) AS tags FROM t) SELECT *, round(CASE WHEN chars > 0 THEN actual / chars ELSE 0 END, 6) AS density, chars > 0 AND actual / chars < 0.3 AND tags >= 10 AND actual < 500 AS is_scanned FROM n",
 )
+
+
+def _summaries(s, d):
+    """A reply in a code fence as a model would give it, its parts taken from the document."""
+    topics = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), 0), 1, 7)
+    parts = F.struct(F.col("text").alias("intro"), F.lit("").alias("conclusion"), F.col("source").alias("core"), topics.alias("topics"), F.col("lang").alias("tone"))
+    return docs(s, d).select("doc_id", F.concat(F.lit("Here:\n```json\n"), F.to_json(parts), F.lit("\n```")).alias("reply"))
+
+
+add(
+    "d27_parse_llm_summary", lambda s, d: it.parse_summaries(_summaries(s, d)),
+    "WITH p AS (SELECT doc_id, 'summary_intro' AS category, 0.9 AS score, substr(text, 1, 150) AS keyword FROM documents UNION ALL SELECT doc_id, 'summary_core', 1.0, substr(source, 1, 150) FROM documents UNION ALL SELECT doc_id, 'summary_tone', 0.7, substr(lang, 1, 50) FROM documents "
+    "UNION ALL SELECT doc_id, 'summary_topic', 0.8, unnest(regexp_extract_all(text, '[A-Za-z]{5,}')[1:5]) FROM documents) SELECT doc_id, category, CAST(score AS DOUBLE) AS score, keyword FROM p WHERE keyword <> ''",
+)
+add(
+    "k12_structure_keyword_join", lambda s, d: it.structure_keywords(st.lines(headed(s, d)), st.sections(headed(s, d)), k.simple_keywords(docs(s, d))),
+    f"WITH {D_SECTIONS}, {D_OCC}, pl AS (SELECT li.doc_id, li.line_no, line, last_value(sec.line_no IGNORE NULLS) OVER (PARTITION BY li.doc_id ORDER BY li.line_no ROWS UNBOUNDED PRECEDING) AS start FROM li LEFT JOIN sec ON sec.doc_id = li.doc_id AND sec.line_no = li.line_no), "
+    "co AS (SELECT doc_id, start, lower(string_agg(line, chr(10) ORDER BY line_no)) AS content FROM pl WHERE start IS NOT NULL GROUP BY ALL), wo AS (SELECT DISTINCT doc_id, extractor, lower(keyword) AS word FROM simple), "
+    "hi AS (SELECT doc_id, start AS line_no, extractor, word FROM co JOIN wo USING (doc_id) WHERE contains(content, word)) SELECT * FROM hi UNION ALL SELECT wo.doc_id, f.line_no, extractor, word FROM wo JOIN (SELECT doc_id, min(line_no) AS line_no FROM sec GROUP BY 1) f USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.doc_id = wo.doc_id AND hi.word = wo.word AND hi.extractor = wo.extractor)",
+)

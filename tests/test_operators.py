@@ -45,7 +45,7 @@ def test_query(spark, duck, name):
         assert found == expected
 
 
-NEWLY_WHOLE = ["a06_md_front_matter", "a07_md_to_text", "c03_entity_context", "d04_ngram_candidates", "d12_parse_llm_keywords", "e29_file_catalogue", "g06_file_keywords", "k15_near_pairs", "k20_shared_sentences", "k25_parse_llm_relations", "d16_heading_items", "e08_md_structure", "e20_scanned_flag", "e25_markdown_tables", "e26_table_lookup"]
+NEWLY_WHOLE = ["a06_md_front_matter", "a07_md_to_text", "c03_entity_context", "d04_ngram_candidates", "d12_parse_llm_keywords", "e29_file_catalogue", "g06_file_keywords", "k15_near_pairs", "k20_shared_sentences", "k25_parse_llm_relations", "d16_heading_items", "e08_md_structure", "e20_scanned_flag", "e25_markdown_tables", "e26_table_lookup", "d27_parse_llm_summary", "k12_structure_keyword_join"]
 
 
 @pytest.mark.parametrize("name", NEWLY_WHOLE)
@@ -75,6 +75,20 @@ def test_tables_of_a_text(spark):
     assert [tuple(r) for r in items.table_lookup(tables, "x", "b").collect()] == [(1, 1, "1")]
 
 
+def test_structure_keywords_without_a_hit_go_to_the_first_section(spark):
+    lines = spark.createDataFrame([(1, 1, "before"), (1, 2, "# One"), (1, 3, "Alpha here"), (1, 4, "# Two"), (1, 5, "alpha and beta")], "doc_id bigint, line_no int, line string")
+    sections = spark.createDataFrame([(1, 2), (1, 4)], "doc_id bigint, line_no int")
+    words = spark.createDataFrame([(1, "simple", w) for w in ("Alpha", "beta", "before")] + [(2, "simple", "x")], "doc_id bigint, extractor string, keyword string")
+    found = {tuple(r) for r in items.structure_keywords(lines, sections, words).select("doc_id", "line_no", "word").collect()}
+    assert found == {(1, 2, "alpha"), (1, 4, "alpha"), (1, 4, "beta"), (1, 2, "before")}
+
+
+def test_summary_replies(spark):
+    rows = [(1, '{"intro": "a", "topics": ["1", "2", "3", "4", "5", "6"]}'), (2, "no object"), (3, None), (4, '```json\n{"core": "c", "tone": null}\n```')]
+    found = {(r["doc_id"], r["category"], r["keyword"], r["score"]) for r in items.parse_summaries(spark.createDataFrame(rows, "doc_id bigint, reply string")).collect()}
+    assert found == {(1, "summary_intro", "a", 0.9), (4, "summary_core", "c", 1.0)} | {(1, "summary_topic", str(i), 0.8) for i in range(1, 6)}
+
+
 def test_scanned_flag(spark):
     docs = spark.createDataFrame([(1, "few words " + items.IMAGE_TAG * 10), (2, "few words " + items.IMAGE_TAG * 9), (3, "word " * 100 + items.IMAGE_TAG * 200), (4, "")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["is_scanned"] for r in items.scanned_flag(docs).collect()} == {1: True, 2: False, 3: True, 4: False}
