@@ -229,6 +229,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id.
 
+    Fingerprints, three-word shingles and radius are those of `near_duplicates`: copies with few changed words go, while most pairs of a
+    Jaccard similarity of 0.8 to 0.95 differ in more bits and stay.
+
     Where rows share an id (nulls count as one id), rows are numbered, and the first of a component stays. Texts without words are one
     component. Other columns may have any names; an empty table stays empty.
     """
