@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, lm_scoring, mixing, sharding, simhash, token_files, topk, toxicity
+from . import bpe, exact_dedup, filter_audit, line_dedup, lm_scoring, mixing, sharding, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_top_k": topk.op9_top_k,
     "op10_sharding": sharding.op10_sharding,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op9_top_k": topk.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
