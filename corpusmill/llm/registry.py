@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, divergence, exact_dedup, filter_audit, line_dedup, lm_scoring, mixing, sharding, simhash, token_files, topk, toxicity
+from . import bpe, divergence, exact_dedup, filter_audit, html_extraction, line_dedup, lm_scoring, mixing, sharding, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_top_k": topk.op9_top_k,
     "op10_sharding": sharding.op10_sharding,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_html_extraction": html_extraction.op12_html_extraction,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op8_mix_sources": mixing.ORACLE,
     "op9_top_k": topk.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_html_extraction": html_extraction.op12_html_extraction,
     "op13_source_divergence": divergence.ORACLE,
 }
