@@ -29,6 +29,8 @@ MOST_BROADCAST = 4_000_000
 SHARD_TERMS, SHARD_CELLS = 50_000, 2_000_000
 #: Tokens that a task collects before it counts them by slot, and entries of its document counts before it passes them on.
 MOST_TOKENS, MOST_ENTRIES, TEXT_BYTES = 8_000_000, 500_000, 4_000_000
+#: Languages up to which a row for each is broadcast.
+MOST_LANGUAGES = 100_000
 #: As bytes, the letters A-Z and a-z and every code point beyond 0x7F.
 _TOKEN = re.compile(rb"[a-z\x80-\xff]+")
 _HASHED = 42
@@ -93,8 +95,10 @@ _SHARDS = "lang string, shard int, shards int, sizes array<int>, words binary, k
 def build_shards(terms: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
     """One row for each shard of a language's terms: the perfect hash's levels and bits, and its keys in slot order."""
     sizes = terms.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / shard_terms).cast("int").alias("shards"))
-    dealt = terms.join(sizes, "lang").withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.col("shards")).cast("int"))
-    return dealt.groupBy("lang", "shard").applyInArrow(_build_shard, _SHARDS)
+    small = F.broadcast(sizes) if sizes.count() <= MOST_LANGUAGES else sizes
+    dealt = terms.join(small, "lang").withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.col("shards")).cast("int"))
+    # dealt by shard, also where the join has dealt by language
+    return dealt.repartition("lang", "shard").groupBy("lang", "shard").applyInArrow(_build_shard, _SHARDS)
 
 
 class _Lookup:
@@ -263,7 +267,7 @@ def divergence(docs: DataFrame, most_broadcast: int = MOST_BROADCAST, shard_term
     totals = groups.join(counts.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
     listed = totals.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("groups"))
     sizes = shards.groupBy("lang").agg(F.sum(F.size("keys")).alias("v"))
-    known = shards.select("lang", "shard", "keys").join(sizes, "lang").join(listed, "lang")
+    known = shards.select("lang", "shard", "keys").join(sizes, "lang").join(listed, "lang").repartition("lang", "shard")
     parts = common.written(counts.groupBy("lang", "shard").cogroup(known.groupBy("lang", "shard")).applyInArrow(_compare, "lang string, source string, part string, item string, value bigint"), "divergence")
     sums = parts.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").filter("source <> item").join(sums, ["lang", "source", "item"], "left")
