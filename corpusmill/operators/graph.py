@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
-from corpusmill.sources import tables
 
 from .keywords import per_document
 
@@ -44,20 +43,29 @@ TYPES = {
 DEFAULT_TYPE = "Technology"
 
 
+def _scored_domains(text: Column) -> list[Column]:
+    low = F.lower(text)
+
+    def score(words: list[str], patterns: list[str]) -> Column:
+        hits = sum((low.contains(w).cast("int") for w in words), F.lit(0))
+        found = sum((text.rlike(f"(?i){p}").cast("int") for p in patterns), F.lit(0))
+        return F.round(hits / len(words) * 0.6 + found / len(patterns) * 0.4, 6)
+
+    return [F.struct(F.lit(n).alias("domain"), F.lit(i).alias("place"), score(w.split(), p).alias("score")) for i, (n, (w, p)) in enumerate(DOMAINS.items())]
+
+
 def domain_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, domain, place, score): shares of a domain's words and patterns that a text has.
 
     Words are looked up in the lower-cased text as they are spelled, so those in capitals never count.
     """
-    low = F.lower("text")
+    return docs.select("doc_id", F.explode(F.array(*_scored_domains(F.col("text")))).alias("d")).select("doc_id", "d.domain", "d.place", "d.score")
 
-    def score(words: list[str], patterns: list[str]) -> Column:
-        hits = sum((low.contains(w).cast("int") for w in words), F.lit(0))
-        found = sum((F.col("text").rlike(f"(?i){p}").cast("int") for p in patterns), F.lit(0))
-        return F.round(hits / len(words) * 0.6 + found / len(patterns) * 0.4, 6)
 
-    parts = [F.struct(F.lit(n).alias("domain"), F.lit(i).alias("place"), score(w.split(), p).alias("score")) for i, (n, (w, p)) in enumerate(DOMAINS.items())]
-    return docs.select("doc_id", F.explode(F.array(*parts)).alias("d")).select("doc_id", "d.domain", "d.place", "d.score")
+def domain_of(text: Column) -> Column:
+    """The domain with the best score, the first declared of equals; an empty or null text has the first."""
+    best = F.array_max(F.transform(F.array(*_scored_domains(F.coalesce(text, F.lit("")))), lambda d: F.struct(d["score"], -d["place"], d["domain"].alias("domain"))))
+    return best["domain"]
 
 
 def domain_adjust(scores: DataFrame, extension: Column, document_type: Column | None = None) -> DataFrame:
@@ -93,14 +101,6 @@ def entity_type(keyword: Column, domain: Column | None = None) -> Column:
     return out
 
 
-def section_density(sections: DataFrame, keywords: DataFrame) -> DataFrame:
-    """How many different keywords (doc_id, keyword) of its document the text of each section (doc_id, line_no, title, text) mentions."""
-    words = keywords.select("doc_id", F.lower("keyword").alias("k")).groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
-    low = F.lower("text")
-    n = F.size(F.filter("ks", lambda k: low.contains(k)))
-    return sections.join(words, "doc_id").select("doc_id", "line_no", "title", n.alias("entities")).filter("entities > 0")
-
-
 def graph_id(name: Column) -> Column:
     return F.substring(F.sha1(name), 1, 16)
 
@@ -172,25 +172,6 @@ def graphml_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.concat(F.lit('<node id="'), "id", F.lit('"><data key="type">'), "type", F.lit('</data><data key="name">'), name, F.lit("</data></node>")).alias("line"))
 
 
-def walk_down(parents: DataFrame, start: Column, step: Column) -> DataFrame:
-    """(doc_id, line_no, value) of each section that a root leads to: `start` at a root, below it `step` of the parent's `value`.
-
-    One join per level, each level a written table, until a level has no rows; no number of rows or levels ends it early.
-    """
-    spark, paths = parents.sparkSession, []
-    level = parents.filter("parent_line IS NULL").select("doc_id", "line_no", start.alias("value"))
-    schema = level.schema
-    while True:
-        paths.append(tables.new_path(spark, "walk"))
-        level.write.parquet(paths[-1])
-        level = spark.read.schema(schema).parquet(paths[-1])
-        if level.isEmpty():
-            return spark.read.schema(schema).parquet(*paths)
-        above = level.select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line"), "value")
-        level = parents.join(above, (F.col("doc_id") == F.col("_doc")) & (F.col("parent_line") == F.col("_line"))).select("doc_id", "line_no", step.alias("value"))
-
-
 def depths(parents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, depth): the distance of each section to its root, by walking down from the roots."""
-    parents = tables.written(parents, "section-parents")
-    return walk_down(parents, F.lit(0), F.col("value") + 1).withColumnRenamed("value", "depth")
+    """(doc_id, line_no, depth): the distance of each section to its root."""
+    return parents.select("doc_id", "line_no", F.size("path").alias("depth"))

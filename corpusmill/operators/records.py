@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.sources import tables
-
-from .graph import walk_down
 from .keywords import per_document
 
 #: Words that show a tone; the first of equals counts.
@@ -121,8 +118,7 @@ def near_pairs(keywords: DataFrame, docs: DataFrame, within: int = 100) -> DataF
 
 
 def leaf_paths(parents: DataFrame) -> DataFrame:
-    """The path of line numbers from the root to each section that has none below."""
-    parents = tables.written(parents, "section-parents")
-    paths = walk_down(parents, F.col("line_no").cast("string"), F.concat("value", F.lit(">"), "line_no")).withColumnRenamed("value", "path")
-    inner = parents.select("doc_id", F.col("parent_line").alias("line_no"))
-    return paths.join(inner, ["doc_id", "line_no"], "left_anti")
+    """The path of line numbers from the root to each section that has none below; `parents` is what `structure.section_parents` gives."""
+    inner = parents.select("doc_id", F.col("parent_line").alias("line_no")).filter("line_no IS NOT NULL").distinct()
+    path = F.array_join(F.concat("path", F.array("line_no")).cast("array<string>"), ">")
+    return parents.join(inner, ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", path.alias("path"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import arrays
+
 #: What shows a table, figure, reference, footnote or list line.
 ELEMENTS = {
     "tables": r"\|.*\||[<\[]?\s*표\s*\d+|(?i:Table\s*\d+|<table)|┌|├|└|─|│",
@@ -38,24 +40,33 @@ def section_style(s: Column, before: Column, after: Column) -> Column:
     )
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """Heading lines: doc_id, line_no, number, title, level, style."""
-    s = F.col("s")
-    found = lines(docs).withColumn("style", section_style(s, F.col("before"), F.col("after"))).filter("style IS NOT NULL")
-    number = F.when(F.col("style") == "numbered", F.regexp_extract(s, r"^(\d+(?:\.\d+)*)", 1)).when(F.col("style") == "roman", F.regexp_extract(s, "^([IVXLCDM]+)", 1)).when(F.col("style") == "korean", F.regexp_extract(s, r"(\d+)", 1))
-    title = (
-        F.when(F.col("style") == "numbered", F.regexp_replace(s, r"^\d+(\.\d+)*\s*[.)]?\s+", ""))
-        .when(F.col("style") == "roman", F.regexp_replace(s, r"^[IVXLCDM]+\s*[.)]?\s+", ""))
-        .when(F.col("style") == "markdown", F.regexp_replace(s, r"^#+\s+", ""))
-        .when(F.col("style") == "separator", F.trim(F.regexp_replace(s, r"\s*[:：-]$", "")))
-        .when(F.col("style") == "korean", F.regexp_replace(s, r"^제?\s*\d+\s*[장절항]\s*[.:]?\s*", ""))
+def section_number(style: Column, s: Column) -> Column:
+    return F.when(style == "numbered", F.regexp_extract(s, r"^(\d+(?:\.\d+)*)", 1)).when(style == "roman", F.regexp_extract(s, "^([IVXLCDM]+)", 1)).when(style == "korean", F.regexp_extract(s, r"(\d+)", 1))
+
+
+def section_title(style: Column, s: Column) -> Column:
+    return (
+        F.when(style == "numbered", F.regexp_replace(s, r"^\d+(\.\d+)*\s*[.)]?\s+", ""))
+        .when(style == "roman", F.regexp_replace(s, r"^[IVXLCDM]+\s*[.)]?\s+", ""))
+        .when(style == "markdown", F.regexp_replace(s, r"^#+\s+", ""))
+        .when(style == "separator", F.trim(F.regexp_replace(s, r"\s*[:：-]$", "")))
+        .when(style == "korean", F.regexp_replace(s, r"^제?\s*\d+\s*[장절항]\s*[.:]?\s*", ""))
         .otherwise(s)
     )
-    level = (
-        F.when(F.col("style") == "numbered", F.size(F.split(F.regexp_extract(s, r"^(\d+(?:\.\d+)*)", 1), r"\.")))
-        .when(F.col("style") == "markdown", F.length(F.regexp_extract(s, "^(#+)", 1))).when(F.col("style") == "separator", 2).when(F.col("style") == "isolated", 3).otherwise(1)
+
+
+def section_level(style: Column, s: Column) -> Column:
+    return (
+        F.when(style == "numbered", F.size(F.split(F.regexp_extract(s, r"^(\d+(?:\.\d+)*)", 1), r"\.")))
+        .when(style == "markdown", F.length(F.regexp_extract(s, "^(#+)", 1))).when(style == "separator", 2).when(style == "isolated", 3).otherwise(1)
     )
-    return found.select("doc_id", "line_no", number.alias("number"), title.alias("title"), level.alias("level"), "style")
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """Heading lines: doc_id, line_no, number, title, level, style."""
+    s, style = F.col("s"), F.col("style")
+    found = lines(docs).withColumn("style", section_style(s, F.col("before"), F.col("after"))).filter("style IS NOT NULL")
+    return found.select("doc_id", "line_no", section_number(style, s).alias("number"), section_title(style, s).alias("title"), section_level(style, s).alias("level"), "style")
 
 
 def element_counts(docs: DataFrame) -> DataFrame:
@@ -74,10 +85,16 @@ def outline_summary(sections: DataFrame) -> DataFrame:
 
 
 def section_parents(sections: DataFrame) -> DataFrame:
-    """Each section with the nearest earlier one of a smaller level."""
-    a, b = sections.alias("a"), sections.alias("b")
-    up = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.line_no") < F.col("a.line_no")) & (F.col("b.level") < F.col("a.level")), "left")
-    return up.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no")).agg(F.max("b.line_no").alias("parent_line"))
+    """(doc_id, line_no, parent_line, path): each section with the nearest earlier one of a smaller level, and all that lie around it, the outermost first.
+
+    One ordered pass over a document's headings with a stack of the open ones; `path` is empty and `parent_line` null at a root.
+    """
+    headings = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "level"))).alias("h"))
+    around = lambda open_, x: F.filter(open_, lambda o: o["level"] < x["level"])
+    nothing = F.array().cast("array<struct<line_no: int, level: int>>")
+    paths = arrays.scan(F.col("h"), nothing, lambda open_, x: F.concat(around(open_, x), F.array(x)), lambda open_, x: F.transform(around(open_, x), lambda o: o["line_no"]), "array<int>")
+    rows = headings.select("doc_id", F.explode(F.arrays_zip(F.col("h"), paths.alias("path"))).alias("r"))
+    return rows.select("doc_id", "r.h.line_no", F.try_element_at("r.path", F.lit(-1)).alias("parent_line"), "r.path")
 
 
 def blocks(docs: DataFrame) -> DataFrame:

@@ -72,7 +72,6 @@ ELSE CASE WHEN regexp_matches(name, 'author|researcher|manager|director|ceo') TH
 )
 add("k08_keyword_entities", lambda s, d: k.multi_extract(docs(s, d), ["simple", "freq"]).groupBy(g.graph_id(F.lower("keyword")).alias("id"), "extractor").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n")), f"WITH {D_OCC} SELECT substr(sha1(lower(keyword)), 1, 16) AS id, extractor, max(score) AS score, count(*) AS n FROM occ WHERE extractor IN ('simple', 'freq') GROUP BY ALL")
 add("k13_structure_depth", lambda s, d: g.depths(st.section_parents(st.sections(headed(s, d)))), f"WITH RECURSIVE {D_SECTIONS}, sp AS (SELECT a.doc_id, a.line_no, max(b.line_no) AS parent_line FROM sec a LEFT JOIN sec b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY ALL), walk AS (SELECT doc_id, line_no, 0 AS depth FROM sp WHERE parent_line IS NULL UNION ALL SELECT p.doc_id, p.line_no, w.depth + 1 FROM sp p JOIN walk w ON p.doc_id = w.doc_id AND p.parent_line = w.line_no) SELECT doc_id, line_no, CAST(depth AS INT) AS depth FROM walk")
-add("q12_depth_distribution", lambda s, d: g.depths(st.section_parents(st.sections(headed(s, d)))).groupBy("depth").agg(F.count(F.lit(1)).alias("n")), ALL["k13_structure_depth"][1].replace("SELECT doc_id, line_no, CAST(depth AS INT) AS depth FROM walk", "SELECT CAST(depth AS INT) AS depth, count(*) AS n FROM walk GROUP BY depth"))
 add("k14_pair_candidates", lambda s, d: g.pairs_within(_simple(s, d)), f"WITH {D_OCC} SELECT a.doc_id, a.keyword AS source, b.keyword AS target FROM simple a JOIN simple b ON a.doc_id = b.doc_id AND a.rank < b.rank")
 add("k20_shared_sentences", lambda s, d: g.shared_sentences(docs(s, d), _simple(s, d)), f"WITH {D_OCC}, se AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]+')) AS sentence, generate_subscripts(string_split_regex(text, '[.!?]+'), 1) - 1 AS i FROM documents) SELECT doc_id, CAST(i AS INT) AS i, count(*) AS named FROM se JOIN simple USING (doc_id) WHERE list_contains(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]+'), lower(keyword)) GROUP BY doc_id, i HAVING count(*) > 1")
 _over("k22_chunk_graph_merge", lambda n, e: e.join(n.groupBy("type", "name").agg(F.min("id").alias("to")).join(n, ["type", "name"]).select("id", "to"), F.col("target") == F.col("id")).select("source", F.col("to").alias("target"), "n"), "SELECT source, target, n FROM edges")
@@ -97,14 +96,6 @@ def graph_sql(nodes, edges, text: str):
 _SQL = "SELECT domain, count(*) AS n, sum(e.n) AS mentions FROM nodes JOIN edges e ON id = source GROUP BY domain"
 _over("q08_graph_sql", lambda n, e: graph_sql(n, e, _SQL), "SELECT domain, count(*) AS n, CAST(sum(e.n) AS BIGINT) AS mentions FROM nodes JOIN edges e ON id = source GROUP BY domain")
 _over("q09_dangling_edges", lambda n, e: g.dangling(n.filter("NOT (type = 'Document' AND id LIKE '%7')"), e), "SELECT * FROM edges WHERE source LIKE '%7'")
-add(
-    "q10_entity_density_by_section",
-    lambda s, d: g.section_density(st.sections(headed(s, d)).join(headed(s, d), "doc_id").select("doc_id", "line_no", "title", F.expr("substring(text, greatest(locate(title, text), 1), 5000)").alias("text")), _simple(s, d)),
-    f"WITH {D_OCC}, {D_SECTIONS}, st AS (SELECT doc_id, line_no, title, lower(substr(text, greatest(strpos(text, title), 1), 5000)) AS t FROM sec JOIN hd USING (doc_id)), kws AS (SELECT DISTINCT doc_id, lower(keyword) AS k FROM simple) "
-    "SELECT doc_id, line_no, title, CAST(count(*) AS INT) AS entities FROM st JOIN kws USING (doc_id) WHERE contains(t, k) GROUP BY ALL",
-)
-_over("q11_same_container_pairs", lambda n, e: e.alias("a").join(e.alias("b"), (F.col("a.source") == F.col("b.source")) & (F.col("a.target") != F.col("b.target"))).groupBy(F.col("a.source").alias("source")).agg(F.count(F.lit(1)).alias("pairs")), "SELECT a.source, count(*) AS pairs FROM edges a JOIN edges b ON a.source = b.source AND a.target <> b.target GROUP BY a.source")
-_over("q13_domain_type_patterns", lambda n, e: e.join(n.alias("s"), F.col("source") == F.col("s.id")).join(n.alias("t"), F.col("target") == F.col("t.id")).groupBy(F.col("s.domain").alias("domain"), F.col("t.type").alias("type")).agg(F.count(F.lit(1)).alias("n")), "SELECT s.domain, t.type, count(*) AS n FROM edges JOIN nodes s ON source = s.id JOIN nodes t ON target = t.id GROUP BY ALL")
 _over("q15_domain_counts", lambda n, e: n.groupBy("domain").agg(F.count(F.lit(1)).alias("n")), "SELECT domain, count(*) AS n FROM nodes GROUP BY domain")
 _over("q16_linked_documents", lambda n, e: e.join(n.filter(F.col("name").contains("heit")), F.col("target") == F.col("id")).select("source").distinct(), "SELECT DISTINCT source FROM edges JOIN nodes ON target = id WHERE contains(name, 'heit')")
 _over("q17_hub_entities", lambda n, e: g.degrees(e).orderBy(F.desc("degree"), "id").limit(10), "SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id ORDER BY degree DESC, id LIMIT 10")

@@ -41,7 +41,7 @@ add("e01_section_detect", _sections, f"WITH {D_SECTIONS} SELECT * FROM sec")
 add("e02_element_counts", lambda s, d: st.element_counts(headed(s, d)), f"WITH {D_SECTIONS} SELECT doc_id, " + ", ".join(f"CAST(count_if(regexp_matches(line, '{p}')) AS BIGINT) AS {n}" for n, p in st.ELEMENTS.items()) + " FROM sty WHERE s <> '' AND (style IS NULL OR style = 'isolated') GROUP BY doc_id")
 add("e03_outline_summary", lambda s, d: st.outline_summary(_sections(s, d)), f"WITH {D_SECTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM sec) SELECT doc_id, count(*) AS total, max(level) AS max_level, bool_or(regexp_matches(title, '서론|Introduction|개요')) AS has_introduction, bool_or(regexp_matches(title, '결론|Conclusion|맺음')) AS has_conclusion, string_agg(title, '|' ORDER BY line_no) FILTER (r <= 20) AS main, CASE WHEN count(*) > 3 THEN 'good' ELSE 'poor' END AS quality FROM r GROUP BY doc_id")
 add("e09_md_sections", lambda s, d: _sections(s, d).filter("style = 'markdown'").select("doc_id", "line_no", "level", "title"), f"WITH {D_SECTIONS} SELECT doc_id, line_no, level, title FROM sec WHERE style = 'markdown'")
-add("k10_section_parent", lambda s, d: st.section_parents(_sections(s, d)), f"WITH {D_SECTIONS} SELECT a.doc_id, a.line_no, max(b.line_no) AS parent_line FROM sec a LEFT JOIN sec b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY ALL")
+add("k10_section_parent", lambda s, d: st.section_parents(_sections(s, d)).drop("path"), f"WITH {D_SECTIONS} SELECT a.doc_id, a.line_no, max(b.line_no) AS parent_line FROM sec a LEFT JOIN sec b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY ALL")
 add(
     "e19_block_split", lambda s, d: st.blocks(headed(s, d)),
     f"WITH {D_SECTIONS}, kd AS (SELECT *, CASE WHEN s = '' THEN 'empty' WHEN starts_with(s, '#') THEN 'header' WHEN contains(s, '|') THEN 'table' ELSE 'paragraph' END AS kind FROM li), ch AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) = kind AND kind <> 'header' THEN 0 ELSE 1 END AS new FROM kd), bl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM ch) SELECT doc_id, CAST(block AS BIGINT) AS block, kind, CAST(min(line_no) AS INT) AS first_line, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM bl GROUP BY doc_id, block, kind",
