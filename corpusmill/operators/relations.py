@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions import arrays
-
-from . import records
 from .hierarchy import DEFAULT_RELATION
-from .keywords import per_document
 
 #: Relations of two types of entities by domain. In the technical domain a pair the other way round has the reversed name.
 RULES = {
@@ -26,38 +27,75 @@ DEFAULT_WEIGHT, CONTEXT_BONUS, LEAST_CONFIDENCE = 0.6, 0.1, 0.5
 STACKS = ((("fastapi", "sqlalchemy"), "INTEGRATES_WITH"), (("react", "node.js"), "WORKS_WITH"), (("postgresql", "redis"), "COMPLEMENTS"), (("docker", "kubernetes"), "ORCHESTRATED_BY"))
 STACK_CONFIDENCE, STACK_TYPES = 0.8, ("Technology", "Framework", "Database", "Tool")
 AROUND, CONTEXT_CHARS = 100, 200
+#: Marks that end a sentence or block, wherever they begin, as each may begin within another.
+_MARK = re.compile(r"(?=(\n\n|\. |\.\n|\||- \*\*|## ))")
 
 
-def places(text: Column, word: Column) -> Column:
-    """All 0-based places of a word of at least one character, overlapping ones too, from one cut before each."""
-    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), word, F.lit("\\E)")), -1)
-    begins = arrays.starts(F.transform(pieces, F.length))
-    return F.when(F.startswith(text, word), begins).otherwise(F.slice(begins, F.lit(2), F.size(begins)))
+def _hits(low: str, word: str) -> np.ndarray:
+    found, at = [], low.find(word)
+    while at >= 0:
+        found.append(at)
+        at = low.find(word, at + 1)
+    return np.array(found, np.int64)
 
 
-def closest_context(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, source, target, gap, context): the text around the closest hits of each pair (doc_id, source, target), in any case.
+def _near_pairs(low: str, words: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """(i, j, gap, place of i, place of j) at the closest hits of each two words, i before j in the list, that stand near somewhere in the text.
 
-    The places of both words are merged in order; the closest hits are neighbours there. Of equally close ones the first of the source, then of
-    the target counts. A hundred characters around, cut at 200. A pair with a word that does not occur has no row.
+    For every hit the next hit of each word is looked up in its sorted places, so the work is words times hits, never hits times hits.
     """
-    found = per_document(pairs.select("doc_id", "source", "target").distinct(), docs).withColumn("low", F.lower("text"))
-    words = F.array_distinct(F.flatten(F.transform("found", lambda p: F.array(F.lower(p["source"]), F.lower(p["target"])))))
-    found = found.withColumn("places", F.map_from_entries(F.transform(words, lambda w: F.struct(w, places(F.col("low"), w)))))
-    each = found.select("doc_id", "text", F.explode("found").alias("p"), "places").select("doc_id", "text", "p.*", F.element_at("places", F.lower("p.source")).alias("a"), F.element_at("places", F.lower("p.target")).alias("b"))
-    tagged = lambda column, tag: F.transform(column, lambda at: F.struct(at.alias("at"), F.lit(tag).alias("tag")))
-    merged = each.withColumn("m", F.array_sort(F.concat(tagged("a", 0), tagged("b", 1))))
-
-    def step(x: Column, i: Column) -> Column:
-        y = F.get("m", i + 1)
-        return F.when(x["tag"] != y["tag"], F.struct((y["at"] - x["at"]).alias("gap"), F.when(x["tag"] == 0, x["at"]).otherwise(y["at"]).alias("a"), F.when(x["tag"] == 0, y["at"]).otherwise(x["at"]).alias("b")))
-
-    best = merged.select("doc_id", "source", "target", "text", F.array_min(F.transform("m", step)).alias("c")).filter("c IS NOT NULL")
-    begin = F.greatest(F.least("c.a", "c.b") - AROUND, F.lit(0))
-    end = F.least(F.greatest(F.col("c.a") + F.length("source"), F.col("c.b") + F.length("target")) + AROUND, F.length("text"))
-    context = F.regexp_replace(F.substr("text", begin + 1, end - begin), r"^\s+|\s+$", "")
-    cut = F.when(F.length(context) > CONTEXT_CHARS, F.concat(F.substring(context, 1, CONTEXT_CHARS), F.lit("..."))).otherwise(context)
-    return best.select("doc_id", "source", "target", "c.gap", cut.alias("context"))
+    places = [_hits(low, w) for w in words]
+    here = [i for i, p in enumerate(places) if len(p)]
+    if len(here) < 2:
+        return []
+    hits = np.concatenate([places[i] for i in here])
+    first = np.concatenate([[0], np.cumsum([len(places[i]) for i in here])[:-1]])
+    marks = [(m.start(), m.start() + len(m[1])) for m in _MARK.finditer(low)]
+    limit = hits + AROUND  # the last place where a partner still is near: within reach, and no mark ends before it
+    if marks:
+        begins, ends = (np.array(x, np.int64) for x in zip(*marks, strict=True))
+        ends = np.concatenate([np.minimum.accumulate(ends[::-1])[::-1], [len(low) + AROUND]])
+        limit = np.minimum(limit, ends[np.searchsorted(begins, hits)] - 1)
+    forth = np.empty((len(here), len(here)), np.int64)  # from each word (row) to the next hit of another (column): gap and place
+    near = np.empty((len(here), len(here)), bool)
+    for c, j in enumerate(here):
+        at = np.searchsorted(places[j], hits)
+        known = at < len(places[j])
+        following = places[j][np.minimum(at, len(places[j]) - 1)]
+        forth[:, c] = np.minimum.reduceat(np.where(known, following - hits << 32 | hits, np.iinfo(np.int64).max), first)
+        near[:, c] = np.logical_or.reduceat(known & (following <= limit), first)
+    out = []
+    for x, i in enumerate(here):
+        for y in range(x + 1, len(here)):
+            if near[x, y] or near[y, x]:
+                ways = [(g >> 32, a := (g & 0xFFFFFFFF) + (g >> 32) * back, a + (g >> 32) * (-1 if back else 1)) for g, back in ((int(forth[x, y]), 0), (int(forth[y, x]), 1)) if g != np.iinfo(np.int64).max]
+                out.append((i, here[y], *min(ways)))
+    return out
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: dict[str, list] = {c: [] for c in ("row", "source", "target", "gap", "context")}
+        for row, (text, low, words) in enumerate(zip(batch["text"].to_pylist(), batch["low"].to_pylist(), batch["words"].to_pylist(), strict=True)):
+            for i, j, gap, a, b in _near_pairs(low, words):
+                context = text[max(0, min(a, b) - AROUND) : max(a + len(words[i]), b + len(words[j])) + AROUND].strip(" \t\n\r\f\v")
+                for c, value in zip(rows, (row, words[i], words[j], gap, context[:CONTEXT_CHARS] + "..." * (len(context) > CONTEXT_CHARS)), strict=True):
+                    rows[c].append(value)
+        taken = batch["doc_id"].take(pa.array(rows.pop("row"), pa.int64()))
+        yield pa.RecordBatch.from_pydict({"doc_id": taken, "source": pa.array(rows["source"], pa.string()), "target": pa.array(rows["target"], pa.string()), "gap": pa.array(rows["gap"], pa.int32()), "context": pa.array(rows["context"], pa.string())})
+
+
+def near_contexts(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, source, target, gap, context): each two words (doc_id, word, score) of a document that stand near, and the text around their closest hits.
+
+    Near are hits, of words in lower case, at most 100 characters apart with no end of a sentence or block between. The better scored word is
+    the source, equal ones in order. Of equally close hits the first of the source, then of the target counts. A hundred characters around
+    the hits, bare at its ends, cut at 200. Words of a document meet its text in one row; documents without words have no rows.
+    """
+    best = words.groupBy("doc_id", "word").agg(F.max("score").alias("score"))
+    ranked = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "word"))).alias("w"))
+    both = docs.select("doc_id", "text", F.lower("text").alias("low")).join(ranked.select("doc_id", F.transform("w", lambda x: x["word"]).alias("words")), "doc_id").filter("text IS NOT NULL")
+    return both.mapInArrow(_contexts, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, target string, gap int, context string")
 
 
 def relation_rule(domain: Column, type1: Column, type2: Column, context: Column) -> Column:
@@ -87,11 +125,7 @@ def entity_relations(entities: DataFrame, docs: DataFrame) -> DataFrame:
     `entities` is what `hierarchy.structure_entities` gives. The better scored word comes first, equal ones in order. Only named relations of confidence 0.5
     or more count. A structure's entities are paired through the near pairs of its document, never all with all.
     """
-    ordered = entities.groupBy("doc_id", "word").agg(F.max("score").alias("best"))
-    ranked = ordered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("best")).alias("key"), "word"))).alias("w"))
-    words = ranked.select("doc_id", F.posexplode("w").alias("rank", "x")).select("doc_id", "rank", F.col("x.word").alias("keyword"))
-    near = records.near_pairs(words, docs, AROUND)
-    contexts = closest_context(near, docs)
+    contexts = near_contexts(entities.select("doc_id", "word", "score"), docs)
     side = lambda name: entities.select("doc_id", "node", F.col("word").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("id", "score", "entity_type", "extractor")], *(["domain"] if name == "source" else []))
     pairs = contexts.join(side("source"), ["doc_id", "source"]).join(side("target"), ["doc_id", "target", "node"])
     name = relation_rule(F.col("domain"), F.col("source_entity_type"), F.col("target_entity_type"), F.col("context"))

@@ -131,16 +131,7 @@ cx AS (SELECT doc_id, source, target, c[1] AS gap, regexp_replace(substr(text, C
 ctx AS (SELECT doc_id, source, target, CAST(gap AS INT) AS gap, CASE WHEN length(whole) > 200 THEN substr(whole, 1, 200) || '...' ELSE whole END AS context FROM cx)"""
 
 
-def near(s, d):
-    """Near pairs of each document's words, the better scored first."""
-    from corpusmill.operators import records
-
-    rows = h.entity_words(entity_keywords(s, d)).groupBy("doc_id", "word").agg(F.max("score").alias("best"))
-    ranked = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("best")).alias("key"), "word"))).alias("w"))
-    return records.near_pairs(ranked.select("doc_id", F.posexplode("w").alias("rank", "x")).select("doc_id", "rank", F.col("x.word").alias("keyword")), structured(s, d))
-
-
-add("k16_closest_context", lambda s, d: rel.closest_context(near(s, d), structured(s, d)), f"WITH RECURSIVE {D_NEAR} SELECT * FROM ctx")
+add("k16_closest_context", lambda s, d: rel.near_contexts(h.entity_words(entity_keywords(s, d)), structured(s, d)), f"WITH RECURSIVE {D_NEAR} SELECT * FROM ctx")
 D_RULES = f"""{D_NEAR},
 ep AS (SELECT x.doc_id, a.id AS source, b.id AS target, a.word AS word1, b.word AS word2, a.entity_type AS type1, b.entity_type AS type2, a.score AS score1, b.score AS score2, a.domain, x.context, a.extractor
  FROM ctx x JOIN ent a ON a.doc_id = x.doc_id AND a.word = x.source JOIN ent b ON b.doc_id = x.doc_id AND b.word = x.target AND b.node = a.node),
@@ -149,12 +140,18 @@ rl AS (SELECT *, CASE domain WHEN 'technical' THEN CASE (type1, type2) WHEN ('Te
  WHEN 'academic' THEN NULL WHEN 'business' THEN NULL ELSE CASE WHEN regexp_matches(lower(context), '사용|활용|이용') THEN 'USES' WHEN regexp_matches(lower(context), '연결|연동|통합') THEN 'INTEGRATES_WITH' WHEN regexp_matches(lower(context), '구현|개발') THEN 'IMPLEMENTS'
  WHEN regexp_matches(lower(context), '지원|도구') THEN 'SUPPORTS' ELSE 'ASSOCIATED_WITH' END END AS relationship_name FROM ep),
 cf AS (SELECT *, round(least(least(score1, score2) * CASE relationship_name WHEN 'USES' THEN 0.9 WHEN 'INTEGRATES_WITH' THEN 0.85 WHEN 'IMPLEMENTS' THEN 0.8 WHEN 'CONNECTS_TO' THEN 0.8 WHEN 'SUPPORTS' THEN 0.7 ELSE 0.6 END + CASE WHEN context <> '' THEN 0.1 ELSE 0 END, 1.0), 6) AS confidence FROM rl WHERE relationship_name IS NOT NULL AND relationship_name <> 'ASSOCIATED_WITH')"""
-add("k18_entity_relations", lambda s, d: rel.entity_relations(entities(s, d), structured(s, d)), f"WITH RECURSIVE {D_RULES} SELECT doc_id, source, target, relationship_name, CAST(confidence AS DOUBLE) AS confidence, substr(context, 1, 100) AS context_snippet, extractor FROM cf WHERE confidence >= 0.5")
+add("k_entity_relations", lambda s, d: rel.entity_relations(entities(s, d), structured(s, d)), f"WITH RECURSIVE {D_RULES} SELECT doc_id, source, target, relationship_name, CAST(confidence AS DOUBLE) AS confidence, substr(context, 1, 100) AS context_snippet, extractor FROM cf WHERE confidence >= 0.5")
 add(
     "k19_known_stack_pairs", lambda s, d: rel.known_stacks(entities(s, d)),
     f"WITH {D_ENTITIES}, sk AS (SELECT * FROM ent JOIN (VALUES ('fastapi|sqlalchemy', 'INTEGRATES_WITH'), ('react|node[.]js', 'WORKS_WITH'), ('postgresql|redis', 'COMPLEMENTS'), ('docker|kubernetes', 'ORCHESTRATED_BY')) v(names, relationship_name) ON regexp_matches(word, names) WHERE domain = 'technical') "
     "SELECT a.doc_id, a.id AS source, b.id AS target, a.relationship_name, 0.8::DOUBLE AS confidence FROM sk a JOIN sk b ON a.doc_id = b.doc_id AND a.names = b.names AND (-a.score, a.word, a.id) < (-b.score, b.word, b.id)",
 )
+_scored_pairs = lambda s, d: _typed_pairs(s, d).select("doc_id", _pick((*rel.WEIGHTS, "USED_BY"), F.col("doc_id") % 8).alias("relationship_name"), ((F.col("doc_id") % 7 + 4) / 10).alias("score1"), ((F.col("doc_id") % 11 + 1) / 12).alias("score2"), F.when(F.col("doc_id") % 3 > 0, F.col("context")).alias("context"))
+add(
+    "k18_relation_confidence", lambda s, d: _scored_pairs(s, d).withColumn("confidence", rel.relation_confidence(*map(F.col, ("relationship_name", "score1", "score2", "context")))),
+    "WITH p AS (SELECT doc_id, ['USES', 'INTEGRATES_WITH', 'IMPLEMENTS', 'CONNECTS_TO', 'COMPLEMENTS', 'SUPPORTS', 'RELATED_TO', 'USED_BY'][doc_id % 8 + 1] AS relationship_name, [0.9, 0.85, 0.8, 0.8, 0.75, 0.7, 0.5, 0.6][doc_id % 8 + 1]::DOUBLE AS weight, (doc_id % 7 + 4) / 10 AS score1, (doc_id % 11 + 1) / 12 AS score2, "
+    "CASE WHEN doc_id % 3 > 0 THEN ['사용', '연동', '개발', '도구', 'none'][doc_id % 5 + 1] END AS context FROM documents) SELECT doc_id, relationship_name, score1, score2, context, round(least(least(score1, score2) * weight + CASE WHEN context <> '' THEN 0.1::DOUBLE ELSE 0 END, 1), 6) AS confidence FROM p",
+)
 #: Contexts and types of every domain, by doc_id.
 _CONTEXTS = ("it needs more", "we apply this", "to execute", "a trigger of", "as they quote", "in conflict", "evidence of", "we confirm", "which comprise", "none")
 _DOMAINS = ("technical", "academic", "business", "legal", "general", "medical")
