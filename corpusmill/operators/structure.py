@@ -107,15 +107,6 @@ def blocks(docs: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "block", "kind").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"))
 
 
-def chunk_level(docs: DataFrame, sections: DataFrame) -> DataFrame:
-    """The size at which a document is cut: whole, by chapter or by section."""
-    counts = sections.groupBy("doc_id").agg(F.count_if(F.col("level") == 1).alias("chapters"), F.count(F.lit(1)).alias("n"))
-    d = docs.select("doc_id", F.length("text").alias("size")).join(counts, "doc_id", "left").na.fill(0, ["chapters", "n"])
-    average = F.col("size") / F.greatest(F.col("chapters"), F.lit(1))
-    level = F.when(F.col("size") < 8000, "document").when((F.col("size") < 50000) & (F.col("chapters") > 1), "chapter").when((F.col("chapters") > 1) & (average <= 15000), "chapter").when(F.col("n") > 0, "section").otherwise("document")
-    return d.select("doc_id", level.alias("level"))
-
-
 def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.filter(F.split("text", "\n", -1), lambda p: F.trim(p) != "")).alias("i", "content"))
 

@@ -60,8 +60,6 @@ add("e27_dublin_core", lambda s, d: docs(s, d).select("doc_id", F.concat("source
 _HL = lambda s, d: r.headed_lines(st.lines(headed(s, d)), st.sections(headed(s, d)))
 D_HL = f"WITH {D_SECTIONS}, hl AS (SELECT doc_id, line_no, line, last_value(CASE WHEN level = 1 THEN line_no END IGNORE NULLS) OVER w AS chapter, last_value(CASE WHEN level > 1 THEN line_no END IGNORE NULLS) OVER w AS section FROM li LEFT JOIN (SELECT doc_id, line_no, level FROM sec) USING (doc_id, line_no) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))"
 add("f02_hierarchy_assign", lambda s, d: _HL(s, d).select("doc_id", "line_no", F.coalesce("chapter", F.lit(0)).alias("chapter"), F.coalesce("section", F.lit(0)).alias("section")), f"{D_HL} SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(coalesce(chapter, 0) AS INT) AS chapter, CAST(coalesce(section, 0) AS INT) AS section FROM hl")
-add("f04_chunk_build", lambda s, d: _HL(s, d).groupBy("doc_id", F.coalesce("chapter", F.lit(0)).alias("chapter")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line") + 1).alias("chars")), f"{D_HL} SELECT doc_id, CAST(coalesce(chapter, 0) AS INT) AS chapter, count(*) AS lines, CAST(sum(length(line) + 1) AS BIGINT) AS chars FROM hl GROUP BY ALL")
-add("f07_chunk_text", lambda s, d: _HL(s, d).groupBy("doc_id", F.coalesce("chapter", F.lit(0)).alias("chapter")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).select("doc_id", "chapter", F.substring(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 1, 300).alias("preview")), f"{D_HL} SELECT doc_id, CAST(coalesce(chapter, 0) AS INT) AS chapter, substr(string_agg(line, chr(10) ORDER BY line_no), 1, 300) AS preview FROM hl GROUP BY ALL")
 _NEAR = f"""{_S3}, g AS (SELECT doc_id, keyword, rank, lower(keyword) AS k, string_split(lower(text), lower(keyword)) AS parts FROM s3 JOIN documents USING (doc_id)),
 q AS (SELECT doc_id, keyword, rank, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS last, length(k) AS n FROM g),
 p AS (SELECT doc_id, keyword, rank, p FROM (SELECT doc_id, keyword, rank, i, last, sum(length(part) + n) OVER (PARTITION BY doc_id, keyword ORDER BY i) - n AS p FROM q) WHERE i < last),

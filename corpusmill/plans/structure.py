@@ -47,7 +47,6 @@ add(
     f"WITH {D_SECTIONS}, kd AS (SELECT *, CASE WHEN s = '' THEN 'empty' WHEN starts_with(s, '#') THEN 'header' WHEN contains(s, '|') THEN 'table' ELSE 'paragraph' END AS kind FROM li), ch AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) = kind AND kind <> 'header' THEN 0 ELSE 1 END AS new FROM kd), bl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM ch) SELECT doc_id, CAST(block AS BIGINT) AS block, kind, CAST(min(line_no) AS INT) AS first_line, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM bl GROUP BY doc_id, block, kind",
 )
 add("e30_section_text", lambda s, d: _sections(s, d).join(headed(s, d), "doc_id").filter("style = 'markdown'").select("doc_id", "line_no", F.expr("substring(text, greatest(locate(title, text), 1), 5000)").alias("section_text")), f"WITH {D_SECTIONS} SELECT doc_id, line_no, substr(text, greatest(strpos(text, title), 1), 5000) AS section_text FROM sec JOIN hd USING (doc_id) WHERE style = 'markdown'")
-add("f03_chunk_level", lambda s, d: st.chunk_level(headed(s, d), _sections(s, d)), f"WITH {D_SECTIONS}, c AS (SELECT doc_id, count_if(level = 1) AS ch, count(*) AS n FROM sec GROUP BY 1) SELECT doc_id, CASE WHEN length(text) < 8000 THEN 'document' WHEN length(text) < 50000 AND coalesce(ch, 0) > 1 THEN 'chapter' WHEN coalesce(ch, 0) > 1 AND length(text) / greatest(coalesce(ch, 0), 1) <= 15000 THEN 'chapter' WHEN coalesce(n, 0) > 0 THEN 'section' ELSE 'document' END AS level FROM hd LEFT JOIN c USING (doc_id)")
 add(
     "f05_token_budget_merge", lambda s, d: st.budget_merge(docs(s, d)),
     "WITH RECURSIVE p AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)), c AS (SELECT doc_id, i, length(x) // 4 AS cost FROM p), w AS (SELECT doc_id, i, cost AS used, 0 AS chunk FROM c WHERE i = 0 UNION ALL SELECT c.doc_id, c.i, CASE WHEN w.used + c.cost > 500 AND w.used > 0 THEN c.cost ELSE w.used + c.cost END, CASE WHEN w.used + c.cost > 500 AND w.used > 0 THEN chunk + 1 ELSE chunk END FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i + 1) SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(min(i) AS INT) AS first, CAST(max(i) AS INT) AS last FROM w GROUP BY doc_id, chunk",
