@@ -160,7 +160,7 @@ def structure_entities(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     A word in no structure's content goes to the document's first structure. A document's words meet its text in one row.
     """
     listed = entity_words(keywords).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("extractor", "word", "score", "category"))).alias("words"))
-    both = docs.select("doc_id", "text", graph.domain_of(F.col("text")).alias("domain")).join(listed, "doc_id")
+    both = docs.select("doc_id", "text").join(listed, "doc_id").withColumn("domain", graph.domain_of(F.col("text")))
     rows = document_structures(both, "domain", "words")
     low = F.transform("nodes", lambda n: F.lower(n["content"]))
     hits = rows.withColumn("hits", F.transform(low, lambda c: F.filter("words", lambda w: c.contains(w["word"]))))

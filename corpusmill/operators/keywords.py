@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +30,13 @@ ORGANISATION_ENDINGS = "전자|그룹|회사|기업|산업|코퍼레이션|Corpo
 PLACE_ENDINGS = "시|도|구|군|동|면|읍|특별시|광역시"
 
 
+_TOKEN, _HANGUL = re.compile(r"\w+"), re.compile("[가-힣]{2,}")
+
+
+def _by_count(word: tuple[str, int, int]) -> tuple[int, int]:
+    return -word[1], word[2]
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, i (from 0), w: runs of letters, numbers and underscores."""
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(t.TOKEN), 0)).alias("i", "w"))
@@ -75,16 +87,44 @@ def top(rows: DataFrame, by: list, n: int, group: str = "doc_id") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*by))).filter(F.col("rank") <= n)
 
 
-def counted_words(docs: DataFrame) -> DataFrame:
-    """doc_id, keyword, n, first: Hangul words of two, Latin words of three or more characters, with their counts."""
-    found = tokens(docs).withColumn("k", F.when(F.col("w").rlike("^[가-힣]{2,}"), F.regexp_extract("w", "^[가-힣]{2,}", 0)).when(F.col("w").rlike("^[a-zA-Z]{3,}$"), F.col("w")))
-    return found.filter("k IS NOT NULL").groupBy("doc_id", F.col("k").alias("keyword")).agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
+def _count_words(text: str) -> list[tuple[str, int, int]]:
+    """(keyword, number, first place among all tokens) of a text's words."""
+    tokens = _TOKEN.findall(text)
+    first = dict(zip(reversed(tokens), range(len(tokens) - 1, -1, -1)))  # the first place is set last
+    found: dict[str, tuple[int, int]] = {}
+    for token, n in Counter(tokens).items():
+        if not token.isascii() and (hangul := _HANGUL.match(token)):
+            before = found.get(hangul[0], (0, first[token]))
+            found[hangul[0]] = (before[0] + n, min(before[1], first[token]))
+        elif len(token) >= 3 and token.isascii() and token.isalpha():
+            found[token] = (n, first[token])
+    return [(k, n, at) for k, (n, at) in found.items()]
+
+
+def counted_words(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, keyword, n, first, rank: Hangul words of two, Latin words of three or more characters with their counts, the most frequent first, ties to the
+    earlier word; all of them, or the `most` best.
+
+    A document's words are counted where its row is: nothing is shuffled, and only the words that are asked for leave the row.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, str, int, int, int]] = []
+            for row, text in enumerate(batch["text"]):
+                if text.is_valid:
+                    words = _count_words(text.as_py())
+                    best = sorted(words, key=_by_count) if most is None else heapq.nsmallest(most, words, key=_by_count)
+                    rows += [(row, *w, rank) for rank, w in enumerate(best, 1)]
+            at, keyword, n, first, rank = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(at, pa.int64())), "keyword": pa.array(keyword, pa.string()), "n": pa.array(n, pa.int64()), "first": pa.array(first, pa.int32()), "rank": pa.array(rank, pa.int32())})
+
+    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, keyword string, n bigint, first int, rank int")
 
 
 def simple_keywords(docs: DataFrame, n: int = 10) -> DataFrame:
     """The most frequent words of a document; ties to the earlier word; the score falls by a tenth a rank."""
-    best = top(counted_words(docs), [F.desc("n"), "first"], n)
-    return best.select("doc_id", "keyword", F.lit("simple").alias("extractor"), F.round(0.8 - (F.col("rank") - 1) * 0.1, 1).alias("score"), F.lit("noun").alias("category"), "rank", "n")
+    return counted_words(docs, n).select("doc_id", "keyword", F.lit("simple").alias("extractor"), F.round(0.8 - (F.col("rank") - 1) * 0.1, 1).alias("score"), F.lit("noun").alias("category"), "rank", "n")
 
 
 def pattern_entities(docs: DataFrame, n: int = 20) -> DataFrame:

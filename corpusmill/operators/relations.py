@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.sources import tables
+
 from .hierarchy import DEFAULT_RELATION
 
 #: Relations of two types of entities by domain. In the technical domain a pair the other way round has the reversed name.
@@ -94,8 +96,8 @@ def near_contexts(words: DataFrame, docs: DataFrame) -> DataFrame:
     """
     best = words.groupBy("doc_id", "word").agg(F.max("score").alias("score"))
     ranked = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "word"))).alias("w"))
-    both = docs.select("doc_id", "text", F.lower("text").alias("low")).join(ranked.select("doc_id", F.transform("w", lambda x: x["word"]).alias("words")), "doc_id").filter("text IS NOT NULL")
-    return both.mapInArrow(_contexts, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, target string, gap int, context string")
+    both = docs.select("doc_id", "text").join(ranked.select("doc_id", F.transform("w", lambda x: x["word"]).alias("words")), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    return both.withColumn("low", F.lower("text")).mapInArrow(_contexts, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, target string, gap int, context string")
 
 
 def relation_rule(domain: Column, type1: Column, type2: Column, context: Column) -> Column:
@@ -125,6 +127,7 @@ def entity_relations(entities: DataFrame, docs: DataFrame) -> DataFrame:
     `entities` is what `hierarchy.structure_entities` gives. The better scored word comes first, equal ones in order. Only named relations of confidence 0.5
     or more count. A structure's entities are paired through the near pairs of its document, never all with all.
     """
+    entities = tables.written(entities.select("doc_id", "node", "id", "word", "score", "entity_type", "extractor", "domain"), "entities")
     contexts = near_contexts(entities.select("doc_id", "word", "score"), docs)
     side = lambda name: entities.select("doc_id", "node", F.col("word").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("id", "score", "entity_type", "extractor")], *(["domain"] if name == "source" else []))
     pairs = contexts.join(side("source"), ["doc_id", "source"]).join(side("target"), ["doc_id", "target", "node"])
