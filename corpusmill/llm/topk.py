@@ -36,6 +36,7 @@ def _length(m: np.ndarray) -> np.ndarray:
 @dataclass
 class Queries:
     ids: np.ndarray
+    rows: np.ndarray  # numbers of the vectors' rows; ids may repeat
     vectors: np.ndarray
     limits: np.ndarray  # a score that the k-th best is known to reach
 
@@ -44,7 +45,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _search(queries: Queries, rotation: np.ndarray, cut: int, k: int, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
+def _search(queries: Queries, rotation: np.ndarray, cut: int, k: int, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int, int]]:
     """The best k of the batches for each query; vectors come in order of falling length.
 
     A batch whose longest vector cannot reach a query's limit is skipped for it. For the others the first `cut` rotated
@@ -56,7 +57,7 @@ def _search(queries: Queries, rotation: np.ndarray, cut: int, k: int, batches: I
     head, rest = turned[:, :cut], _length(turned[:, cut:])
     found_ids = [np.zeros(0, np.int64)] * n
     found_scores = [np.zeros(0, queries.vectors.dtype)] * n
-    for ids, vectors in batches:
+    for rows, ids, vectors in batches:
         size = _length(vectors)
         slack = 1e-9 * size.max(initial=0.0)
         live = np.nonzero(lengths * size.max(initial=0.0) * (1 + 1e-9) + 1 >= limits)[0]
@@ -68,7 +69,7 @@ def _search(queries: Queries, rotation: np.ndarray, cut: int, k: int, batches: I
             tile = live[at : at + TILE]
             reach = head[tile] @ first + rest[tile][:, None] * left + (slack * lengths[tile] + 1)[:, None]
             may = reach >= limits[tile][:, None]
-            may &= ids[None, :] != queries.ids[tile][:, None]
+            may &= rows[None, :] != queries.rows[tile][:, None]
             if may.mean() > 0.05:
                 scores = queries.vectors[tile] @ vectors.T
                 pick = lambda row, cols: scores[row, cols]  # noqa: E731, B023
@@ -83,15 +84,15 @@ def _search(queries: Queries, rotation: np.ndarray, cut: int, k: int, batches: I
                     limits[q] = max(limits[q], float(found_scores[q][-1]))
     for q in range(n):
         for i, s in zip(found_ids[q].tolist(), found_scores[q].tolist()):
-            yield int(queries.ids[q]), i, max(-(2**63), min(2**63 - 1, int(s)))
+            yield int(queries.rows[q]), int(queries.ids[q]), i, max(-(2**63), min(2**63 - 1, int(s)))
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id divides by `every`, its k best rows by integer inner product.
 
     Components are floor(1024 * x) in doubles. Vectors that are null or hold null or non-finite components, and null ids, take
-    no part. A shorter vector counts as padded with zeros. A row never meets rows of its own id; repeated query rows are
-    answered once. Ties go to the smaller id. Scores beyond a long are cut to its range. An empty table gives an empty result.
+    no part. A shorter vector counts as padded with zeros. A row never meets itself, but others of its id; where an id
+    occurs in several rows, each is a query of its own with ranks of its own, and each a candidate. Ties go to the smaller id. Scores beyond a long are cut to its range. An empty table gives an empty result.
     Queries are broadcast in blocks of a fixed number; each block meets all vectors in one pass, in parallel over lengths.
     """
     spark = vectors.sparkSession
@@ -99,9 +100,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     sound = x.isNotNull() & F.col("id").isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(sound)
     squares = F.aggregate(F.transform(x, lambda c: F.floor(c * SCALE).cast("double")), F.lit(0.0), lambda a, c: a + c * c)
-    rows = common.written(rows.withColumn("length", F.sqrt(squares)), "vectors")
+    rows = common.written(rows.withColumn("length", F.sqrt(squares)).withColumn("row", F.monotonically_increasing_id()), "vectors")
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    schema = "query_id bigint, vec_id bigint, score bigint"
+    schema = "row bigint, query_id bigint, vec_id bigint, score bigint"
     if not width:
         width = 1
     # the rotation only decides how much is pruned
@@ -110,48 +111,48 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     energy, rotation = energy[::-1], rotation[:, ::-1]
     cut = int(np.searchsorted(np.cumsum(energy), 0.7 * energy.sum())) + 1
     cut = min(max(cut, 1), width)
-    longest = [(r["id"], r["v"]) for r in rows.orderBy(F.desc("length"), "id").limit(SEEDS).toLocalIterator()]
+    longest = [(r["row"], r["v"]) for r in rows.orderBy(F.desc("length"), "id").limit(SEEDS).toLocalIterator()]
     seeds = spark.sparkContext.broadcast((np.array([i for i, _ in longest], np.int64), _floors([v for _, v in longest], width)))
 
     def first_limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed_ids, seed_vectors = seeds.value
+        seed_rows, seed_vectors = seeds.value
         for batch in batches:
-            ids, found = batch.column(0).to_numpy(), _floors(batch.column(1).to_pylist(), width)
+            asking, found = batch.column(0).to_numpy(), _floors(batch.column(2).to_pylist(), width)
             limits = []
-            for at in range(0, len(ids), TILE):
+            for at in range(0, len(asking), TILE):
                 scores = (found[at : at + TILE] @ seed_vectors.T).astype(float)
-                scores[ids[at : at + TILE][:, None] == seed_ids[None, :]] = -np.inf
+                scores[asking[at : at + TILE][:, None] == seed_rows[None, :]] = -np.inf
                 limits += np.sort(scores, axis=1)[:, -k].tolist() if scores.shape[1] >= k else [-np.inf] * len(scores)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(limits, pa.float64())], ["id", "v", "limit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(limits, pa.float64())], ["row", "id", "v", "limit"])
 
-    asked = rows.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v").distinct()
-    asked = asked.mapInArrow(first_limits, "id bigint, v array<double>, limit double")
+    asked = rows.filter(F.pmod("id", F.lit(every)) == 0).select("row", "id", "v")
+    asked = asked.mapInArrow(first_limits, "row bigint, id bigint, v array<double>, limit double")
     n_queries = rows.filter(F.pmod("id", F.lit(every)) == 0).count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    asked = common.written(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(2 * blocks - 1)).cast("int")), "queries")
-    ordered = rows.repartitionByRange(common.parallelism(spark), F.desc("length")).sortWithinPartitions(F.desc("length"), "id").select("id", "v")
+    asked = common.written(asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(2 * blocks - 1)).cast("int")), "queries")
+    ordered = rows.repartitionByRange(common.parallelism(spark), F.desc("length")).sortWithinPartitions(F.desc("length"), "id").select("row", "id", "v")
     parts = []
     for block in range(2 * blocks - 1):
         mine = list(asked.filter(F.col("block") == block).toLocalIterator())  # some QUERY_BLOCK rows, by the hash
         if not mine:
             continue
-        queries = spark.sparkContext.broadcast(Queries(np.array([r["id"] for r in mine], np.int64), _floors([r["v"] for r in mine], width), np.array([r["limit"] for r in mine])))
+        queries = spark.sparkContext.broadcast(Queries(*(np.array([r[c] for r in mine], np.int64) for c in ("id", "row")), _floors([r["v"] for r in mine], width), np.array([r["limit"] for r in mine])))
 
         def run(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
-            def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            def steps() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
                 for batch in batches:
                     for at in range(0, batch.num_rows, STEP):
                         part = batch.slice(at, STEP)
-                        yield part.column(0).to_numpy(), _floors(part.column(1).to_pylist(), width)
+                        yield part.column(0).to_numpy(), part.column(1).to_numpy(), _floors(part.column(2).to_pylist(), width)
 
             got = list(_search(queries.value, rotation, cut, k, steps()))
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(4)], ["row", "query_id", "vec_id", "score"])
 
         parts.append(ordered.mapInArrow(run, schema))
     found = parts[0] if parts else spark.createDataFrame([], schema)
     for more in parts[1:]:
         found = found.union(more)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
