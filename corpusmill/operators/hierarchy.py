@@ -110,7 +110,7 @@ def structure_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type, doc_id, domain, title, level, first_line, last_line, start, end, preview, has_content) and CONTAINS_STRUCTURE edges
     (source, target, type, relationship_name, first_line, domain) from the document or the section around to each structure.
     """
-    placed = docs.select("doc_id", "text", graph.domain_of(F.col("text")).alias("domain"))
+    placed = graph.with_domain(docs.select("doc_id", "text"))
     rows = document_structures(placed, "domain").select("doc_id", "domain", F.explode_outer("nodes").alias("n"))
     identity = structure_node(F.col("doc_id"), F.col("n.type"), F.col("n.node"))
     parent = F.try_element_at("n.path", F.lit(-1))
@@ -160,7 +160,7 @@ def structure_entities(docs: DataFrame, keywords: DataFrame) -> DataFrame:
     A word in no structure's content goes to the document's first structure. A document's words meet its text in one row.
     """
     listed = entity_words(keywords).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("extractor", "word", "score", "category"))).alias("words"))
-    both = docs.select("doc_id", "text").join(listed, "doc_id").withColumn("domain", graph.domain_of(F.col("text")))
+    both = graph.with_domain(docs.select("doc_id", "text").join(listed, "doc_id"))
     rows = document_structures(both, "domain", "words")
     low = F.transform("nodes", lambda n: F.lower(n["content"]))
     hits = rows.withColumn("hits", F.transform(low, lambda c: F.filter("words", lambda w: c.contains(w["word"]))))

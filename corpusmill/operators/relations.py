@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.sources import tables
 
+from .graph import entity_type
 from .hierarchy import DEFAULT_RELATION
 
 #: Relations of two types of entities by domain. In the technical domain a pair the other way round has the reversed name.
@@ -75,7 +76,7 @@ def _near_pairs(low: str, words: list[str]) -> list[tuple[int, int, int, int, in
     return out
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], carried: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: dict[str, list] = {c: [] for c in ("row", "source", "target", "gap", "context")}
         for row, (text, low, words) in enumerate(zip(batch["text"].to_pylist(), batch["low"].to_pylist(), batch["words"].to_pylist(), strict=True)):
@@ -83,21 +84,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 context = text[max(0, min(a, b) - AROUND) : max(a + len(words[i]), b + len(words[j])) + AROUND].strip(" \t\n\r\f\v")
                 for c, value in zip(rows, (row, words[i], words[j], gap, context[:CONTEXT_CHARS] + "..." * (len(context) > CONTEXT_CHARS)), strict=True):
                     rows[c].append(value)
-        taken = batch["doc_id"].take(pa.array(rows.pop("row"), pa.int64()))
-        yield pa.RecordBatch.from_pydict({"doc_id": taken, "source": pa.array(rows["source"], pa.string()), "target": pa.array(rows["target"], pa.string()), "gap": pa.array(rows["gap"], pa.int32()), "context": pa.array(rows["context"], pa.string())})
+        at = pa.array(rows.pop("row"), pa.int64())
+        yield pa.RecordBatch.from_pydict({**{c: batch[c].take(at) for c in ("doc_id", *carried)}, "source": pa.array(rows["source"], pa.string()), "target": pa.array(rows["target"], pa.string()), "gap": pa.array(rows["gap"], pa.int32()), "context": pa.array(rows["context"], pa.string())})
 
 
-def near_contexts(words: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, source, target, gap, context): each two words (doc_id, word, score) of a document that stand near, and the text around their closest hits.
+def near_contexts(words: DataFrame, docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, *carried, source, target, gap, context): each two words (doc_id, word, score) of a document that stand near, and the text around their closest hits.
 
     Near are hits, of words in lower case, at most 100 characters apart with no end of a sentence or block between. The better scored word is
     the source, equal ones in order. Of equally close hits the first of the source, then of the target counts. A hundred characters around
-    the hits, bare at its ends, cut at 200. Words of a document meet its text in one row; documents without words have no rows.
+    the hits, bare at its ends, cut at 200. Words of a document meet its text in one row; documents without words have no rows. `carried` are string
+    columns of `words` that are the same in all rows of a document.
     """
-    best = words.groupBy("doc_id", "word").agg(F.max("score").alias("score"))
-    ranked = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "word"))).alias("w"))
-    both = docs.select("doc_id", "text").join(ranked.select("doc_id", F.transform("w", lambda x: x["word"]).alias("words")), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    return both.withColumn("low", F.lower("text")).mapInArrow(_contexts, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, target string, gap int, context string")
+    best = words.groupBy("doc_id", "word").agg(F.max("score").alias("score"), *[F.first(c).alias(c) for c in carried])
+    ranked = best.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in carried], F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "word"))).alias("w"))
+    both = docs.select("doc_id", "text").join(ranked.select("doc_id", *carried, F.transform("w", lambda x: x["word"]).alias("words")), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    return both.withColumn("low", F.lower("text")).mapInArrow(lambda batches: _contexts(batches, carried), f"doc_id {dict(docs.dtypes)['doc_id']}, {''.join(f'{c} string, ' for c in carried)}source string, target string, gap int, context string")
 
 
 def relation_rule(domain: Column, type1: Column, type2: Column, context: Column) -> Column:
@@ -127,12 +129,13 @@ def entity_relations(entities: DataFrame, docs: DataFrame) -> DataFrame:
     `entities` is what `hierarchy.structure_entities` gives. The better scored word comes first, equal ones in order. Only named relations of confidence 0.5
     or more count. A structure's entities are paired through the near pairs of its document, never all with all.
     """
-    entities = tables.written(entities.select("doc_id", "node", "id", "word", "score", "entity_type", "extractor", "domain"), "entities")
-    contexts = near_contexts(entities.select("doc_id", "word", "score"), docs)
-    side = lambda name: entities.select("doc_id", "node", F.col("word").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("id", "score", "entity_type", "extractor")], *(["domain"] if name == "source" else []))
-    pairs = contexts.join(side("source"), ["doc_id", "source"]).join(side("target"), ["doc_id", "target", "node"])
-    name = relation_rule(F.col("domain"), F.col("source_entity_type"), F.col("target_entity_type"), F.col("context"))
-    named = pairs.withColumn("relationship_name", name).filter(F.col("relationship_name").isNotNull() & (F.col("relationship_name") != DEFAULT_RELATION))
+    entities = tables.written(entities.select("doc_id", "node", "id", "word", "score", "extractor", "domain"), "entities")
+    contexts = near_contexts(entities.select("doc_id", "word", "score", "domain"), docs, "domain")
+    # a word's type follows from its document's domain, so pairs without a relation go before anything is joined
+    kind = lambda c: entity_type(F.col(c), F.col("domain"))
+    related = contexts.withColumn("relationship_name", relation_rule(F.col("domain"), kind("source"), kind("target"), F.col("context"))).filter(F.col("relationship_name").isNotNull() & (F.col("relationship_name") != DEFAULT_RELATION))
+    side = lambda name: entities.select("doc_id", "node", F.col("word").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("id", "score", "extractor")])
+    named = related.join(side("source"), ["doc_id", "source"]).join(side("target"), ["doc_id", "target", "node"])
     sure = named.withColumn("confidence", relation_confidence(F.col("relationship_name"), F.col("source_score"), F.col("target_score"), F.col("context"))).filter(F.col("confidence") >= LEAST_CONFIDENCE)
     return sure.select("doc_id", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relationship_name", "confidence", F.substring("context", 1, 100).alias("context_snippet"), F.col("source_extractor").alias("extractor"))
 
