@@ -148,17 +148,14 @@ def test_domain_golden(spark, make_docs):
     assert scores["technical"] == pytest.approx(2 / 15 * 0.6 + 0.4, abs=1e-6)
 
 
-def test_walks_have_no_row_limit(spark):
-    """More sections than a recursive query may return, in chains of four with a second leaf at the root."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
-    try:
-        parents = spark.createDataFrame([(d, n, up) for d in range(60) for n, up in ((1, None), (3, 1), (4, 3), (7, 4), (9, 1))], "doc_id bigint, line_no int, parent_line int")
-        found = {(r.doc_id, r.line_no): r.depth for r in graph.depths(parents).collect()}
-        assert found == {(d, n): k for d in range(60) for n, k in ((1, 0), (3, 1), (4, 2), (7, 3), (9, 1))}
-        assert sorted(r.path for r in records.leaf_paths(parents).collect()) == ["1>3>4>7"] * 60 + ["1>9"] * 60
-        assert graph.depths(parents.limit(0)).count() == 0
-    finally:
-        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+def test_walks_of_many_sections(spark):
+    """Chains of four with a second leaf at the root, from the levels of headings."""
+    rows = [(d, n, level) for d in range(60) for n, level in ((1, 1), (3, 2), (4, 3), (7, 4), (9, 2))]
+    parents = structure.section_parents(spark.createDataFrame(rows, "doc_id bigint, line_no int, level int"))
+    found = {(r.doc_id, r.line_no): r.depth for r in graph.depths(parents).collect()}
+    assert found == {(d, n): k for d in range(60) for n, k in ((1, 0), (3, 1), (4, 2), (7, 3), (9, 1))}
+    assert sorted(r.path for r in records.leaf_paths(parents).collect()) == ["1>3>4>7"] * 60 + ["1>9"] * 60
+    assert graph.depths(parents.limit(0)).count() == 0
 
 
 def test_upsert(spark):
@@ -170,17 +167,3 @@ def test_upsert(spark):
 def test_unknown_extractor(make_docs):
     with pytest.raises(ValueError):
         keywords.multi_extract(make_docs([(1, "x")]), ["nothing"])
-
-
-def test_streaming(spark, make_docs, tmp_path):
-    from corpusmill.streaming import jobs
-
-    docs = make_docs([(i, f"Alpha beta gamma alpha number{i}") for i in range(20)])
-    docs.repartition(3).write.parquet(f"{tmp_path}/in")
-    stream = jobs.stream_documents(spark, f"{tmp_path}/in")
-    jobs.stream_upsert(stream, f"{tmp_path}/occ", f"{tmp_path}/c1").awaitTermination()
-    found = {tuple(r) for r in jobs.latest(spark, f"{tmp_path}/occ").select("doc_id", "keyword", "extractor").collect()}
-    assert found == {tuple(r) for r in keywords.multi_extract(docs, ["simple", "pattern"]).select("doc_id", "keyword", "extractor").collect()}
-    totals: dict = {}
-    jobs.stream_stats(stream, lambda df, _: totals.update({r.keyword: r.n for r in df.collect()}), f"{tmp_path}/c2").awaitTermination()
-    assert totals["alpha"] == 40
