@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -69,17 +69,22 @@ def per_document(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def located(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, keyword, extractor, score, category) with the place of their first hit, line, column, page and snippet."""
-    joined = rows.join(docs.select("doc_id", "text"), "doc_id")
-    at = F.expr("CAST(locate(keyword, text) - 1 AS INT)")
-    joined = joined.withColumn("start_position", F.when(at >= 0, at)).withColumn("end_position", (F.col("start_position") + F.length("keyword")).cast("int"))
+    """Rows (doc_id, keyword, extractor, score, category, ...) with the place of their first hit, line, column, page and snippet; further columns stay.
+
+    A document's rows meet its text in one row. A keyword that is null or does not occur has no place; line, column and page are then null too.
+    """
+    text = F.col("text")
+
+    def place(x: Column) -> Column:
+        return x.withField("start_position", F.when(F.position(x["keyword"], text) > 0, F.position(x["keyword"], text) - 1))
+
+    placed = per_document(rows, docs).select("doc_id", "text", F.explode(F.transform("found", place)).alias("x")).select("doc_id", "text", "x.*")
+    placed = placed.withColumn("end_position", (F.col("start_position") + F.length("keyword")).cast("int"))
     before = F.expr("substring(text, 1, start_position)")
-    return joined.select(
-        "doc_id", "keyword", "extractor", "score", "category", "start_position", "end_position",
-        snippet(F.col("text"), F.col("start_position"), F.col("end_position")).alias("context_snippet"),
-        (F.regexp_count(before, F.lit("\f")) + 1).alias("page_number"),
-        (F.regexp_count(before, F.lit("\n")) + 1).alias("line_number"),
-        (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column_number"),
+    return placed.select(
+        "doc_id", "keyword", "extractor", "score", "category", "start_position", "end_position", snippet(text, F.col("start_position"), F.col("end_position")).alias("context_snippet"),
+        (F.regexp_count(before, F.lit("\f")) + 1).alias("page_number"), (F.regexp_count(before, F.lit("\n")) + 1).alias("line_number"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column_number"),
+        *[c for c in rows.columns if c not in ("doc_id", "keyword", "extractor", "score", "category")],
     )
 
 
@@ -147,7 +152,45 @@ def freq_keywords(docs: DataFrame, n: int = 10, distinct_first: bool = False) ->
     return best.select("doc_id", "keyword", F.lit("freq").alias("extractor"), F.round(F.least(F.lit(1.0), F.col("n") / F.col("all") * 10), 6).alias("score"), F.lit(None).cast("string").alias("category"))
 
 
-EXTRACTORS = {"simple": simple_keywords, "pattern": pattern_entities, "freq": freq_keywords}
+Extractor = Callable[[DataFrame], DataFrame]
+#: Extractors by name; each takes documents and gives (doc_id, keyword, extractor, score, category), and may give `error`.
+EXTRACTORS: dict[str, Extractor] = {"simple": simple_keywords, "pattern": pattern_entities, "freq": freq_keywords}
+
+
+def available() -> list[str]:
+    return sorted(EXTRACTORS)
+
+
+def register(name: str, extractor: Extractor) -> None:
+    """Add an extractor; a name is given once."""
+    if name in EXTRACTORS:
+        raise ValueError(f"there is an extractor {name}")
+    EXTRACTORS[name] = extractor
+
+
+def text_extractor(name: str, extract: Callable[[str], Iterable[tuple[str, float, str | None]]]) -> Extractor:
+    """An extractor from a function of one text that gives (keyword, score, category). A text on which it fails gives one row without a keyword, with
+    the error; the other texts are not affected. A null text is not shown to it.
+    """
+
+    def run(docs: DataFrame) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, rows = [], []
+                for i, text in enumerate(batch["text"].to_pylist()):
+                    try:
+                        found = [(k, name, float(score), category, None) for k, score, category in extract(text)] if text is not None else []
+                    except Exception as error:  # whatever a foreign function raises is that text's alone
+                        found = [(None, name, None, None, f"{type(error).__name__}: {error}")]
+                    at += [i] * len(found)
+                    rows += found
+                keyword, extractor, score, category, error = zip(*rows, strict=True) if rows else ((),) * 5
+                strings = {"keyword": keyword, "extractor": extractor, "category": category, "error": error}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(at, pa.int64())), "score": pa.array(score, pa.float64()), **{c: pa.array(v, pa.string()) for c, v in strings.items()}})
+
+        return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, keyword string, extractor string, category string, error string")
+
+    return run
 
 
 def multi_extract(docs: DataFrame, methods: list[str]) -> DataFrame:
@@ -158,6 +201,25 @@ def multi_extract(docs: DataFrame, methods: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [EXTRACTORS[m](docs).select(*columns) for m in methods])
 
 
+def extract_occurrences(docs: DataFrame, methods: list[str]) -> DataFrame:
+    """All ten columns of the occurrences of the chosen extractors, and `error`: null but for texts on which an extractor failed.
+
+    An unknown name is refused before anything runs. An extractor that cannot be planned gives a row with its error for every document and leaves
+    the others alone.
+    """
+    if unknown := set(methods) - set(EXTRACTORS):
+        raise ValueError(f"unknown extractors: {sorted(unknown)}")
+    columns, parts = ["doc_id", "keyword", "extractor", "score", "category"], []
+    for name in methods:
+        try:
+            rows = EXTRACTORS[name](docs)
+            parts.append(rows.select(*columns, F.col("error") if "error" in rows.columns else F.lit(None).cast("string").alias("error")))
+        except Exception as error:  # the extractor is foreign code; its failure is reported in its rows
+            none = F.lit(None).cast("string")
+            parts.append(docs.select("doc_id", none.alias("keyword"), F.lit(name).alias("extractor"), F.lit(None).cast("double").alias("score"), none.alias("category"), F.lit(f"{type(error).__name__}: {error}").alias("error")))
+    return located(reduce(DataFrame.unionByName, parts), docs)
+
+
 def best_per_keyword(occ: DataFrame) -> DataFrame:
     """The best row of each keyword and extractor."""
     w = Window.partitionBy("keyword", "extractor").orderBy(F.desc("score"), "doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
@@ -11,6 +13,17 @@ from corpusmill.operators import positions as p
 from .texts import D_STOPS, d_meaningful, docs
 
 ALL: dict = {}
+
+
+def first_word(text: str) -> list[tuple[str, float, str | None]]:
+    """An extractor that cannot read texts with two exclamation marks."""
+    if "!!" in text:
+        raise ValueError("unreadable")
+    return [(w, 0.5, "first") for w in re.findall("[A-Za-z]+", text)[:1]]
+
+
+if "first_word" not in k.available():
+    k.register("first_word", k.text_extractor("first_word", first_word))
 METHODS = ["simple", "pattern", "freq"]
 
 
@@ -133,3 +146,10 @@ add(
     "d26_text_profile", lambda s, d: p.text_profile(docs(s, d)),
     f"WITH {D_OCC}, t3 AS (SELECT doc_id, string_agg(keyword || ':' || n, ',' ORDER BY rank) AS top FROM simple GROUP BY 1) SELECT d.doc_id, CAST(length(text) AS INT) AS chars, CAST(len(regexp_extract_all(text, '[A-Za-z]')) AS INT) AS latin, CAST(len(regexp_extract_all(text, '[가-힣]')) AS INT) AS hangul, coalesce(top, '') AS top FROM documents d LEFT JOIN t3 USING (doc_id)",
 )
+add(
+    "u01_extract_occurrences", lambda s, d: k.extract_occurrences(docs(s, d), [*METHODS, "first_word"]),
+    f"WITH {D_OCC}, al AS (SELECT *, NULL AS error FROM occ UNION ALL SELECT doc_id, CASE WHEN contains(text, '!!') THEN NULL ELSE regexp_extract(text, '[A-Za-z]+') END, 'first_word', CASE WHEN contains(text, '!!') THEN NULL ELSE 0.5 END, CASE WHEN contains(text, '!!') THEN NULL ELSE 'first' END, CASE WHEN contains(text, '!!') THEN 'ValueError: unreadable' END FROM documents WHERE contains(text, '!!') OR regexp_matches(text, '[A-Za-z]')), "
+    "pl AS (SELECT al.*, text, CAST(nullif(strpos(text, keyword), 0) - 1 AS INT) AS p, CAST(nullif(strpos(text, keyword), 0) - 1 + length(keyword) AS INT) AS q FROM al JOIN documents USING (doc_id)) "
+    "SELECT doc_id, keyword, extractor, CAST(score AS DOUBLE) AS score, category, p AS start_position, q AS end_position, CASE WHEN p > 50 THEN '...' ELSE '' END || substr(text, greatest(p - 50, 0) + 1, least(q + 50, length(text)) - greatest(p - 50, 0)) || CASE WHEN q + 50 < length(text) THEN '...' ELSE '' END AS context_snippet, "
+    "CAST(length(substr(text, 1, p)) - length(replace(substr(text, 1, p), chr(12), '')) + 1 AS INT) AS page_number, CAST(length(substr(text, 1, p)) - length(replace(substr(text, 1, p), chr(10), '')) + 1 AS INT) AS line_number, CAST(p - coalesce(length(regexp_extract(substr(text, 1, p), '(?s)^.*\\n')), 0) + 1 AS INT) AS column_number, error FROM pl",
+)
