@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as t
 
 OCCURRENCE = "doc_id bigint, keyword string, extractor string, score double, category string, start_position int, end_position int, context_snippet string, page_number int, line_number int, column_number int"
-#: Capitalised words that are no names.
-NO_NAMES = ("The", "This", "That", "These", "Those", "And", "But", "For", "With", "From", "Are", "Was", "Were", "Not", "You", "All", "Can", "Has", "Have", "Had", "Its")
+#: Words, in lower case, that are no names though they begin with a capital.
+NO_NAMES = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "this", "that", "with", "from", "they", "have", "more", "will", "been", "were", "said", "each", "which", "their", "time", "would", "there", "what", "about", "when", "after", "first", "other", "many",
+    "some", "very", "come", "could", "make", "know", "just", "into", "over", "think", "also", "back", "only", "good", "work", "life", "way", "even", "new", "want", "because", "any", "these", "give", "day", "most", "us",
+)
 #: Confidence of entity labels, those of English models first, then those of Korean ones; any other label gets the default.
 LABEL_CONFIDENCE = {
     "PERSON": 0.9, "ORG": 0.85, "LOC": 0.8, "DATE": 0.75, "TIME": 0.7, "MONEY": 0.85, "PERCENT": 0.8, "MISC": 0.6,
@@ -133,13 +136,13 @@ def simple_keywords(docs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def pattern_entities(docs: DataFrame, n: int = 20) -> DataFrame:
-    """Years, sums of money, organisations and places by their Hangul endings, and capitalised words, once per document."""
+    """Years, sums of money, organisations and places by their Hangul endings, and capitalised words, once per document in any case, as they are first spelled."""
     suffixes = ORGANISATION_ENDINGS, PLACE_ENDINGS
     kinds = [("DATE", 0.8, r"\d{4}년"), ("MONEY", 0.85, r"\d+[억만천]?원"), ("ORG", 0.75, f"[가-힣]{{2,}}(?:{suffixes[0]})"), ("LOC", 0.7, f"[가-힣]{{2,}}(?:{suffixes[1]})")]
     every = [docs.select("doc_id", F.lit(c).alias("category"), F.lit(s).alias("score"), F.posexplode(F.regexp_extract_all("text", F.lit(p), 0)).alias("i", "keyword")) for c, s, p in kinds]
-    names = tokens(docs).filter(F.col("w").rlike("^[A-Z][A-Za-z]{2,}$") & ~F.col("w").isin(*NO_NAMES)).select("doc_id", F.lit("MISC").alias("category"), F.lit(0.6).alias("score"), "i", F.col("w").alias("keyword"))
-    found = reduce(DataFrame.unionByName, [*every, names]).groupBy("doc_id", "keyword", "category", "score").agg(F.min("i").alias("first"))
-    best = top(found, [F.desc("score"), "first", "keyword"], n)
+    names = tokens(docs).filter(F.col("w").rlike("^[A-Z][A-Za-z]{2,}$") & ~F.lower("w").isin(*NO_NAMES)).select("doc_id", F.lit("MISC").alias("category"), F.lit(0.6).alias("score"), "i", F.col("w").alias("keyword"))
+    found = reduce(DataFrame.unionByName, [*every, names]).groupBy("doc_id", F.lower("keyword").alias("low"), "category", "score").agg(F.min(F.struct("i", "keyword")).alias("f"))
+    best = top(found.select("doc_id", "category", "score", F.col("f.i").alias("first"), F.col("f.keyword").alias("keyword")), [F.desc("score"), "first", "keyword"], n)
     return best.select("doc_id", "keyword", F.lit("pattern").alias("extractor"), "score", "category")
 
 

@@ -9,7 +9,7 @@ from corpusmill.functions import arrays
 
 #: What shows a table, figure, reference, footnote or list line.
 ELEMENTS = {
-    "tables": r"\|.*\||[<\[]?\s*표\s*\d+|(?i:Table\s*\d+|<table)|┌|├|└|─|│",
+    "tables": r"\|.*\||[<\[]?\s*표\s*\d+|[표表]\s*[\d一二三四五六七八九十]+|(?i:Table\s*\d+|<table)|┌|├|└|─|│",
     "figures": r"(?i:그림\s*\d+|Figure\s*\d+|Fig\.\s*\d+|차트\s*\d+|Chart\s*\d+|도표\s*\d+|사진\s*\d+|이미지\s*\d+)|!\[.*\]\(.*\)",
     "references": r"^\[\d+\]|참고문헌|(?i:References|Bibliography)",
     "footnotes": r"\[\^\d+\]|주\s*\d+[:\)]",

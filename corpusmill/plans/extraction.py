@@ -39,8 +39,8 @@ _NAMES = ", ".join(f"'{w}'" for w in k.NO_NAMES)
 D_OCC = f"""{D_COUNTED},
 simple AS (SELECT doc_id, keyword, 'simple' AS extractor, round(0.8 - (row_number() OVER w - 1) * 0.1, 1) AS score, 'noun' AS category, row_number() OVER w AS rank, n FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, first) QUALIFY row_number() OVER w <= 10),
 pats AS (SELECT doc_id, 'DATE' AS category, 0.8 AS score, unnest(regexp_extract_all(text, '\\d{{4}}년')) AS keyword, 0 AS i FROM documents
-  UNION ALL SELECT doc_id, 'MISC', 0.6, w, i FROM tok WHERE regexp_matches(w, '^[A-Z][A-Za-z]{{2,}}$') AND w NOT IN ({_NAMES})),
-pat AS (SELECT doc_id, keyword, 'pattern' AS extractor, score, category FROM (SELECT doc_id, keyword, category, score, min(i) AS first FROM pats GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, keyword) <= 20),
+  UNION ALL SELECT doc_id, 'MISC', 0.6, w, i FROM tok WHERE regexp_matches(w, '^[A-Z][A-Za-z]{{2,}}$') AND lower(w) NOT IN ({_NAMES})),
+pat AS (SELECT doc_id, keyword, 'pattern' AS extractor, score, category FROM (SELECT doc_id, arg_min(keyword, i) AS keyword, category, score, min(i) AS first FROM pats GROUP BY doc_id, lower(keyword), category, score) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, keyword) <= 20),
 fw AS (SELECT doc_id, lower(w) AS keyword, count(*) AS n, min(i) AS first FROM tok WHERE regexp_matches(w, '^[A-Za-z]{{3,}}$|^[가-힣]{{2,}}$') AND {d_meaningful('w')} GROUP BY ALL),
 fr AS (SELECT doc_id, keyword, 'freq' AS extractor, round(least(1.0, n / sum(n) OVER (PARTITION BY doc_id) * 10), 6) AS score, NULL AS category, first, n FROM fw QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) <= 10),
 occ AS (SELECT doc_id, keyword, extractor, CAST(score AS DOUBLE) AS score, category FROM simple UNION ALL SELECT doc_id, keyword, extractor, CAST(score AS DOUBLE), category FROM pat UNION ALL SELECT doc_id, keyword, extractor, score, category FROM fr)"""
@@ -70,8 +70,8 @@ add(
     f"WITH hd AS (SELECT doc_id, text || '{_HANGUL}' AS text FROM documents), x AS (SELECT doc_id, 'DATE' AS category, 0.8 AS score, regexp_extract_all(text, '\\d{{4}}년') AS ks FROM hd UNION ALL SELECT doc_id, 'MONEY', 0.85, regexp_extract_all(text, '\\d+[억만천]?원') FROM hd "
     "UNION ALL SELECT doc_id, 'ORG', 0.75, regexp_extract_all(text, '[가-힣]{2,}(전자|그룹|회사|기업|산업|코퍼레이션|Corporation|Inc|Ltd)') FROM hd UNION ALL SELECT doc_id, 'LOC', 0.7, regexp_extract_all(text, '[가-힣]{2,}(시|도|구|군|동|면|읍|특별시|광역시)') FROM hd), "
     "h AS (SELECT doc_id, category, score, unnest(ks) AS keyword, generate_subscripts(ks, 1) AS i FROM x), w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS ws FROM hd)), "
-    "e AS (SELECT * FROM h UNION ALL SELECT doc_id, 'MISC', 0.6, w, i FROM w WHERE regexp_matches(w, '^[A-Z][A-Za-z]{2,}$') AND w NOT IN ('The', 'This', 'That', 'These', 'Those', 'And', 'But', 'For', 'With', 'From', 'Are', 'Was', 'Were', 'Not', 'You', 'All', 'Can', 'Has', 'Have', 'Had', 'Its')) "
-    "SELECT doc_id, keyword, 'pattern' AS extractor, CAST(score AS DOUBLE) AS score, category FROM (SELECT doc_id, keyword, category, score, min(i) AS first FROM e GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, keyword) <= 20",
+    "e AS (SELECT * FROM h UNION ALL SELECT doc_id, 'MISC', 0.6, w, i FROM w WHERE regexp_matches(w, '^[A-Z][A-Za-z]{2,}$') AND lower(w) NOT IN ('the', 'and', 'for', 'are', 'but', 'not', 'you', 'all', 'this', 'that', 'with', 'from', 'they', 'have', 'more', 'will', 'been', 'were', 'said', 'each', 'which', 'their', 'time', 'would', 'there', 'what', 'about', 'when', 'after', 'first', 'other', 'many', 'some', 'very', 'come', 'could', 'make', 'know', 'just', 'into', 'over', 'think', 'also', 'back', 'only', 'good', 'work', 'life', 'way', 'even', 'new', 'want', 'because', 'any', 'these', 'give', 'day', 'most', 'us')) "
+    "SELECT doc_id, keyword, 'pattern' AS extractor, CAST(score AS DOUBLE) AS score, category FROM (SELECT doc_id, arg_min(keyword, i) AS keyword, category, score, min(i) AS first FROM e GROUP BY doc_id, lower(keyword), category, score) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, keyword) <= 20",
 )
 add("d08_entity_dedup_topk", lambda s, d: k.entity_top(occurrences(s, d), 10).drop("rank"), f"WITH {D_OCC}, o AS (SELECT * FROM occ QUALIFY row_number() OVER (PARTITION BY doc_id, lower(keyword), category ORDER BY score DESC, keyword) = 1) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword, extractor) <= 10")
 add(

@@ -38,7 +38,9 @@ sec AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, CASE style WHEN 'numbere
  CAST(CASE style WHEN 'numbered' THEN len(string_split(regexp_extract(s, '^\\d+(\\.\\d+)*'), '.')) WHEN 'markdown' THEN length(regexp_extract(s, '^#+')) WHEN 'separator' THEN 2 WHEN 'isolated' THEN 3 ELSE 1 END AS INT) AS level, style FROM sty WHERE style IS NOT NULL)"""
 _sections = lambda s, d: st.sections(headed(s, d))
 add("e01_section_detect", _sections, f"WITH {D_SECTIONS} SELECT * FROM sec")
-add("e02_element_counts", lambda s, d: st.element_counts(headed(s, d)), f"WITH {D_SECTIONS} SELECT doc_id, " + ", ".join(f"CAST(count_if(regexp_matches(line, '{p}')) AS BIGINT) AS {n}" for n, p in st.ELEMENTS.items()) + " FROM sty WHERE s <> '' AND (style IS NULL OR style = 'isolated') GROUP BY doc_id")
+add("e02_element_counts", lambda s, d: st.element_counts(headed(s, d)), f"WITH {D_SECTIONS} SELECT doc_id, CAST(count_if(regexp_matches(line, '\\|.*\\||[<\\[]?\\s*표\\s*\\d+|[표表]\\s*[\\d一二三四五六七八九十]+|(?i:Table\\s*\\d+|<table)|┌|├|└|─|│')) AS BIGINT) AS tables, "
+    "CAST(count_if(regexp_matches(line, '(?i:그림\\s*\\d+|Figure\\s*\\d+|Fig\\.\\s*\\d+|차트\\s*\\d+|Chart\\s*\\d+|도표\\s*\\d+|사진\\s*\\d+|이미지\\s*\\d+)|!\\[.*\\]\\(.*\\)')) AS BIGINT) AS figures, CAST(count_if(regexp_matches(line, '^\\[\\d+\\]|참고문헌|(?i:References|Bibliography)')) AS BIGINT) AS \"references\", "
+    "CAST(count_if(regexp_matches(line, '\\[\\^\\d+\\]|주\\s*\\d+[:\\)]')) AS BIGINT) AS footnotes, CAST(count_if(regexp_matches(line, '^\\s*[-*•]\\s+|^\\s*\\d+[.)]\\s+|^\\s*[A-Za-z][.)]\\s+')) AS BIGINT) AS lists FROM sty WHERE s <> '' AND (style IS NULL OR style = 'isolated') GROUP BY doc_id")
 add("e03_outline_summary", lambda s, d: st.outline_summary(_sections(s, d)), f"WITH {D_SECTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM sec) SELECT doc_id, count(*) AS total, max(level) AS max_level, bool_or(regexp_matches(title, '서론|Introduction|개요')) AS has_introduction, bool_or(regexp_matches(title, '결론|Conclusion|맺음')) AS has_conclusion, string_agg(title, '|' ORDER BY line_no) FILTER (r <= 20) AS main, CASE WHEN count(*) > 3 THEN 'good' ELSE 'poor' END AS quality FROM r GROUP BY doc_id")
 add("e09_md_sections", lambda s, d: _sections(s, d).filter("style = 'markdown'").select("doc_id", "line_no", "level", "title"), f"WITH {D_SECTIONS} SELECT doc_id, line_no, level, title FROM sec WHERE style = 'markdown'")
 add("k10_section_parent", lambda s, d: st.section_parents(_sections(s, d)).drop("path"), f"WITH {D_SECTIONS} SELECT a.doc_id, a.line_no, max(b.line_no) AS parent_line FROM sec a LEFT JOIN sec b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.level < a.level GROUP BY ALL")

@@ -13,7 +13,7 @@ from corpusmill.plans import registry
 from test_operators import SMALL, duck, test_query  # noqa: F401
 
 STRUCTURE = ["k10_section_parent", "k11_structures", "k11_structure_nodes", "k11_structure_edges", "k12_structure_entities", "k12_structure_entity_edges", "q10_entity_density_by_section", "q11_same_container_pairs", "q12_depth_distribution", "q13_domain_type_patterns", "q14_leaf_paths", "k06_entity_props", "k07_relation_by_context", "k16_closest_context", "k17_relation_rule", "k18_relation_confidence", "k19_known_stack_pairs", "k_entity_relations"]
-CHUNKS = ["f01_heading_class", "f02_tree_nodes", "f03_chunk_level", "f04_chunk_build", "f06_boundary_check", "f07_chunk_text", "f13_merged_nodes", "f13_merged_edges"]
+CHUNKS = ["f01_heading_class", "f02_tree_nodes", "f03_chunk_level", "f04_chunk_build", "f06_boundary_check", "f07_chunk_text", "f13_merged_nodes", "f13_merged_edges", "e02_element_counts", "e21_document_type", "e22_image_filter", "e22_image_filter_once", "e24_ocr_rows_to_table", "k21_outline_sections", "k21_outline_edges", "k21_outline_keywords", "u01_extract_occurrences", "d07_pattern_entities"]
 
 
 @pytest.mark.parametrize("name", STRUCTURE + CHUNKS)
@@ -132,3 +132,95 @@ def test_merged_graphs_keep_the_last_value_and_the_first_edge(spark):
     merged, once = chunks.merge_graphs(nodes, edges)
     assert sorted((r.id, r.type, r.props, r.graphs) for r in merged.collect()) == [("a", "X", {"p": "2", "q": "1"}, 2), ("b", "Y", {}, 2)]
     assert sorted(tuple(r) for r in once.collect()) == [("a", "b", "T", 1), ("b", "a", "T", 1)]
+
+
+def test_tables_by_numerals_of_any_kind(spark):
+    from corpusmill.operators import structure
+
+    rows = structure.element_counts(docs_of(spark, "see 표 三, it is long enough to be no heading at all, as it ends.\n表十 of these long lines that are no heading at all, as it ends.\nTable 3, in a long line that is no heading at all, as it ends.\nnone of them, in a long line."))
+    assert [r.tables for r in rows.collect()] == [3]
+
+
+def test_names_are_told_in_any_case(spark):
+    from corpusmill.operators import keywords
+
+    rows = keywords.pattern_entities(docs_of(spark, "Which Alpha and ALPHA They were Was Berlin", None, "")).collect()
+    assert [(r.keyword, r.category) for r in rows] == [("Alpha", "MISC"), ("Was", "MISC"), ("Berlin", "MISC")]
+
+
+def test_an_extractor_that_fails_leaves_the_others_alone(spark):
+    from corpusmill.operators import keywords
+
+    def bad(docs):
+        raise RuntimeError("no model")
+
+    def picky(text):
+        if "x" in text:
+            raise KeyError("x")
+        return [(text.split()[0], 0.5, None)]
+
+    keywords.register("test_bad", bad)
+    keywords.register("test_picky", keywords.text_extractor("test_picky", picky))
+    try:
+        assert {"simple", "pattern", "freq", "test_bad", "test_picky"} <= set(keywords.available())
+        rows = keywords.extract_occurrences(docs_of(spark, "alpha beta\nalpha", "xalpha yes", None), ["simple", "test_bad", "test_picky"]).collect()
+    finally:
+        del keywords.EXTRACTORS["test_bad"], keywords.EXTRACTORS["test_picky"]
+    found = {(r.doc_id, r.extractor, r.keyword): (r.start_position, r.line_number, r.column_number, r.error) for r in rows}
+    assert found[0, "simple", "alpha"] == (0, 1, 1, None) and found[0, "test_picky", "alpha"] == (0, 1, 1, None)
+    assert found[1, "test_picky", None] == (None, None, None, "KeyError: 'x'") and found[1, "simple", "xalpha"][0] == 0
+    assert {d for d, e, k in found if e == "test_bad" and k is None and found[d, e, k][3] == "RuntimeError: no model"} == {0, 1, 2}
+    with pytest.raises(ValueError):
+        keywords.extract_occurrences(docs_of(spark, "a"), ["none"])
+
+
+def test_box_rows_against_a_plain_version(spark):
+    from corpusmill.operators import layout
+
+    rng = random.Random(9)
+    tokens = [(d, p, i, rng.choice("abcdef"), rng.choice([0.2, 0.3, 0.9, None]), float(x := rng.randrange(0, 400, 50)), x + 20.0, float(y := rng.randrange(0, 200, 6)), y + 10.0) for d in range(3) for p in range(2) for i in range(40)]
+    schema = "doc_id int, page int, i int, text string, confidence double, x_min double, x_max double, y_min double, y_max double"
+    found = {(r.doc_id, r.page): (r.text, r.tables) for r in layout.ocr_text(spark.createDataFrame(tokens, schema)).collect()}
+    expected = {}
+    for d, p in {t[:2] for t in tokens}:
+        rows = []
+        for t in sorted((t for t in tokens if t[:2] == (d, p) and t[4] and t[4] > 0.3), key=lambda t: ((t[7] + t[8]) / 2, t[2])):
+            y = (t[7] + t[8]) / 2
+            if rows and abs(y - sum(r[0] for r in rows[-1]) / len(rows[-1])) < 15:
+                rows[-1].append((y, t))
+            else:
+                rows.append([(y, t)])
+        cells = [[t[3] for _, t in sorted(r, key=lambda x: x[1][5] + x[1][6])] for r in rows]
+        parts, run = [], []
+        for c in [*cells, None]:
+            if c is not None and len(c) > 1 and (not run or abs(len(c) - sum(map(len, run)) / len(run)) <= 2):
+                run.append(c)
+                continue
+            if len(run) > 1:
+                n = max(map(len, run))
+                lines = ["| " + " | ".join(r + [""] * (n - len(r))) + " |" for r in run]
+                parts.append((1, "\n".join([lines[0], "|" + "---|" * n, *lines[1:]]) + ("\n" if c is not None else "")))
+            elif run:
+                parts.append((0, " ".join(run[0])))
+            run = []
+            if c is not None:
+                parts.append((0, " ".join(c)))
+        expected[d, p] = ("\n".join(t for _, t in parts), sum(k for k, _ in parts))
+    assert found == expected and max(n for _, n in found.values()) > 0
+
+
+def test_outlines(spark):
+    from corpusmill.operators import outlines
+
+    deep = {"title": "t0", "keywords": ["a"]}
+    for i in range(1, 400):
+        deep = {"title": f"t{i}", "children": [deep]}
+    import json
+
+    replies = [(1, "n", json.dumps({"structureAnalysis": [deep]})), (2, "n", "no json"), (3, None, None), (4, "n", "[1]"), (5, "n", json.dumps({"structureAnalysis": [{"unit": " CHAPTER ", "number": 1.5, "keywords": [" a ", "a", {"text": "b"}, 3], "sections": [{"name": 7}]}, "x"]}))]
+    nodes, edges = outlines.outline_graph(spark.createDataFrame(replies, "doc_id int, name string, reply string"))
+    found = nodes.collect()
+    assert {r.doc_id for r in found} == {1, 5} and max(r.level for r in found if r.doc_id == 1) == 400
+    five = [(r.type, r.title, r.unit, r.number, r.level, r.path, list(r.keywords)) for r in found if r.doc_id == 5]
+    assert five == [("Document", "n", None, None, 0, None, []), ("DocumentSection", "Level1_Section_1", "chapter", "15", 1, "0", ["a", "b"]), ("SectionKeyword", "a", "chapter", "15", 1, "0", []), ("SectionKeyword", "b", "chapter", "15", 1, "0", []), ("DocumentSubsection", "7", "절", "1", 2, "0.0", [])]
+    assert sorted(r.type for r in edges.filter("doc_id = 5").collect()) == ["CONTAINS_SECTION", "HAS_KEYWORD", "HAS_KEYWORD", "HAS_SUBSECTION"]
