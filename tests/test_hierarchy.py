@@ -10,7 +10,8 @@ from corpusmill.functions import arrays
 from corpusmill.operators import chunks, hierarchy, relations
 from corpusmill.plans import registry
 
-from test_operators import SMALL, duck, test_query  # noqa: F401
+import test_operators
+from test_operators import duck  # noqa: F401
 
 STRUCTURE = ["k10_section_parent", "k11_structures", "k11_structure_nodes", "k11_structure_edges", "k12_structure_entities", "k12_structure_entity_edges", "q10_entity_density_by_section", "q11_same_container_pairs", "q12_depth_distribution", "q13_domain_type_patterns", "q14_leaf_paths", "k06_entity_props", "k07_relation_by_context", "k16_closest_context", "k17_relation_rule", "k18_relation_confidence", "k19_known_stack_pairs", "k_entity_relations"]
 CHUNKS = ["f01_heading_class", "f02_tree_nodes", "f03_chunk_level", "f04_chunk_build", "f06_boundary_check", "f07_chunk_text", "f13_merged_nodes", "f13_merged_edges", "e02_element_counts", "e21_document_type", "e22_image_filter", "e22_image_filter_once", "e24_ocr_rows_to_table", "k21_outline_sections", "k21_outline_edges", "k21_outline_keywords", "u01_extract_occurrences", "d07_pattern_entities"]
@@ -19,7 +20,7 @@ CHUNKS = ["f01_heading_class", "f02_tree_nodes", "f03_chunk_level", "f04_chunk_b
 @pytest.mark.parametrize("name", STRUCTURE + CHUNKS)
 def test_queries(spark, duck, name):  # noqa: F811
     assert name in registry.ORACLES
-    test_query(spark, duck, name)
+    test_operators.test_query(spark, duck, name)
 
 
 def docs_of(spark, *texts):
