@@ -146,6 +146,19 @@ def pattern_entities(docs: DataFrame, n: int = 20) -> DataFrame:
     return best.select("doc_id", "keyword", F.lit("pattern").alias("extractor"), "score", "category")
 
 
+def noun_extract(docs: DataFrame, n: int = 10) -> DataFrame:
+    """Words of two or more Hangul syllables that may be keywords, scored by their count against the document's most frequent; ties to the earlier.
+
+    Every word of this length passes the rule for likely nouns. All in the document's row; a text without such words, or null, has no rows.
+    """
+    runs = F.filter(F.regexp_extract_all("text", F.lit("[가-힣]{2,}"), 0), t.is_meaningful)
+    found = docs.select("doc_id", runs.alias("runs")).withColumn("words", F.array_distinct("runs"))
+    counted = F.transform("words", lambda w, i: F.struct((-F.size(F.filter("runs", lambda r: r == w))).alias("n"), i.alias("i"), w.alias("keyword")))
+    best = found.select("doc_id", F.array_sort(counted).alias("w")).withColumn("most", F.get("w", F.lit(0))["n"])
+    rows = best.select("doc_id", "most", F.explode(F.slice("w", 1, n)).alias("w"))
+    return rows.select("doc_id", "w.keyword", F.lit("nouns").alias("extractor"), F.round(F.col("w.n") / F.col("most"), 6).alias("score"), F.lit("noun").alias("category"))
+
+
 def freq_keywords(docs: DataFrame, n: int = 10, distinct_first: bool = False) -> DataFrame:
     """Words that may be keywords, scored by their share of all such words of the document."""
     words = tokens(docs).filter(F.col("w").rlike("^[A-Za-z]{3,}$|^[가-힣]{2,}$") & t.is_meaningful(F.col("w")))
@@ -157,7 +170,7 @@ def freq_keywords(docs: DataFrame, n: int = 10, distinct_first: bool = False) ->
 
 Extractor = Callable[[DataFrame], DataFrame]
 #: Extractors by name; each takes documents and gives (doc_id, keyword, extractor, score, category), and may give `error`.
-EXTRACTORS: dict[str, Extractor] = {"simple": simple_keywords, "pattern": pattern_entities, "freq": freq_keywords}
+EXTRACTORS: dict[str, Extractor] = {"simple": simple_keywords, "pattern": pattern_entities, "freq": freq_keywords, "nouns": noun_extract}
 
 
 def available() -> list[str]:

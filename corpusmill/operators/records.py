@@ -79,6 +79,18 @@ def complexity(words: Column, headers: Column, tables: Column) -> Column:
     return F.round(F.least(words / 1000, F.lit(1.0)) * 0.4 + F.least(headers / 10, F.lit(1.0)) * 0.3 + F.least(tables / 5, F.lit(1.0)) * 0.3, 6)
 
 
+def richness(record: Column) -> Column:
+    """How much a metadata record, a JSON object, tells: a point for each field, and more for structure, tables, sections, images, statistics and analysis.
+
+    What is no object, or null, has no score. Tables, sections and images count where they are lists within `docling_structure`.
+    """
+    at = lambda path: F.get_json_object(record, f"$.{path}")
+    many = lambda name: F.coalesce(F.json_array_length(at(f"docling_structure.{name}")), F.lit(0))
+    has = lambda name, points: F.when(F.array_contains(F.json_object_keys(record), name), points).otherwise(0)
+    parts = has("docling_structure", 20) + 10 * many("tables") + 5 * many("sections") + 5 * many("images") + has("document_structure", 10) + has("text_statistics", 5) + has("content_analysis", 15)
+    return 10 + F.size(F.json_object_keys(record)) + parts
+
+
 def headed_lines(lines: DataFrame, sections: DataFrame) -> DataFrame:
     """Each line with the number of the last chapter (level 1) and section (deeper) heading at or before it."""
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

@@ -153,3 +153,10 @@ add(
     "SELECT doc_id, keyword, extractor, CAST(score AS DOUBLE) AS score, category, p AS start_position, q AS end_position, CASE WHEN p > 50 THEN '...' ELSE '' END || substr(text, greatest(p - 50, 0) + 1, least(q + 50, length(text)) - greatest(p - 50, 0)) || CASE WHEN q + 50 < length(text) THEN '...' ELSE '' END AS context_snippet, "
     "CAST(length(substr(text, 1, p)) - length(replace(substr(text, 1, p), chr(12), '')) + 1 AS INT) AS page_number, CAST(length(substr(text, 1, p)) - length(replace(substr(text, 1, p), chr(10), '')) + 1 AS INT) AS line_number, CAST(p - coalesce(length(regexp_extract(substr(text, 1, p), '(?s)^.*\\n')), 0) + 1 AS INT) AS column_number, error FROM pl",
 )
+#: Hangul words, which the tables lack, added to whole texts.
+_NOUNS = "concat(coalesce(text, ''), ' 데이터 분석 시스템 데이터 가가가 그리고 ', CASE doc_id % 3 WHEN 0 THEN '분석 분석 네트워크' WHEN 1 THEN '연구 플랫폼' ELSE '' END)"
+add(
+    "d11_noun_extract", lambda s, d: k.noun_extract(docs(s, d).select("doc_id", F.expr(_NOUNS).alias("text"))),
+    f"WITH h AS (SELECT doc_id, regexp_extract_all({_NOUNS}, '[가-힣]{{2,}}') AS r FROM documents), w AS (SELECT doc_id, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM h), c AS (SELECT doc_id, w, count(*) AS n, min(i) AS first FROM w WHERE {d_meaningful('w')} GROUP BY ALL) "
+    "SELECT doc_id, w AS keyword, 'nouns' AS extractor, CAST(round(n / max(n) OVER (PARTITION BY doc_id), 6) AS DOUBLE) AS score, 'noun' AS category FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) <= 10",
+)

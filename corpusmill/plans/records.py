@@ -67,3 +67,13 @@ near AS (SELECT a.doc_id, a.keyword AS source, b.keyword AS target, abs(a.p - b.
 WHERE NOT regexp_matches(substr(d.text, CAST(least(a.p, b.p) AS BIGINT) + 1, CAST(abs(a.p - b.p) AS BIGINT)), '\\n\\n|\\. |\\.\\n|\\||- \\*\\*|## '))"""
 add("k15_near_pairs", lambda s, d: r.near_pairs(_simple(s, d), docs(s, d)), _NEAR + " SELECT doc_id, source, target, CAST(min(gap) AS INT) AS gap FROM near GROUP BY ALL")
 add("q14_leaf_paths", lambda s, d: r.leaf_paths(st.section_parents(st.sections(headed(s, d)))), GRAPHS["k13_structure_depth"][1].replace("line_no, 0 AS depth FROM sp", "line_no, CAST(line_no AS VARCHAR) AS path FROM sp").replace("w.depth + 1", "concat(w.path, '>', p.line_no)").replace("SELECT doc_id, line_no, CAST(depth AS INT) AS depth FROM walk", "SELECT doc_id, line_no, path FROM walk w WHERE NOT EXISTS (SELECT 1 FROM sp p WHERE p.doc_id = w.doc_id AND p.parent_line = w.line_no)"))
+#: The same expression in both engines: records with more or fewer parts by the document's number.
+_RECORD = (
+    "concat('{\"source\": \"', coalesce(source, ''), '\", \"id\": ', doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(', \"docling_structure\": {\"tables\": [', CASE WHEN doc_id % 3 = 0 THEN '1, 2' ELSE '' END, '], \"sections\": [{}], \"images\": 4}') ELSE '' END, "
+    "CASE WHEN doc_id % 5 = 0 THEN ', \"document_structure\": {}' ELSE '' END, CASE WHEN doc_id % 7 = 0 THEN ', \"text_statistics\": {}' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN ', \"content_analysis\": null' ELSE '' END, '}')"
+)
+add(
+    "e16_richness_score", lambda s, d: docs(s, d).select("doc_id", r.richness(F.expr(_RECORD)).alias("richness")),
+    f"WITH j AS (SELECT doc_id, CAST({_RECORD} AS JSON) AS j FROM documents), k AS (SELECT *, json_keys(j) AS k FROM j) SELECT doc_id, CAST(10 + len(k) + CASE WHEN list_contains(k, 'docling_structure') THEN 20 + 10 * json_array_length(j, '$.docling_structure.tables') + 5 * json_array_length(j, '$.docling_structure.sections') ELSE 0 END "
+    "+ CASE WHEN list_contains(k, 'document_structure') THEN 10 ELSE 0 END + CASE WHEN list_contains(k, 'text_statistics') THEN 5 ELSE 0 END + CASE WHEN list_contains(k, 'content_analysis') THEN 15 ELSE 0 END AS INT) AS richness FROM k",
+)

@@ -14,7 +14,7 @@ import test_operators
 from test_operators import duck  # noqa: F401
 
 STRUCTURE = ["k10_section_parent", "k11_structures", "k11_structure_nodes", "k11_structure_edges", "k12_structure_entities", "k12_structure_entity_edges", "q10_entity_density_by_section", "q11_same_container_pairs", "q12_depth_distribution", "q13_domain_type_patterns", "q14_leaf_paths", "k06_entity_props", "k07_relation_by_context", "k16_closest_context", "k17_relation_rule", "k18_relation_confidence", "k19_known_stack_pairs", "k_entity_relations"]
-CHUNKS = ["f01_heading_class", "f02_tree_nodes", "f03_chunk_level", "f04_chunk_build", "f06_boundary_check", "f07_chunk_text", "f13_merged_nodes", "f13_merged_edges", "e02_element_counts", "e21_document_type", "e22_image_filter", "e22_image_filter_once", "e24_ocr_rows_to_table", "k21_outline_sections", "k21_outline_edges", "k21_outline_keywords", "u01_extract_occurrences", "d07_pattern_entities"]
+CHUNKS = ["f01_heading_class", "f02_tree_nodes", "f03_chunk_level", "f04_chunk_build", "f06_boundary_check", "f07_chunk_text", "f13_merged_nodes", "f13_merged_edges", "e02_element_counts", "e21_document_type", "e22_image_filter", "e22_image_filter_once", "e24_ocr_rows_to_table", "k21_outline_sections", "k21_outline_edges", "k21_outline_keywords", "u01_extract_occurrences", "d07_pattern_entities", "d11_noun_extract", "e16_richness_score"]
 
 
 @pytest.mark.parametrize("name", STRUCTURE + CHUNKS)
@@ -225,3 +225,13 @@ def test_outlines(spark):
     five = [(r.type, r.title, r.unit, r.number, r.level, r.path, list(r.keywords)) for r in found if r.doc_id == 5]
     assert five == [("Document", "n", None, None, 0, None, []), ("DocumentSection", "Level1_Section_1", "chapter", "15", 1, "0", ["a", "b"]), ("SectionKeyword", "a", "chapter", "15", 1, "0", []), ("SectionKeyword", "b", "chapter", "15", 1, "0", []), ("DocumentSubsection", "7", "절", "1", 2, "0.0", [])]
     assert sorted(r.type for r in edges.filter("doc_id = 5").collect()) == ["CONTAINS_SECTION", "HAS_KEYWORD", "HAS_KEYWORD", "HAS_SUBSECTION"]
+
+
+def test_nouns_and_richness(spark):
+    from corpusmill.operators import keywords, records
+
+    found = [(r.doc_id, r.keyword, r.score) for r in keywords.noun_extract(docs_of(spark, "나무 하늘 나무 가 abc", "", None), 1).collect()]
+    assert found == [(0, "나무", 1.0)]
+    cases = {'{"a": 1}': 11, "{}": 10, '{"docling_structure": {"tables": [1, 2], "sections": 3}}': 51, "[1]": None, "none": None}
+    rows = spark.createDataFrame([(c,) for c in [*cases, None]], "r string").select("r", records.richness(F.col("r")).alias("n")).collect()
+    assert {r.r: r.n for r in rows} == {**cases, None: None}
