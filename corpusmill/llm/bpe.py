@@ -265,13 +265,9 @@ class Codec:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}  # of this Python worker
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """The one of this Python worker."""
+    return common.kept(f"bpe {path}", lambda: Codec(path))
 
 
 def _added(df: DataFrame, name: str, kind: str) -> tuple[DataFrame, StructType, list[str]]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,21 @@ from corpusmill.sources.tables import discard, new_path, shared_dir, written  #
 _ROW_BITS = 33  # monotonically_increasing_id() keeps the row of a partition in its low 33 bits
 
 
+_kept: dict[str, Any] = {}  # of this Python worker
+
+
+def kept(owner: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from one task of `owner` to the next.
+
+    Workers outlive an operator. So that they never hold the tables of two, what another owner kept goes first.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

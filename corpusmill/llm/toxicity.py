@@ -124,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Models, np.ndarray] | flo
     chosen = common.written(_sample(fit, 1, n).union(_sample(fit, 0, n)), "toxicity-sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("toxicity", dict)  # the tables of other operators go
         for batch in batches:
             counts = Counter((c, w) for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in WORD.findall((t or "").lower()))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["c", "word", "n"])
@@ -199,6 +200,7 @@ def ratios(docs: DataFrame, models: Models) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("toxicity", dict)  # the tables of other operators go
         known: dict[str, float] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
