@@ -13,17 +13,22 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 GENERATION = 200_000  # entries of one generation of a worker's cache
 TEXTS = 512  # encoded together, at most
 TEXT_CHARS = 4_000_000  # the same, in characters, or one longer text
-BLOCK = 4096  # chunks in one string
+BLOCK = 512  # chunks in one string
+PLACES = 1 << 20  # chunks whose ids are put in place at once
 LONGEST = 64  # longer chunks are encoded but not remembered
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space with white space before it and white space or the end after it: there a cut would change the pre-tokens.
 _WIDE = re.compile(r"\s (?:\s|\Z)")
+#: Letters and then ASCII marks (no apostrophe): pre-tokens end where the letters do. Fixed ranges that hold nothing but letters in any Unicode version.
+_TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ]++)([!-&(-/:-@\[-`{-~]+)")
 
 
 def tokenizer_path() -> str:
@@ -83,9 +88,9 @@ class Generations:
 class TextEncoder:
     """Encodes texts to packed ids; `encode` gives the ids of whole strings, `lengths` the bytes that each id stands for."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], vocabulary: Vocabulary) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], vocabulary: Vocabulary, generation: int = GENERATION) -> None:
         self.encode, self.lengths, self.kind = encode, vocabulary.lengths, f"<u{vocabulary.width}"
-        self.added, self.chunks = list(vocabulary.added), Generations()
+        self.added, self.chunks = list(vocabulary.added), Generations(generation)
 
     def _unusual(self, text: str) -> bool:
         """Chunks of the text cannot be told by spaces alone."""
@@ -101,24 +106,16 @@ class TextEncoder:
         packed, cuts = self._pack(ids), cuts.tolist()
         return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def some(self, texts: list[str]) -> list[bytes]:
-        """For each text its packed ids. A key is a chunk without its leading space, or after a NUL one without any."""
+    def _values(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of different chunks, each without its leading space, or after a NUL one without any."""
         remembered, known = self.chunks, self.chunks.young.get
-        keys, missing, whole = [], set(), []
-        for text in texts:
-            if text and self._unusual(text):
-                whole.append(text)
-                keys.append(None)
-                continue
-            found = text.split(" ") if text else []
-            if found:
-                found[0:1] = ["\0" + found[0]] if found[0] else []
-            keys.append(found)
-            values = list(map(known, found))
-            if None in values:
-                missing.update([k for k, v in zip(found, values) if v is None])
+        values = list(map(known, chunks))
+        new = remembered.absent([k for k, v in zip(chunks, values) if v is None])
+        tailed = {k: (m[1], "\0" + m[2]) for k in new if len(k) <= LONGEST and (m := _TAILED.fullmatch(k))}
+        there = set(new)
+        parts = remembered.absent({p for pair in tailed.values() for p in pair if p not in there and known(p) is None})
         blocks, single = [[]], []
-        for k in remembered.absent(missing):
+        for k in [*(k for k in new if k not in tailed), *parts]:
             # chunks with white space at an end, the first of a text and very long ones stand alone
             if not k or len(k) > LONGEST or k[0] == "\0" or k[0].isspace() or k[-1].isspace():
                 single.append(k)
@@ -126,22 +123,48 @@ class TextEncoder:
                 if len(blocks[-1]) == BLOCK:
                     blocks.append([])
                 blocks[-1].append(k)
-        encoded = self.encode([" " + " ".join(b) if b else "" for b in blocks] + [k[1:] if k[:1] == "\0" else " " + k for k in single] + whole)
+        encoded = self.encode([" " + " ".join(b) if b else "" for b in blocks] + [k[1:] if k[:1] == "\0" else " " + k for k in single])
         more = {}
         for b, ids in zip(blocks, encoded):
             remembered.young.update(zip(b, self._block(b, ids)))
-        at = len(blocks)
-        for k, ids in zip(single, encoded[at:]):
+        for k, ids in zip(single, encoded[len(blocks) :]):
             (remembered.young if len(k) <= LONGEST else more)[k] = self._pack(ids)
-        at += len(single)
-        rest = iter(encoded[at:])
-        if more:
-            out = [self._pack(next(rest)) if ks is None else b"".join([more[k] if k in more else known(k) for k in ks]) for ks in keys]
-        else:
-            out = [self._pack(next(rest)) if ks is None else b"".join(map(known, ks)) for ks in keys]
+        remembered.young.update([(k, known(a) + known(b)) for k, (a, b) in tailed.items()])
+        out = [(more[k] if k in more else known(k)) if v is None else v for k, v in zip(chunks, values)]
         remembered.turn()
         return out
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts whose chunks spaces tell apart: each different chunk is looked up once, and its ids are put at all its places."""
+        cut = pc.split_pattern(pa.array(["\0" + t for t in texts], pa.large_string()), " ")
+        places = cut.values.dictionary_encode()
+        values = self._values(places.dictionary.to_pylist())
+        sizes = np.array([len(v) for v in values], np.int64) // np.dtype(self.kind).itemsize
+        packed, starts, at = np.frombuffer(b"".join(values), self.kind), np.cumsum(sizes) - sizes, places.indices.to_numpy()
+        found, counts = [], []
+        for i in range(0, len(at), PLACES):
+            part = at[i : i + PLACES]
+            n = sizes[part]
+            found.append(packed[np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            counts.append(n)
+        ids, ends = np.concatenate(found), np.concatenate(([0], np.cumsum(np.concatenate(counts))))[cut.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+    def some(self, texts: list[str]) -> list[bytes]:
+        """For each text its packed ids."""
+        plain, whole = {}, {}
+        for i, text in enumerate(texts):
+            if text:
+                (whole if self._unusual(text) else plain)[i] = text
+        out = [b""] * len(texts)
+        if plain:
+            for i, packed in zip(plain, self._plain(list(plain.values()))):
+                out[i] = packed
+        if whole:
+            for i, ids in zip(whole, self.encode(list(whole.values()))):
+                out[i] = self._pack(ids)
+        return out
+
     def many(self, texts: list[str | None]) -> Iterable[bytes]:
         held, size = [], 0
         for text in texts:
