@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 GENERATION = 200_000  # entries of one generation of a worker's cache
-TEXTS = 512  # encoded together, at most
+TEXTS = 512  # encoded together, at most, if an encoder is not told otherwise
 TEXT_CHARS = 4_000_000  # the same, in characters, or one longer text
 BLOCK = 512  # chunks in one string
 PLACES = 1 << 20  # chunks whose ids are put in place at once
@@ -88,7 +88,8 @@ class Generations:
 class TextEncoder:
     """Encodes texts to packed ids; `encode` gives the ids of whole strings, `lengths` the bytes that each id stands for."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], vocabulary: Vocabulary, generation: int = GENERATION) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], vocabulary: Vocabulary, generation: int = GENERATION, together: int = TEXTS, chars: int = TEXT_CHARS) -> None:
+        self.together, self.chars = together, chars
         self.encode, self.lengths, self.kind = encode, vocabulary.lengths, f"<u{vocabulary.width}"
         self.added, self.chunks = list(vocabulary.added), Generations(generation)
 
@@ -170,7 +171,7 @@ class TextEncoder:
         for text in texts:
             held.append(text or "")
             size += len(held[-1])
-            if len(held) == TEXTS or size > TEXT_CHARS:
+            if len(held) == self.together or size > self.chars:
                 yield from self.some(held)
                 held, size = [], 0
         if held:

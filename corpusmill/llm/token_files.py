@@ -22,6 +22,7 @@ from .pieces import TextEncoder, Vocabulary, tokenizer_path
 END_ID = 0
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 8192, 65536, 3
 SEGMENT_BYTES = 1 << 20
+TEXTS_TOGETHER, CHARS_TOGETHER = 2048, 8_000_000  # a chunk is looked up once in so many texts
 CHUNKS_KEPT = 300_000  # entries of one generation of a worker's remembered chunks
 SEGMENT = "bucket int, segment int, earlier bigint, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, width int, dictionary_sha256 string, doc_ids binary, offsets binary, counts binary, frames binary"
 
@@ -37,7 +38,7 @@ class IdEncoder:
         self.width, self.tokenizer = vocabulary.width, Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.texts, self.end = TextEncoder(self._encode, vocabulary, CHUNKS_KEPT), np.array([END_ID], f"<u{self.width}").tobytes()
+        self.texts, self.end = TextEncoder(self._encode, vocabulary, CHUNKS_KEPT, TEXTS_TOGETHER, CHARS_TOGETHER), np.array([END_ID], f"<u{self.width}").tobytes()
 
     def _encode(self, strings: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]

@@ -32,3 +32,13 @@ def test_a_known_word_is_not_encoded_again_for_its_marks():
     sent.clear()
     assert len(encoder("y word, word. other, ab ab.")) == 2 * (1 + len(encoder.tokenizer.encode("y word, word. other, ab ab.").ids))
     assert "word" not in "".join(sent) and "other" not in "".join(sent) and "ab" not in "".join(sent)
+
+
+def test_a_chunk_is_looked_up_once_in_many_texts():
+    encoder, asked = token_files.IdEncoder(tokenizer_path()), []
+    values = encoder.texts._values
+    encoder.texts._values = lambda chunks: asked.extend(chunks) or values(chunks)
+    texts = [f"word w{i} other" for i in range(1500)]
+    expected = [np.array([*e.ids, 0], "<u2").tobytes() for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert list(encoder.many(texts)) == expected
+    assert asked.count("other") == 1
