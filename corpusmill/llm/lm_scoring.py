@@ -135,7 +135,7 @@ def mix(x: list[np.ndarray], gates: np.ndarray, bits: np.ndarray, first: np.ndar
     # all bits in the order of steps: every step is then a slice
     step = np.repeat(np.arange(len(active)), active)
     lane = np.arange(len(step)) - np.repeat(ends - active, active)
-    at = first[lane] + step
+    at = first.take(lane) + step
     inputs, slots, ones = [column.take(at) for column in x], lane * GATES + gates.take(at), bits.take(at).astype(np.float32)
     own = [np.tile(column.astype(np.float32), n) for column in weights.T]
     centres = (np.arange(BUCKETS + 1) - BUCKETS / 2) / 2
@@ -143,24 +143,38 @@ def mix(x: list[np.ndarray], gates: np.ndarray, bits: np.ndarray, first: np.ndar
     lane_bucket = (np.arange(n) * (BUCKETS + 1)).astype(np.int64)
     seen = np.empty(len(bits), np.float32)
     half, rate, refine_rate, one = np.float32(0.5), np.float32(RATE), np.float32(REFINE_RATE), np.float32(1)
+    low, high, two, middle = np.float32(-7.9), np.float32(7.9), np.float32(2), np.float32(BUCKETS / 2 + 0.5)
     begin = 0
     for a, end in zip(active.tolist(), ends.tolist()):
+        # in place where it can be: new arrays cost as much as the sums
         slot, y = slots[begin:end], ones[begin:end]
         xs = [column[begin:end] for column in inputs]
         ws = [column.take(slot) for column in own]
         z = ws[0] * xs[0]
         z += ws[1] * xs[1]
         z += ws[2] * xs[2]
-        np.clip(z, -7.9, 7.9, out=z)
-        p = one / (one + np.exp(-z))
-        place = lane_bucket[:a] + (z * 2 + (BUCKETS / 2 + 0.5)).astype(np.int64)
+        np.maximum(z, low, out=z)
+        np.minimum(z, high, out=z)
+        p = np.negative(z)
+        np.exp(p, out=p)
+        p += one
+        np.divide(one, p, out=p)
+        z *= two
+        z += middle
+        place = z.astype(np.int64)
+        place += lane_bucket[:a]
         r = refine.take(place)
-        seen[begin:end] = half * (p + r)
-        step_size = rate * (y - p)
+        np.add(p, r, out=z)
+        np.multiply(z, half, out=seen[begin:end])
+        np.subtract(y, p, out=p)
+        p *= rate
         for column, w, v in zip(own, ws, xs):
-            w += step_size * v
+            w += p * v
             column[slot] = w
-        refine[place] = r + refine_rate * (y - r)
+        np.subtract(y, r, out=z)
+        z *= refine_rate
+        z += r
+        refine[place] = z
         begin = end
     out = np.empty(len(bits), np.float32)
     out[at] = np.where(ones > 0, seen, one - seen)
