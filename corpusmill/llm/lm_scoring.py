@@ -84,14 +84,19 @@ class Code:
         one[starts], two[starts] = escape + 1, escape + 1
         two[starts[lengths > 1] + 1] = escape + 1
         n = self.length[symbols]
-        at = np.arange(n.sum()) + np.repeat(self.start[symbols] - (np.cumsum(n) - n), n)
-        nodes, bits = self.nodes[at], self.bits[at]
+        at = np.repeat((self.start[symbols] - (np.cumsum(n) - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        nodes, bits = self.nodes.take(at), self.bits.take(at)
+        del at
         h1 = (one.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h2 = (h1 ^ (two.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
         slots = []
         for h in (h1, h2):
-            mixed = (np.repeat((h >> np.uint64(20)).astype(np.uint32), n) ^ nodes * np.uint32(0x85EBCA6B)) * np.uint32(0x9E3779B1)
-            slots.append((mixed >> np.uint32(32 - TABLE_BITS)).astype(np.int64))
+            mixed = np.repeat((h >> np.uint64(20)).astype(np.uint32), n)
+            mixed ^= nodes * np.uint32(0x85EBCA6B)
+            mixed *= np.uint32(0x9E3779B1)
+            mixed >>= np.uint32(32 - TABLE_BITS)
+            slots.append(mixed.view(np.int32))
         return nodes, bits, slots[0], slots[1], n, symbols
 
 
@@ -109,7 +114,7 @@ class Tables:
 
     def inputs(self, nodes: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         x = [t.take(i) for t, i in zip(self.odds, (nodes, one, two))]
-        return x, self.steps[1][one] * np.uint8(3) + np.minimum(self.steps[2][two], 2)
+        return x, self.steps[1].take(one) * np.uint8(3) + np.minimum(self.steps[2].take(two), 2)
 
 
 def _segments(bits: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +137,15 @@ def mix(x: list[np.ndarray], gates: np.ndarray, bits: np.ndarray, first: np.ndar
     first, count, n = first[order], count[order], len(count)
     active = np.searchsorted(-count, -np.arange(count[0] if n else 0), side="left")  # segments with more than t bits
     ends = np.cumsum(active)
-    # all bits in the order of steps: every step is then a slice
-    step = np.repeat(np.arange(len(active)), active)
-    lane = np.arange(len(step)) - np.repeat(ends - active, active)
-    at = first.take(lane) + step
-    inputs, slots, ones = [column.take(at) for column in x], lane * GATES + gates.take(at), bits.take(at).astype(np.float32)
+    # all bits in the order of steps: every step is then a slice; four bytes a number, as a worker holds some ten such columns
+    lane = np.arange(len(bits), dtype=np.int32)
+    lane -= np.repeat((ends - active).astype(np.int32), active)
+    at = first.astype(np.int32).take(lane)
+    at += np.repeat(np.arange(len(active), dtype=np.int32), active)
+    inputs, ones = [column.take(at) for column in x], bits.take(at).astype(np.float32)
+    lane *= np.int32(GATES)
+    lane += gates.take(at)
+    slots = lane
     own = [np.tile(column.astype(np.float32), n) for column in weights.T]
     centres = (np.arange(BUCKETS + 1) - BUCKETS / 2) / 2
     refine = np.tile((1 / (1 + np.exp(-centres))).astype(np.float32), n)
@@ -147,7 +156,7 @@ def mix(x: list[np.ndarray], gates: np.ndarray, bits: np.ndarray, first: np.ndar
     begin = 0
     for a, end in zip(active.tolist(), ends.tolist()):
         # in place where it can be: new arrays cost as much as the sums
-        slot, y = slots[begin:end], ones[begin:end]
+        slot, y = slots[begin:end].astype(np.int64), ones[begin:end]
         xs = [column[begin:end] for column in inputs]
         ws = [column.take(slot) for column in own]
         z = ws[0] * xs[0]
@@ -176,10 +185,20 @@ def mix(x: list[np.ndarray], gates: np.ndarray, bits: np.ndarray, first: np.ndar
         z += r
         refine[place] = z
         begin = end
-    out = np.empty(len(bits), np.float32)
-    out[at] = np.where(ones > 0, seen, one - seen)
     used = np.bincount(slots, minlength=n * GATES).reshape(n, GATES)
-    return np.maximum(out, np.float32(1e-6)), np.stack([(c.reshape(n, GATES) * used).sum(axis=0) for c in own], axis=1), used.sum(axis=0)
+    del inputs, slots, lane
+    np.subtract(one, seen, out=seen, where=ones == 0)
+    out = np.empty(len(bits), np.float32)
+    out[at] = seen
+    return np.maximum(out, np.float32(1e-6), out=out), np.stack([(c.reshape(n, GATES) * used).sum(axis=0) for c in own], axis=1), used.sum(axis=0)
+
+
+def _mixed(held: list[list[bytes]], code: Code, tables: Tables, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the texts' bits: what `mix` gives; then the number of bits and the symbol of each token. All else goes on return."""
+    nodes, bits, one, two, n, symbols = code.events(held)
+    x, gates = tables.inputs(nodes, one, two)
+    del nodes, one, two
+    return *mix(x, gates, bits, *_segments(n, [len(t) for t in held]), weights), n, symbols
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -260,9 +279,7 @@ def fit_weights(texts: DataFrame, code, tables) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, uses, now = np.zeros((GATES, INPUTS)), np.zeros(GATES), start
         for _, held in _batches(batches, 0):
-            nodes, bits, one, two, n, _ = code.value.events(held)
-            x, gates = tables.value.inputs(nodes, one, two)
-            _, s, u = mix(x, gates, bits, *_segments(n, [len(t) for t in held]), now)
+            s, u = _mixed(held, code.value, tables.value, now)[1:3]
             sums, uses = sums + s, uses + u
             now = np.where(uses[:, None] > 0, sums / np.maximum(uses, 1)[:, None], start)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(GATES, dtype=np.int32), INPUTS)), pa.array(np.tile(np.arange(INPUTS, dtype=np.int32), GATES)), pa.array(sums.ravel()), pa.array(np.repeat(uses, INPUTS))], ["gate", "input", "total", "uses"])
@@ -299,17 +316,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chunks = common.written(count_bits(learned, code), "bit-counts").collect()  # a fixed number of chunks, two parts
     first = context.broadcast(_tables([r for r in chunks if r["part"] == 0]))
     weights = fit_weights(learned.filter("part = 1").select("text"), code, first)
+    first.unpersist()
     tables = context.broadcast(_tables(chunks))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         escape = len(logs.value) - 1
         for batch, held in _batches(batches, 2):
-            nodes, bits, one, two, n, symbols = code.value.events(held)
-            x, gates = tables.value.inputs(nodes, one, two)
+            p, _, _, n, symbols = _mixed(held, code.value, tables.value, weights)
             lengths = np.array([len(t) for t in held], np.int64)
-            p, _, _ = mix(x, gates, bits, *_segments(n, lengths.tolist()), weights)
             ends = np.cumsum(lengths)
-            model = _sums(np.log10(p), np.cumsum(n)[ends - 1])
+            model = _sums(np.log10(p, out=p), np.cumsum(n)[ends - 1])
+            del p
             base, seen = _sums(logs.value[symbols], ends), _sums(symbols != escape, ends)
             rare: list[Counter] = [Counter() for _ in held]
             text, ends_list = 0, ends.tolist()
@@ -327,6 +344,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text", "part")
     scored = common.written(numbered.mapInArrow(score, "row bigint, id bigint, part int, n_tokens bigint, seen bigint, base double, model double, size bigint, rare array<struct<word: binary, m: bigint>>"), "scored")
+    for used in (code, logs, tables):
+        used.unpersist()
     parts = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m")
     c = F.coalesce("n", F.lit(0))
     sums = (
