@@ -6,6 +6,9 @@ of the prefixes; tokens are counted with map-side partial aggregates over a fixe
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,14 +20,15 @@ THRESHOLD = (4, 5)  # similarity of 0.8 or more, as a fraction
 SLOT_BITS = 20  # tokens are counted by hash slot: any order is right, a rare-first order is fast
 HASH_BITS = 56  # of a token's key; the bits above hold the step of its slot's count
 ONCE = 1  # the step of a slot that was counted once
-NEAR = 4  # tokens by which a set meets the first ones with them
+NEAR, OFTEN = 6, 25  # by how many prefix tokens a set meets the first ones with them, and their least step: that of 64 times
 PLACE_BITS = 23  # of the filter that keeps lines no pair names from being shuffled
-NOT_BLANK = r"[\x09-\x0D]"  # white space other than a blank
+NOT_BLANK = ("\t", "\x0b", "\f", "\r")  # white space within a line, other than a blank
 
 
 def words_of(line: Column) -> Column:
     """The line's tokens, and empty strings among them. Lines with blanks alone are split without a pattern, in a quarter of the time."""
-    return F.when(line.rlike(NOT_BLANK), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+    other = reduce(or_, (F.contains(line, F.lit(c)) for c in NOT_BLANK))
+    return F.when(other, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
 
 
 def token_steps(texts: DataFrame) -> DataFrame:
@@ -45,43 +49,34 @@ def _step(key: Column) -> Column:
     return F.shiftright(key, HASH_BITS)
 
 
-def _parity(keys: Column, half: int) -> Column:
-    """64 of 128 bits, each turned over by every token that falls on it: two sets differ in no more bits than in tokens, whatever their size."""
-    none = F.lit(0).cast("bigint")
-
-    def turned(bits: Column, key: Column) -> Column:
-        one = F.shiftright(key, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)).cast("bigint")
-        return bits.bitwiseXOR(F.call_function("shiftleft", one, key.bitwiseAND(F.lit(63)).cast("int")))
-
-    return F.aggregate(keys, none, turned)
+def _parity(keys: Column) -> Column:
+    """64 bits, each turned over by every token that falls on it."""
+    bit = lambda key: F.call_function("shiftleft", F.lit(1).cast("bigint"), key.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda bits, key: bits.bitwiseXOR(bit(key)))
 
 
 def line_keys(texts: DataFrame, steps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """For each line with tokens: doc, line_no, size (different tokens), k1 and k2 (a digest of the set), b1 and b2 (parity bits), prefix, near.
+    """For each line with tokens: doc, line_no, size (different tokens), k1 and k2 (a digest of the set), b1 and b2 (parity bits), prefix.
 
     `prefix` has the keys of the rarest tokens, rarest first, as many as a similar set must share one of, less those counted once, which no
-    other line has; `near` has digests of the rarest of them, each with about the set's size. `texts`: doc, text.
+    other line has. `texts`: doc, text.
     """
     num, den = threshold
     lines = texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     step = lambda h: F.coalesce(F.get("steps", _slot(h)).cast("bigint"), F.lit(0).cast("bigint"))
     key = lambda h: F.call_function("shiftleft", step(h), F.lit(HASH_BITS)).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
-    none = F.lit(-1).cast("bigint")
-    keys = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.when(w == "", none).otherwise(key(F.xxhash64(w)))))
-    keyed = lines.withColumn("steps", steps.scalar()).select("doc", "line_no", F.sort_array(F.array_remove(keys, none)).alias("keys"))
-
-    def summed_up(keys: Column) -> Column:
-        size = F.size(keys)
-        prefix = F.slice(keys, 1, size - _at_least(size, num, den) + 1)
-        digests = (F.xxhash64(keys).alias("k1"), F.xxhash64(F.lit(1), keys).alias("k2"))
-        return F.struct(
-            size.alias("size"), *digests, _parity(keys, 0).alias("b1"), _parity(keys, 1).alias("b2"), F.filter(prefix, lambda k: _step(k) > ONCE).alias("prefix")
-        )
-
-    # one array of one element: its value is worked out once, however often it is named
-    found = keyed.select("doc", "line_no", F.inline_outer(F.transform(F.array("keys"), summed_up))).filter("size > 0")
-    band = F.floor(F.log("size") / float(np.log(den / num)))
-    return found.withColumn("near", F.transform(F.slice("prefix", 1, NEAR), lambda k: F.xxhash64(k, band)))
+    hashes = F.transform(F.array_remove(words_of(F.col("line")), ""), lambda w: F.xxhash64(w))
+    keyed = lines.withColumn("steps", steps.scalar()).select("doc", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, key))).alias("keys"))
+    # an array of one element: the keys are worked out once, however often they are named, and what names them is compiled
+    sized = keyed.select("doc", "line_no", F.explode(F.array("keys")).alias("keys")).select("doc", "line_no", "keys", F.size("keys").alias("size")).filter("size > 0")
+    digests = (F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(1), "keys").alias("k2"))
+    prefix = F.slice("keys", 1, F.col("size") - _at_least(F.col("size"), num, den) + 1)
+    upper = F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0)
+    found = sized.select(
+        "doc", "line_no", "size", *digests, _parity(F.col("keys")).alias("all"), _parity(upper).alias("b2"), F.filter(prefix, lambda k: _step(k) > ONCE).alias("prefix")
+    )
+    # 128 bits of two halves: two sets differ in no more bits than in tokens, whatever their size
+    return found.select("doc", "line_no", "size", "k1", "k2", F.col("all").bitwiseXOR(F.col("b2")).alias("b1"), "b2", "prefix")
 
 
 def line_words(line: Column) -> Column:
@@ -109,13 +104,31 @@ def _room(a: str, b: str, threshold: tuple[int, int]) -> Column:
     return (size_a * den >= size_b * num) & (size_b * den >= size_a * num) & (differ <= size_a + size_b - need * 2)
 
 
+def _here() -> Column:
+    """A line's place as one number, in the order of (doc, line_no)."""
+    return F.col("doc").cast("decimal(19,0)") * (1 << 31) + F.col("line_no")
+
+
+def near(prefix: Column) -> Column:
+    """The tokens by which a set meets the first ones with them: the rarest of those counted often enough for a large group.
+
+    In a large group of near copies the rarest of all are those that a copy alone was given; pairs by rare tokens are few anyway.
+    """
+    return F.slice(F.filter(prefix, lambda k: _step(k) >= OFTEN), 1, NEAR)
+
+
 def first_pairs(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of each set with the earliest ones with its `near` digests: doc_a, line_a, doc_b, line_b, the earlier set first.
+    """Pairs of each set with the earliest ones of about its size with the tokens `near` names: doc_a, line_a, doc_b, line_b, the earlier set first.
 
     In a group of near copies these remove all but a few members before any two meet.
     """
-    rows = _shareable(sets, threshold).select("doc", "line_no", "size", "b1", "b2", F.explode("near").alias("digest"))
-    heads = rows.groupBy("digest").agg(F.min(F.struct("doc", "line_no", "size", "b1", "b2")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    num, den = threshold
+    band = F.floor(F.log("size") / float(np.log(den / num)))
+    rows = _shareable(sets, threshold).select("doc", "line_no", "size", "b1", "b2", F.explode(near(F.col("prefix"))).alias("token"))
+    rows = rows.select("doc", "line_no", "size", "b1", "b2", F.xxhash64("token", band).alias("digest"))
+    of_first = [F.min_by(c, "here").alias(f"head_{c}") for c in ("doc", "line_no", "size", "b1", "b2")]  # numbers, not a struct: hash aggregates can take them
+    heads = rows.withColumn("here", _here()).groupBy("digest").agg(*of_first, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = heads.select("digest", F.struct(*(F.col(f"head_{c}").alias(c) for c in ("doc", "line_no", "size", "b1", "b2"))).alias("head"))
     met = rows.alias("row").join(heads, "digest").filter((F.struct("doc", "line_no") > F.struct("head.doc", "head.line_no")) & _room("head", "row", threshold))
     return met.select(F.col("head.doc").alias("doc_a"), F.col("head.line_no").alias("line_a"), F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")).distinct()
 
@@ -174,21 +187,21 @@ def similar_lines(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> D
     """The lines (doc, line_no from 0) of `texts` (doc, text) that have an earlier line of the same tokens or of a Jaccard similarity at the threshold.
 
     Earlier means a smaller (doc, line_no). Lines of equal token sets are one set, placed where the first of them is. Each set is held
-    against the first ones of about its size with its rarest tokens; those that these don't remove are held against all that their prefixes leave room for.
+    against the first ones of about its size with frequent tokens of its prefix; those that these don't remove are held against all that their prefixes leave room for.
     """
     keyed = common.written(line_keys(texts, token_steps(texts), threshold), "line-keys")
-    here = F.col("doc").cast("decimal(19,0)") * (1 << 31) + F.col("line_no")  # a number, not a struct: hash aggregates can take its least
+    here = _here()  # hash aggregates can take its least
     groups = keyed.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copy = here > F.col("first")  # null where the set is one line's alone
     marked = common.written(
-        keyed.join(groups, ["k1", "k2"], "left").select("doc", "line_no", "size", "b1", "b2", "prefix", "near", F.coalesce(copy, F.lit(False)).alias("copy")),
+        keyed.join(groups, ["k1", "k2"], "left").select("doc", "line_no", "size", "b1", "b2", "prefix", F.coalesce(copy, F.lit(False)).alias("copy")),
         "line-sets",
     )
     common.discard(keyed)
     copies = common.written(marked.filter("copy").select("doc", "line_no"), "line-copies")
     sets = marked.filter("NOT copy").drop("copy")
     gone = later_of_similar(texts, common.written(first_pairs(sets, threshold), "line-pairs"), threshold)
-    flagged = common.written(sets.drop("near").join(gone.withColumn("gone", F.lit(True)), ["doc", "line_no"], "left").withColumn("open", F.col("gone").isNull()).drop("gone"), "line-sets")
+    flagged = common.written(sets.join(gone.withColumn("gone", F.lit(True)), ["doc", "line_no"], "left").withColumn("open", F.col("gone").isNull()).drop("gone"), "line-sets")
     common.discard(marked)
     pairs = common.written(candidate_pairs(flagged, threshold), "line-pairs")
     common.discard(flagged)
@@ -212,7 +225,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.withColumn("doc", F.coalesce(F.col("id"), F.lit(-(2**63))))
     removed = similar_lines(rows.select("doc", "text"), threshold)
     by_doc = removed.groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
-    sized = rows.select("doc", "id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    sized = rows.select("doc", "id", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
     return sized.join(by_doc, "doc", "left").select(
         F.col("id").alias(id_col), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
     )

@@ -51,3 +51,20 @@ def test_long_lines_without_likeness_are_no_pairs(make_docs):
     texts = make_docs([(i, " ".join({f"c{r.randrange(150)}" for _ in range(55)} | {f"w{i} {k}" for k in range(60)})) for i in range(40)]).selectExpr("doc_id doc", "text")
     sets = line_dedup.line_keys(texts, line_dedup.token_steps(texts), threshold).selectExpr("*", "true open")
     assert line_dedup.candidate_pairs(sets, threshold).count() == 0
+
+
+def test_near_copies_with_rare_tokens_of_their_own_make_no_square_of_pairs(make_docs, monkeypatch):
+    """The four rarest tokens of each copy are in one other line alone, so only the tokens that all copies share lead to the first of them."""
+    r, base = random.Random(8), [f"c{k}" for k in range(96)]
+    copies = [(i, " ".join(r.sample([*base, *(f"own{i}x{k}" for k in range(4))], 100))) for i in range(150)]
+    others = [(1000 + i, " ".join([*(f"own{i}x{k}" for k in range(4)), *(f"o{i}x{k}" for k in range(9))])) for i in range(150)]
+    made, pairs = [], line_dedup.candidate_pairs
+
+    def counted(sets, threshold):
+        made.append(pairs(sets, threshold).count())
+        return pairs(sets, threshold)
+
+    monkeypatch.setattr(line_dedup, "candidate_pairs", counted)
+    found = line_dedup.dedup_lines(make_docs([*copies, *others])).collect()
+    assert {x.doc_id: x.removed for x in found} == brute([*copies, *others])
+    assert made[0] < 300
