@@ -20,7 +20,7 @@ THRESHOLD = (4, 5)  # similarity of 0.8 or more, as a fraction
 SLOT_BITS = 20  # tokens are counted by hash slot: any order is right, a rare-first order is fast
 HASH_BITS = 56  # of a token's key; the bits above hold the step of its slot's count
 ONCE = 1  # the step of a slot that was counted once
-NEAR, OFTEN = 6, 25  # by how many prefix tokens a set meets the first ones with them, and their least step: that of 64 times
+NEAR = 6  # tokens by which a set meets the first ones with them
 PLACE_BITS = 23  # of the filter that keeps lines no pair names from being shuffled
 NOT_BLANK = ("\t", "\x0b", "\f", "\r")  # white space within a line, other than a blank
 
@@ -110,11 +110,12 @@ def _here() -> Column:
 
 
 def near(prefix: Column) -> Column:
-    """The tokens by which a set meets the first ones with them: the rarest of those counted often enough for a large group.
+    """The tokens by which a set meets the first ones with them: the rarest, and others evenly along the prefix.
 
-    In a large group of near copies the rarest of all are those that a copy alone was given; pairs by rare tokens are few anyway.
+    In a large group of near copies the rarest are those that a copy alone was given; the ones that all have come after them.
     """
-    return F.slice(F.filter(prefix, lambda k: _step(k) >= OFTEN), 1, NEAR)
+    places = [F.floor(F.size(prefix) * i / NEAR).cast("int") for i in range(NEAR)]
+    return F.array_distinct(F.array(*(F.get(prefix, place) for place in places)))
 
 
 def first_pairs(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -187,7 +188,7 @@ def similar_lines(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> D
     """The lines (doc, line_no from 0) of `texts` (doc, text) that have an earlier line of the same tokens or of a Jaccard similarity at the threshold.
 
     Earlier means a smaller (doc, line_no). Lines of equal token sets are one set, placed where the first of them is. Each set is held
-    against the first ones of about its size with frequent tokens of its prefix; those that these don't remove are held against all that their prefixes leave room for.
+    against the first ones of about its size with some tokens of its prefix; those that these don't remove are held against all that their prefixes leave room for.
     """
     keyed = common.written(line_keys(texts, token_steps(texts), threshold), "line-keys")
     here = _here()  # hash aggregates can take its least
