@@ -20,7 +20,7 @@ THRESHOLD = (4, 5)  # similarity of 0.8 or more, as a fraction
 SLOT_BITS = 20  # tokens are counted by hash slot: any order is right, a rare-first order is fast
 HASH_BITS = 56  # of a token's key; the bits above hold the step of its slot's count
 ONCE = 1  # the step of a slot that was counted once
-NEAR = 6  # tokens by which a set meets the first ones with them
+NEAR, OFTEN = 6, 25  # by how many prefix tokens a set meets the first ones with them, and the step of 64 times
 PLACE_BITS = 23  # of the filter that keeps lines no pair names from being shuffled
 NOT_BLANK = ("\t", "\x0b", "\f", "\r")  # white space within a line, other than a blank
 
@@ -110,12 +110,12 @@ def _here() -> Column:
 
 
 def near(prefix: Column) -> Column:
-    """The tokens by which a set meets the first ones with them: the rarest, and others evenly along the prefix.
+    """The tokens by which a set meets the first ones with them: the rarest of those counted often enough for a large group, then others.
 
-    In a large group of near copies the rarest are those that a copy alone was given; the ones that all have come after them.
+    In a large group of near copies the rarest of all are those that a copy alone was given; pairs by rare tokens are few anyway.
     """
-    places = [F.floor(F.size(prefix) * i / NEAR).cast("int") for i in range(NEAR)]
-    return F.array_distinct(F.array(*(F.get(prefix, place) for place in places)))
+    often = F.filter(prefix, lambda k: _step(k) >= OFTEN)
+    return F.slice(F.concat(often, F.filter(prefix, lambda k: _step(k) < OFTEN)), 1, NEAR)
 
 
 def first_pairs(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
