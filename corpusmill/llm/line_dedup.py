@@ -11,7 +11,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -65,8 +65,8 @@ def line_keys(texts: DataFrame, steps: DataFrame, threshold: tuple[int, int]) ->
     lines = texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     step = lambda h: F.coalesce(F.get("steps", _slot(h)).cast("bigint"), F.lit(0).cast("bigint"))
     key = lambda h: F.call_function("shiftleft", step(h), F.lit(HASH_BITS)).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
-    hashes = F.transform(F.array_remove(words_of(F.col("line")), ""), lambda w: F.xxhash64(w))
-    keyed = lines.withColumn("steps", steps.scalar()).select("doc", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, key))).alias("keys"))
+    keys = F.transform(F.array_remove(words_of(F.col("line")), ""), lambda w: key(F.xxhash64(w)))
+    keyed = lines.withColumn("steps", steps.scalar()).select("doc", "line_no", F.sort_array(F.array_distinct(keys)).alias("keys"))
     # an array of one element: the keys are worked out once, however often they are named, and what names them is compiled
     sized = keyed.select("doc", "line_no", F.explode(F.array("keys")).alias("keys")).select("doc", "line_no", "keys", F.size("keys").alias("size")).filter("size > 0")
     digests = (F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(1), "keys").alias("k2"))
@@ -104,11 +104,6 @@ def _room(a: str, b: str, threshold: tuple[int, int]) -> Column:
     return (size_a * den >= size_b * num) & (size_b * den >= size_a * num) & (differ <= size_a + size_b - need * 2)
 
 
-def _here() -> Column:
-    """A line's place as one number, in the order of (doc, line_no)."""
-    return F.col("doc").cast("decimal(19,0)") * (1 << 31) + F.col("line_no")
-
-
 def near(prefix: Column) -> Column:
     """The tokens by which a set meets the first ones with them: the rarest of those counted often enough for a large group, then others.
 
@@ -127,10 +122,10 @@ def first_pairs(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     band = F.floor(F.log("size") / float(np.log(den / num)))
     rows = _shareable(sets, threshold).select("doc", "line_no", "size", "b1", "b2", F.explode(near(F.col("prefix"))).alias("token"))
     rows = rows.select("doc", "line_no", "size", "b1", "b2", F.xxhash64("token", band).alias("digest"))
-    of_first = [F.min_by(c, "here").alias(f"head_{c}") for c in ("doc", "line_no", "size", "b1", "b2")]  # numbers, not a struct: hash aggregates can take them
-    heads = rows.withColumn("here", _here()).groupBy("digest").agg(*of_first, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heads = heads.select("digest", F.struct(*(F.col(f"head_{c}").alias(c) for c in ("doc", "line_no", "size", "b1", "b2"))).alias("head"))
-    met = rows.alias("row").join(heads, "digest").filter((F.struct("doc", "line_no") > F.struct("head.doc", "head.line_no")) & _room("head", "row", threshold))
+    # one shuffle and one sort by token, where a join with the first ones takes two of each
+    of_token = Window.partitionBy("digest").orderBy("doc", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.withColumn("head", F.first(F.struct("doc", "line_no", "size", "b1", "b2")).over(of_token)).alias("row")
+    met = met.filter((F.struct("doc", "line_no") > F.struct("head.doc", "head.line_no")) & _room("head", "row", threshold))
     return met.select(F.col("head.doc").alias("doc_a"), F.col("head.line_no").alias("line_a"), F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")).distinct()
 
 
@@ -138,33 +133,38 @@ def candidate_pairs(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs of sets (doc, line_no, size, b1, b2, prefix, open) that may be similar and of which the later is open: doc_a, line_a, doc_b, line_b, the earlier set first.
 
     Sets meet at a shared token of their prefixes; fewer tokens are enough on the side of the smaller set. Pairs go whose sizes or bits
-    leave no room.
+    leave no room, and meetings after which too few tokens are left: similar sets have enough from their first shared token on.
     """
     num, den = threshold
     # the tokens counted once stood before the others: `spare` of them
     length = F.col("size") - _at_least(F.col("size"), num, den) + 1
     short = F.col("size") - _at_least(F.col("size") * 2, num, num + den) + 1
     rows = _shareable(sets, threshold).select("doc", "line_no", "size", "b1", "b2", "open", (length - F.size("prefix")).alias("spare"), short.alias("short"), F.posexplode("prefix").alias("place", "token"))
-    rows = rows.select("token", "doc", "line_no", "size", "b1", "b2", "open", (F.col("place") + F.col("spare") < F.col("short")).alias("early"))
+    before = F.col("place") + F.col("spare")
+    rows = rows.select("token", "doc", "line_no", "size", "b1", "b2", "open", (before < F.col("short")).alias("early"), (F.col("size") - before).alias("left"))
     a, b = rows.alias("a"), rows.alias("b")
     sa, sb = F.col("a.size"), F.col("b.size")
     first = (F.col("a.doc") < F.col("b.doc")) | (F.col("a.doc") == F.col("b.doc")) & (F.col("a.line_no") < F.col("b.line_no"))
+    enough = F.least("a.left", "b.left") >= _at_least(sa + sb, num, num + den)
     met = a.join(
         b,
-        (F.col("a.token") == F.col("b.token")) & F.col("a.early") & ((sa < sb) | ((sa == sb) & first)) & F.when(first, F.col("b.open")).otherwise(F.col("a.open")) & _room("a", "b", threshold),
+        (F.col("a.token") == F.col("b.token")) & F.col("a.early") & ((sa < sb) | ((sa == sb) & first)) & F.when(first, F.col("b.open")).otherwise(F.col("a.open")) & enough & _room("a", "b", threshold),
     )
     pair = lambda x, y: F.struct(F.col(f"{x}.doc").alias("doc_a"), F.col(f"{x}.line_no").alias("line_a"), F.col(f"{y}.doc").alias("doc_b"), F.col(f"{y}.line_no").alias("line_b"))
     return met.select(F.when(first, pair("a", "b")).otherwise(pair("b", "a")).alias("pair")).select("pair.*").distinct()
 
 
-def _named(places: DataFrame) -> DataFrame:
-    """One row with an array of bits: those at the slots of the places (doc, line_no)."""
+def _named(places: DataFrame) -> Column:
+    """Whether a row's place (doc, line_no) may be one of `places`, by the bits at their slots; false only if it is none."""
     slot = F.shiftrightunsigned(F.xxhash64("doc", "line_no"), 64 - PLACE_BITS)
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    within = slot.bitwiseAND(F.lit(63)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), within)
     found = places.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # a fixed number of words at most
     bits = np.zeros(1 << PLACE_BITS - 6, np.int64)
     bits[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return places.sparkSession.createDataFrame(pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, len(bits)], pa.int32()), pa.array(bits))}))
+    row = places.sparkSession.createDataFrame(pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, len(bits)], pa.int32()), pa.array(bits))}))
+    word = F.coalesce(F.get(row.scalar(), F.shiftright(slot, 6).cast("int")), F.lit(0).cast("bigint"))
+    return F.call_function("shiftrightunsigned", word, within).bitwiseAND(F.lit(1)) == 1
 
 
 def later_of_similar(texts: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -172,9 +172,7 @@ def later_of_similar(texts: DataFrame, pairs: DataFrame, threshold: tuple[int, i
     num, den = threshold
     wanted = common.written(pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b")).distinct(), "pair-places")
     lines = texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    slot = F.shiftrightunsigned(F.xxhash64("doc", "line_no"), 64 - PLACE_BITS)
-    named = F.call_function("shiftrightunsigned", F.get("bits", F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    lines = lines.withColumn("bits", _named(wanted).scalar()).filter(named).drop("bits")  # only spares the shuffle lines; the join decides
+    lines = lines.filter(_named(wanted))  # only spares the shuffle lines; the join decides
     found = common.written(lines.join(wanted, ["doc", "line_no"], "left_semi").select("doc", "line_no", line_words(F.col("line")).alias("words")), "pair-lines")
     left, right = (found.select(F.col("doc").alias(f"doc_{x}"), F.col("line_no").alias(f"line_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     both = pairs.join(left, ["doc_a", "line_a"]).join(right, ["doc_b", "line_b"])
@@ -184,25 +182,26 @@ def later_of_similar(texts: DataFrame, pairs: DataFrame, threshold: tuple[int, i
     return out
 
 
+def with_open(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """`sets` with a column open: not among the places (doc, line_no) of `gone`. Those that the places' bits rule out are not shuffled."""
+    named = _named(gone)
+    maybe = sets.filter(named).join(gone.withColumn("gone", F.lit(True)), ["doc", "line_no"], "left").withColumn("open", F.col("gone").isNull()).drop("gone")
+    return sets.filter(~named).withColumn("open", F.lit(True)).unionByName(maybe)
+
+
 def similar_lines(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The lines (doc, line_no from 0) of `texts` (doc, text) that have an earlier line of the same tokens or of a Jaccard similarity at the threshold.
 
     Earlier means a smaller (doc, line_no). Lines of equal token sets are one set, placed where the first of them is. Each set is held
     against the first ones of about its size with some tokens of its prefix; those that these don't remove are held against all that their prefixes leave room for.
     """
-    keyed = common.written(line_keys(texts, token_steps(texts), threshold), "line-keys")
-    here = _here()  # hash aggregates can take its least
-    groups = keyed.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copy = here > F.col("first")  # null where the set is one line's alone
-    marked = common.written(
-        keyed.join(groups, ["k1", "k2"], "left").select("doc", "line_no", "size", "b1", "b2", "prefix", F.coalesce(copy, F.lit(False)).alias("copy")),
-        "line-sets",
-    )
-    common.discard(keyed)
+    of_set = Window.partitionBy("k1", "k2").orderBy("doc", "line_no")
+    keyed = line_keys(texts, token_steps(texts), threshold)
+    marked = common.written(keyed.withColumn("copy", F.row_number().over(of_set) > 1).drop("k1", "k2"), "line-sets")
     copies = common.written(marked.filter("copy").select("doc", "line_no"), "line-copies")
     sets = marked.filter("NOT copy").drop("copy")
     gone = later_of_similar(texts, common.written(first_pairs(sets, threshold), "line-pairs"), threshold)
-    flagged = common.written(sets.join(gone.withColumn("gone", F.lit(True)), ["doc", "line_no"], "left").withColumn("open", F.col("gone").isNull()).drop("gone"), "line-sets")
+    flagged = common.written(with_open(_shareable(sets, threshold), gone), "line-sets")
     common.discard(marked)
     pairs = common.written(candidate_pairs(flagged, threshold), "line-pairs")
     common.discard(flagged)

@@ -68,3 +68,30 @@ def test_near_copies_with_rare_tokens_of_their_own_make_no_square_of_pairs(make_
     found = line_dedup.dedup_lines(make_docs([*copies, *others])).collect()
     assert {x.doc_id: x.removed for x in found} == brute([*copies, *others])
     assert made[0] < 300
+
+
+def test_sets_are_shuffled_once_by_token_for_the_first_pairs(make_docs):
+    """A join of all sets with the first ones took two shuffles by token, with an aggregate between them."""
+    texts = make_docs([(i, f"a b c d e f g h i j {i % 7}") for i in range(20)]).selectExpr("doc_id doc", "text")
+    sets = line_dedup.line_keys(texts, line_dedup.token_steps(texts), line_dedup.THRESHOLD)
+    plan = line_dedup.first_pairs(sets, line_dedup.THRESHOLD)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(digest") == 1
+
+
+def test_similar_sets_meet_at_their_first_shared_tokens_alone(make_docs):
+    """30 tokens of 31: of the prefix's 7, those after the fourth leave fewer tokens than similar sets share."""
+    r, base = random.Random(3), [f"c{k}" for k in range(30)]
+    rows = [(i, " ".join(r.sample([*base, f"own{i}"], 31))) for i in range(12)]
+    texts = make_docs(rows).selectExpr("doc_id doc", "text")
+    sets = line_dedup.line_keys(texts, line_dedup.token_steps(texts), line_dedup.THRESHOLD).selectExpr("*", "true open")
+    pairs = line_dedup.candidate_pairs(sets, line_dedup.THRESHOLD)
+    assert pairs.count() == 66
+    joined = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "least(left" in joined
+
+
+def test_open_sets_are_those_not_gone(make_docs, spark):
+    sets = spark.range(500).selectExpr("id doc", "cast(id % 3 as int) line_no")
+    gone = sets.filter("doc % 5 = 0")
+    found = line_dedup.with_open(sets, gone).collect()
+    assert len(found) == 500 and all(x.open == (x.doc % 5 != 0) for x in found)
