@@ -141,14 +141,15 @@ def candidate_pairs(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     short = F.col("size") - _at_least(F.col("size") * 2, num, num + den) + 1
     rows = _shareable(sets, threshold).select("doc", "line_no", "size", "b1", "b2", "open", (length - F.size("prefix")).alias("spare"), short.alias("short"), F.posexplode("prefix").alias("place", "token"))
     before = F.col("place") + F.col("spare")
-    rows = rows.select("token", "doc", "line_no", "size", "b1", "b2", "open", (before < F.col("short")).alias("early"), (F.col("size") - before).alias("left"))
+    left = F.when(F.col("open"), F.col("size") - before).otherwise(before - F.col("size"))  # at least 1; below 0 where the set is not open
+    rows = rows.select("token", "doc", "line_no", "size", "b1", "b2", (before < F.col("short")).alias("early"), left.alias("left"))
     a, b = rows.alias("a"), rows.alias("b")
     sa, sb = F.col("a.size"), F.col("b.size")
     first = (F.col("a.doc") < F.col("b.doc")) | (F.col("a.doc") == F.col("b.doc")) & (F.col("a.line_no") < F.col("b.line_no"))
-    enough = F.least("a.left", "b.left") >= _at_least(sa + sb, num, num + den)
+    enough = F.least(F.abs("a.left"), F.abs("b.left")) >= _at_least(sa + sb, num, num + den)
     met = a.join(
         b,
-        (F.col("a.token") == F.col("b.token")) & F.col("a.early") & ((sa < sb) | ((sa == sb) & first)) & F.when(first, F.col("b.open")).otherwise(F.col("a.open")) & enough & _room("a", "b", threshold),
+        (F.col("a.token") == F.col("b.token")) & F.col("a.early") & ((sa < sb) | ((sa == sb) & first)) & F.when(first, F.col("b.left") > 0).otherwise(F.col("a.left") > 0) & enough & _room("a", "b", threshold),
     )
     pair = lambda x, y: F.struct(F.col(f"{x}.doc").alias("doc_a"), F.col(f"{x}.line_no").alias("line_a"), F.col(f"{y}.doc").alias("doc_b"), F.col(f"{y}.line_no").alias("line_b"))
     return met.select(F.when(first, pair("a", "b")).otherwise(pair("b", "a")).alias("pair")).select("pair.*").distinct()

@@ -87,7 +87,7 @@ def test_similar_sets_meet_at_their_first_shared_tokens_alone(make_docs):
     pairs = line_dedup.candidate_pairs(sets, line_dedup.THRESHOLD)
     assert pairs.count() == 66
     joined = pairs._jdf.queryExecution().optimizedPlan().toString()
-    assert "least(left" in joined
+    assert "least(abs(left" in joined
 
 
 def test_open_sets_are_those_not_gone(make_docs, spark):
