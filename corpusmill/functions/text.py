@@ -41,6 +41,8 @@ WHITE = r"[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 SUSPICIOUS = r"[\x{0590}-\x{074F}\x{0750}-\x{077F}\x{0900}-\x{0D7F}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{E000}-\x{F8FF}\x{FFF0}-\x{FFFF}]"
 NORMAL = r"[\x{20}-\x{7F}\x{A0}-\x{017F}\x{AC00}-\x{D7AF}\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
 TOKEN = r"[\p{L}\p{N}_]+"
+#: The separators of words, as Unicode names them; line ends and tabs are none.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 @F.pandas_udf(StringType())
@@ -49,6 +51,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def trim(text: Column) -> Column:
+    """A text without spaces of any kind at its ends. It has one argument: to `F.trim` an array function also hands an element's index, whose digits then go instead of spaces."""
+    return F.trim(text, F.lit(SPACES))
+
+
 def clean_text(text: Column) -> Column:
     """One line of normalised text without control, broken or foreign-block characters."""
     kept = F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), f"[{REMOVED}]", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as t
+
 from .keywords import per_document
 
 #: Words that show a tone; the first of equals counts.
@@ -62,7 +64,7 @@ def tone(docs: DataFrame) -> DataFrame:
 
 def fallback_title(docs: DataFrame) -> DataFrame:
     """The first of a document's first ten lines that can be a title."""
-    lines = F.transform(F.slice(F.split("text", "\n", -1), 1, 10), F.trim)
+    lines = F.transform(F.slice(F.split("text", "\n", -1), 1, 10), t.trim)
     fits = F.filter(lines, lambda x: (F.length(x) > 5) & (F.length(x) < 200) & ~x.rlike(r"^\d+$") & ~x.startswith("http") & ~x.contains("@"))
     return docs.select("doc_id", F.try_element_at(fits, F.lit(1)).alias("title"))
 
