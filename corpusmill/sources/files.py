@@ -92,7 +92,7 @@ def text_to_markdown(text: Column) -> Column:
 
 def reflow(text: Column) -> Column:
     """A long text of one or two lines with each sentence on its own line."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?]) +", "$1\u0001"), "\u0001"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?]) +", "$1\u0001"), "\u0001"), t.trim), lambda s: s != "")
     return F.when((F.size(F.split(text, "\n")) <= 2) & (F.length(text) > 1000), F.array_join(parts, "\n")).otherwise(text)
 
 

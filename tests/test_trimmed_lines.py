@@ -5,10 +5,10 @@ import pytest
 
 from corpusmill.plans import registry
 
-LINES = ["0 apples and 7 pears 0", "  1 apple 1", " 2 plums for two 2　", "3", "", "   ", "5 pears, five 5 ", "6", "7", "8", "  9 figs", "1101 nuts 10"]
+LINES = ["0 apples and 7 pears 0", "  1 apple 1", "\u00a02 plums for two 2\u3000", "3", "", "   ", "5 pears, five 5 ", "6", "7", "8", "  9 figs", "1101 nuts 10"]
 TEXTS = {
-    1: "\n".join(LINES), 2: "\n".join(LINES[::-1]), 3: "012345678 in all 10", 4: "", 5: "  \n \n", 6: None,
-    7: " ".join(f"{i} sentences end here {i}." for i in range(60)), 8: "0! 1! 2!  　3! " + "some words. 10 " * 80,
+    1: "\n".join(LINES), 2: "\n".join(LINES[::-1]), 3: "012345678 in all 10", 4: "", 5: "  \n\u00a0\n", 6: None,
+    7: " ".join(f"{i} sentences end here {i}." for i in range(60)), 8: "0! 1! 2! \u00a0 \u30003! " + "some words. 10 " * 80,
     9: "\n".join(f"  line {i} of a long text, with more than a hundred characters in it, so that only its first hundred are kept {i}  " for i in range(12)),
 }
 
@@ -35,3 +35,9 @@ def test_fallback_title(spark, folder):
     found = check(spark, folder, "d24_fallback_metadata")
     assert found[1]["title"] == "0 apples and 7 pears 0" and found[2]["title"] == "1101 nuts 10" and found[3]["title"] == "012345678 in all 10"
     assert found[4]["title"] is found[5]["title"] is found[6]["title"] is None
+
+
+def test_reflow(spark, folder):
+    found = check(spark, folder, "e06_reflow_single_line")
+    assert found[7]["value"].split("\n")[:13] == [f"{i} sentences end here {i}." for i in range(13)]
+    assert found[8]["value"].startswith("0!\n1!\n2!\n3!\nsome words.\n10 some words.\n10 ") and found[8]["value"].endswith("\n10")
