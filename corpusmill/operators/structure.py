@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import arrays
+from corpusmill.functions import text as t
 
 #: What shows a table, figure, reference, footnote or list line.
 ELEMENTS = {
@@ -130,7 +131,7 @@ def budget_merge(docs: DataFrame, budget: int = 500) -> DataFrame:
 
 
 def chunk_summary(docs: DataFrame) -> DataFrame:
-    s = F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda x: x != "")
+    s = F.filter(F.transform(F.split("text", "\n", -1), t.trim), lambda x: x != "")
     short = lambda x: F.when(F.length(x) > 100, F.concat(F.substring(x, 1, 100), F.lit("..."))).otherwise(x)
     return docs.select("doc_id", F.length("text").alias("length"), s.alias("l")).select("doc_id", "length", short(F.try_element_at("l", F.lit(1))).alias("intro"), short(F.try_element_at("l", F.lit(-1))).alias("conclusion"), F.size("l").alias("lines"))
 

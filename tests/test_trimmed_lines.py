@@ -41,3 +41,9 @@ def test_reflow(spark, folder):
     found = check(spark, folder, "e06_reflow_single_line")
     assert found[7]["value"].split("\n")[:13] == [f"{i} sentences end here {i}." for i in range(13)]
     assert found[8]["value"].startswith("0!\n1!\n2!\n3!\nsome words.\n10 some words.\n10 ") and found[8]["value"].endswith("\n10")
+
+
+def test_chunk_summary(spark, folder):
+    found = check(spark, folder, "f08_chunk_summary")
+    assert found[1]["intro"] == "0 apples and 7 pears 0" and found[1]["conclusion"] == "1101 nuts 10" and found[1]["lines"] == 10
+    assert found[5]["lines"] == 0 and found[9]["intro"].startswith("line 0 of") and len(found[9]["conclusion"]) == 103
