@@ -101,7 +101,7 @@ add(
 )
 add(
     "a08_text_to_markdown",
-    lambda s, d: docs(s, d).select("doc_id", files.text_to_markdown(F.expr("concat(doc_id % 9 + 1, '.2 Title\\n', text)")).alias("md")),
+    lambda s, d: docs(s, d).select("doc_id", files.text_to_markdown(F.expr("concat(doc_id % 9 + 1, '.2 Title\\n', coalesce(text, ''))")).alias("md")),
     "SELECT doc_id, concat('## ', doc_id % 9 + 1, '.2 Title', chr(10), array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(trim(x), '^\\d+(\\.\\d+)*\\.?\\s') THEN concat('# ', trim(x)) WHEN contains(x, '|') OR regexp_matches(x, '^\\s*[-*] ') THEN x ELSE trim(x) END), chr(10))) AS md FROM documents",
 )
 scalar("b01_clean_text", t.clean_text, D_CLEAN)

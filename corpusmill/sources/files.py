@@ -83,9 +83,10 @@ def text_to_markdown(text: Column) -> Column:
     """Numbered lines become headings as deep as their number; table and list lines stay; others are trimmed."""
 
     def line(x: Column) -> Column:
-        number = F.regexp_extract(F.trim(x), r"^(\d+(?:\.\d+)*)\.?\s", 1)
+        bare = t.trim(x)
+        number = F.regexp_extract(bare, r"^(\d+(?:\.\d+)*)\.?\s", 1)
         depth = F.least(F.size(F.split(number, r"\.")), F.lit(6))
-        return F.when(number != "", F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), F.trim(x))).when(x.contains("|") | x.rlike(r"^\s*[-*] "), x).otherwise(F.trim(x))
+        return F.when(number != "", F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), bare)).when(x.contains("|") | x.rlike(r"^\s*[-*] "), x).otherwise(bare)
 
     return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
 

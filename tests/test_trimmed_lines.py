@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.plans import registry
+from corpusmill.sources import files
 
 LINES = ["0 apples and 7 pears 0", "  1 apple 1", "\u00a02 plums for two 2\u3000", "3", "", "   ", "5 pears, five 5 ", "6", "7", "8", "  9 figs", "1101 nuts 10"]
 TEXTS = {
@@ -47,3 +49,12 @@ def test_chunk_summary(spark, folder):
     found = check(spark, folder, "f08_chunk_summary")
     assert found[1]["intro"] == "0 apples and 7 pears 0" and found[1]["conclusion"] == "1101 nuts 10" and found[1]["lines"] == 10
     assert found[5]["lines"] == 0 and found[9]["intro"].startswith("line 0 of") and len(found[9]["conclusion"]) == 103
+
+
+def test_text_to_markdown(spark, folder):
+    found = check(spark, folder, "a08_text_to_markdown")
+    lines = found[1]["md"].split("\n")
+    assert lines[0] == "## 2.2 Title" and lines[1:4] == ["# 0 apples and 7 pears 0", "# 1 apple 1", "# 2 plums for two 2"] and lines[4] == "3"
+    assert found[6]["md"] == "## 7.2 Title\n"
+    rows = spark.createDataFrame([("1.2.3 x\n10.20.30.40 y\n1.2.3.4.5.6.7 z\n| 1 |\n - a ",)], "text string")
+    assert rows.select(files.text_to_markdown(F.col("text"))).first()[0] == "### 1.2.3 x\n#### 10.20.30.40 y\n###### 1.2.3.4.5.6.7 z\n| 1 |\n - a "
