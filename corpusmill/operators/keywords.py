@@ -34,6 +34,10 @@ PLACE_ENDINGS = "시|도|구|군|동|면|읍|특별시|광역시"
 
 
 _TOKEN, _HANGUL = re.compile(r"\w+"), re.compile("[가-힣]{2,}")
+#: Letters that Unicode 15.1 added are none yet for the SQL.
+_LONG_TOKEN, _STOPS = re.compile(r"[^\W\U0002EBF0-\U0002EE5D]{2,}"), frozenset(t.STOP_WORDS)
+#: Fixed value: rows of a batch that leaves a task.
+_ROWS = 1 << 16
 
 
 def _by_count(word: tuple[str, int, int]) -> tuple[int, int]:
@@ -267,18 +271,51 @@ def group_mean(occ: DataFrame) -> DataFrame:
     return occ.withColumn("mean", F.avg("score").over(w)).withColumn("r", F.row_number().over(first)).filter("r = 1").select("doc_id", "keyword", (F.floor(F.col("mean") * 1000 + 1e-6) / 1000).alias("score"))
 
 
-def ngrams(docs: DataFrame, n: int = 2) -> DataFrame:
-    """(doc_id, ngram, tf): lower-cased words of two or more characters, stop words out, as runs of 1 to n."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(t.TOKEN), 0), lambda w: (F.length(w) >= 2) & ~w.isin(t.STOP_WORDS))
-    listed = docs.select("doc_id", words.alias("w"))
+def _count_ngrams(text: str, n: int, most: int | None) -> list[tuple[str, int]]:
+    """(n-gram, number) of a text; its `most` most frequent, ties in order of the n-gram.
 
-    def runs(k: int) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.size("w") - k + 1)
-        joined = F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
-        return listed.filter(F.size("w") >= k).select("doc_id", F.explode(joined).alias("ngram"))
+    A character is put in lower case by itself: İ has one in the SQL, and Σ the same one at the end of a word.
+    """
+    words = [w for w in _LONG_TOKEN.findall(text.replace("İ", "i").replace("Σ", "σ").lower()) if w not in _STOPS]
+    counts = Counter(words)
+    for k in range(2, n + 1):
+        counts.update(map(" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+    if most is None or len(counts) <= most:
+        return list(counts.items())
+    least = sorted(counts.values(), reverse=True)[most - 1]
+    best = [(w, c) for w, c in counts.items() if c > least]
+    return best + [(w, least) for w in sorted(w for w, c in counts.items() if c == least)[:most - len(best)]]
+
+
+def ngrams(docs: DataFrame, n: int = 2, most: int | None = None) -> DataFrame:
+    """(doc_id, ngram, tf): lower-cased words of two or more characters, stop words out, as runs of 1 to n; all of them, or a document's `most` most
+    frequent, ties in order of the n-gram.
+
+    A document's n-grams are counted where its row is, and leave it a few rows at a time: no n-gram is shuffled. Only if some rows share a doc_id, which
+    is looked for at once, are the counts of those rows shuffled and added up.
+    """
 
-    parts = [runs(k) for k in range(1, n + 1)]
-    return reduce(DataFrame.union, parts).groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("tf"))
+    def count(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for row, text in enumerate(batch["text"]):
+                found = _count_ngrams(text.as_py(), n, most) if text.is_valid else []
+                at += [row] * len(found)
+                rows += found
+                while len(rows) >= _ROWS or row == batch.num_rows - 1 and rows:
+                    ngram, tf = zip(*rows[:_ROWS], strict=True)
+                    yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(at[:_ROWS], pa.int64())), "ngram": pa.array(ngram, pa.string()), "tf": pa.array(tf, pa.int64())})
+                    at, rows = at[_ROWS:], rows[_ROWS:]
+
+    def counted(rows: DataFrame, most: int | None) -> DataFrame:
+        return rows.select("doc_id", "text").mapInArrow(lambda batches: count(batches, most), f"doc_id {dict(docs.dtypes)['doc_id']}, ngram string, tf bigint")
+
+    shared = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("shared"))
+    if shared.isEmpty():
+        return counted(docs, most)
+    same = F.col("doc_id").eqNullSafe(F.col("shared"))
+    added = counted(docs.join(shared, same, "left_semi"), None).groupBy("doc_id", "ngram").agg(F.sum("tf").alias("tf"))
+    return counted(docs.join(shared, same, "left_anti"), most).unionByName(added if most is None else top(added, [F.desc("tf"), "ngram"], most).drop("rank"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -54,7 +54,7 @@ add("d01_multi_extract", occurrences, f"WITH {D_OCC} SELECT * FROM occ")
 add("d02_best_per_keyword_extractor", lambda s, d: k.best_per_keyword(occurrences(s, d)), f"WITH {D_OCC} SELECT * FROM occ QUALIFY row_number() OVER (PARTITION BY keyword, extractor ORDER BY score DESC, doc_id) = 1")
 add("d03_freq_keywords", lambda s, d: k.freq_keywords(docs(s, d)).drop("category"), f"WITH {D_OCC} SELECT doc_id, keyword, extractor, score FROM fr")
 add(
-    "d04_ngram_candidates", lambda s, d: k.top(k.ngrams(docs(s, d)), [F.desc("tf"), "ngram"], 1000).drop("rank"),
+    "d04_ngram_candidates", lambda s, d: k.ngrams(docs(s, d), most=1000),
     f"WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2 AND w NOT IN ({D_STOPS})) AS w FROM documents), g AS (SELECT doc_id, unnest(w) AS ngram FROM l UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM l), c AS (SELECT doc_id, ngram, count(*) AS tf FROM g GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, ngram) <= 1000",
 )
 _VEC = lambda s, d: s.read.parquet(f"{d}/embeddings.parquet")
